@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellum.llm import common, mixing, packing
+from tessellum.llm import common, mixing, packing, quality, toxicity
 from tessellum.llm.tokens import tokenizer_path
 
 
@@ -28,9 +28,27 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and verdict of every document, by a machine that has not seen the labels of held-out ones."""
+    common.narrow_batches(spark)
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.expr("pmod(crc32(cast(doc_id as string)), 3) = 1").alias("held_out"), "score", F.expr("cast(score >= 0.7 as int)").alias("predicted"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of the base rules and the learned list on every document."""
+    common.narrow_batches(spark)
+    docs = _table(spark, sf_dir, "documents")
+    judged = quality.judge(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op8_packing": op8_packing,
+    "op9_toxicity": op9_toxicity,
+    "op10_quality": op10_quality,
 }
 
 ORACLE: dict[str, str] = {}
