@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellum.llm import common, mixing, packing, quality, toxicity
+from tessellum.llm import common, minhash, mixing, packing, quality, toxicity
 from tessellum.llm.tokens import tokenizer_path
 
 
@@ -21,6 +21,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", F.expr("size * copies").alias("taken"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of two-word shingles are alike by 0.8 or more."""
+    common.narrow_batches(spark)
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequence and offset there."""
     common.narrow_batches(spark)
@@ -46,6 +52,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
+    "op7_minhash": op7_minhash,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,

@@ -156,9 +156,9 @@ class Scorer:
 
 
 def summary(values: list[float]) -> tuple[float, float, float, float]:
-    """Of a document: its three best words' values, from -1.5 to 1.5, and the log of its length."""
-    top = sorted(values, reverse=True)[:3] + [-1.5] * 3
-    return (*(min(1.5, max(-1.5, v)) for v in top[:3]), float(np.log1p(len(values))))
+    """Of a document: its three best words' values, from -3 to 3, and the log of its length."""
+    top = sorted(values, reverse=True)[:3] + [-3.0] * 3
+    return (*(min(3.0, max(-3.0, v)) for v in top[:3]), float(np.log1p(len(values))))
 
 
 def calibrated(best: np.ndarray, model: Model) -> np.ndarray:
