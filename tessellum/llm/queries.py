@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellum.llm import common, minhash, mixing, packing, quality, toxicity
+from tessellum.llm import common, huffman, minhash, mixing, packing, quality, toxicity
 from tessellum.llm.tokens import tokenizer_path
 
 
@@ -15,6 +15,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and digest of ids, as read back from the coded files."""
+    common.narrow_batches(spark)
+    files = huffman.write(_table(spark, sf_dir, "documents"), tokenizer=tokenizer_path("byte_bpe_50k.json"))
+    return huffman.read(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document, with its source's size and target."""
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
@@ -51,6 +58,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_huffman": op2_huffman,
     "op6_mixing": op6_mixing,
     "op7_minhash": op7_minhash,
     "op8_packing": op8_packing,

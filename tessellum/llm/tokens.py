@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from array import array
+from collections.abc import Callable, Iterator
 
 
 #: Distinct pieces that a worker remembers; beyond them it forgets those it met last (about 200 MB).
@@ -58,80 +59,82 @@ class Encoder:
         self.letters = byte_letters()
         self.line_end = self._ids("\n")
         self.stops = {c: self._ids(c) for c in ".,"}
-        self.memo: dict[str, bytes] = {}
+        self.memo = _Memo(self._piece)
+        self.after_space = self.memo if self.drops_space else _Memo(lambda word: self._piece(f" {word}"))
 
     def _ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def pieces(self, text: str) -> list[str]:
-        if self.drops_space:
-            return text.replace("\n", " ").split(" ")
-        if not awkward(text):
-            return self._with_lines(text)
-        whole, held = [], ""
-        for i, part in enumerate(text.split(" ")):  # a piece begins only where both neighbours of the space are no white space
-            if i and part and not part[0].isspace() and held and not held[-1].isspace():
-                whole.append(held)
-                held = f" {part}"
-            else:
-                held = part if not i else f"{held} {part}"
-        return [*whole, held]
-
-    @staticmethod
-    def _with_lines(text: str) -> list[str]:
-        out: list[str] = []
-        for i, line in enumerate(text.split("\n")):
-            if i:
-                out.append("\n")
-            first, *rest = line.split(" ")
-            out.append(first)
-            out += [f" {p}" for p in rest]
-        return out
-
-    def _word(self, piece: str) -> bytes | None:
-        """Ids of a word of letters with no more than a space before and a stop after it; else None."""
-        end = b""
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece; a word of letters, with no more than a space before and a stop after it, goes to the model."""
+        end, whole = b"", piece
         if piece[-1:] in self.stops:
             end, piece = self.stops[piece[-1]], piece[:-1]
         word = piece[1:] if piece[:1] == " " else piece
         if not word.isalpha():
-            return None
+            return self._ids(whole)
         if self.lowers:
             if not word.isascii():
-                if not unicodedata.is_normalized("NFC", word) or "Σ" in word:
-                    return None
                 piece = word.lower()
-                if not piece.isalpha() or not unicodedata.is_normalized("NFC", piece):
-                    return None
+                if not unicodedata.is_normalized("NFC", word) or "Σ" in word or not piece.isalpha() or not unicodedata.is_normalized("NFC", piece):
+                    return self._ids(whole)
             piece = word.lower()
-        written = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(written)]).tobytes() + end
+        if not piece.isascii() or piece[:1] == " ":
+            piece = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes() + end
+
+    def _apart(self, text: str) -> Iterator[bytes]:
+        """Ids of a text in which white space stands at awkward places."""
+        held = ""
+        for i, part in enumerate(text.split(" ")):  # a piece begins only where both neighbours of the space are no white space
+            if i and part and not part[0].isspace() and held and not held[-1].isspace():
+                yield self.memo[held]
+                held = f" {part}"
+            else:
+                held = part if not i else f"{held} {part}"
+        yield self.memo[held]
+
+    def ids(self, text: str | None) -> bytes:
+        """Ids of a whole text as little-endian unsigned 32-bit integers; null: none."""
+        if not text:
+            return b""
+        get = self.after_space.__getitem__
+        if self.drops_space:
+            return b"".join(map(get, text.replace("\n", " ").split(" ")))
+        if awkward(text):
+            return b"".join(self._apart(text))
+        out: list[bytes] = []
+        for line in text.split("\n"):
+            words = iter(line.split(" "))
+            out.append(self.memo[next(words)])
+            out.extend(map(get, words))
+            out.append(self.line_end)
+        return b"".join(out[:-1])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers; null: none."""
-        memo = self.memo
-        split = [self.pieces(t or "") for t in texts]
-        found = [list(map(memo.get, parts)) for parts in split]
-        rest = set()
-        for parts, ids in zip(split, found, strict=True):
-            if None in ids:
-                for piece in {p for p, known in zip(parts, ids, strict=True) if known is None and p not in memo}:
-                    if (word := self._word(piece)) is None:
-                        rest.add(piece)
-                    else:
-                        memo[piece] = word
-        listed = list(rest)
-        for at in range(0, len(listed), 4096):
-            part = listed[at : at + 4096]
-            for piece, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                memo[piece] = array("I", got.ids).tobytes()
-        out = [b"".join(ids if None not in ids else map(memo.__getitem__, parts)) for parts, ids in zip(split, found, strict=True)]
-        if len(memo) > MEMO:
-            for piece in list(memo)[MEMO // 2 :]:
-                del memo[piece]
+        """The ids of each text."""
+        out = [self.ids(t) for t in texts]
+        self.memo.shorten()
+        self.after_space.shorten()
         return out
 
 
+class _Memo(dict):
+    """Remembers what a function gave for a key."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        self[key] = ids = self.make(key)
+        return ids
+
+    def shorten(self) -> None:
+        if len(self) > MEMO:
+            for key in list(self)[MEMO // 2 :]:
+                del self[key]
+
+
 def awkward(text: str) -> bool:
     """Whether a space or a line end has white space beside it, or there is other white space, by Python or the patterns."""
     return text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or any(c in text for c in _PAIRS) or not text.isascii() and bool(_WIDE.search(text))
