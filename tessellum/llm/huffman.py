@@ -252,7 +252,7 @@ def write(docs: DataFrame, *, tokenizer: str, path: str | None = None, id_col: s
                     name = f"{path}/ids-{part:06d}-{uuid.uuid4().hex}.huff"
                     system, at = file_system(name)
                     system.create_dir(at.rpartition("/")[0], recursive=True)
-                    writer = Writer(system.open_output_stream(at), sent.value[0])
+                    writer = Writer(system.open_output_stream(at, compression=None), sent.value[0])
                 writer.add(doc_id, n_ids, bits, marks)
         if writer is not None:
             writer.close()

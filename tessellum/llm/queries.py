@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellum.llm import common, huffman, minhash, mixing, packing, quality, toxicity
+from tessellum.llm import common, huffman, minhash, mixing, packing, quality, toxicity, warc
 from tessellum.llm.tokens import tokenizer_path
 
 
@@ -15,6 +15,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's capture, as found through the index of the archives that were written."""
+    common.narrow_batches(spark)
+    pages = _table(spark, sf_dir, "pages")
+    found = warc.lookup(warc.write(pages), pages.select("url", "page_id"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and digest of ids, as read back from the coded files."""
     common.narrow_batches(spark)
@@ -58,6 +66,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_huffman": op2_huffman,
     "op6_mixing": op6_mixing,
     "op7_minhash": op7_minhash,
@@ -66,4 +75,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+             d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS payload_digest FROM p),
+             m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS best FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> best THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> best THEN best END AS refers_to
+        FROM m""",
+}
