@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellum.llm import common, huffman, minhash, mixing, packing, quality, toxicity, warc
+from tessellum.llm import common, embeddings, huffman, minhash, mixing, packing, quality, toxicity, warc
 from tessellum.llm.tokens import tokenizer_path
 
 
@@ -30,6 +30,11 @@ def op2_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings by a cosine of 0.9 or more."""
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document, with its source's size and target."""
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
@@ -68,6 +73,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_huffman": op2_huffman,
+    "op4_embeddings": op4_embeddings,
     "op6_mixing": op6_mixing,
     "op7_minhash": op7_minhash,
     "op8_packing": op8_packing,
