@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellum.llm import common, embeddings, huffman, minhash, mixing, packing, quality, toxicity, warc
+from tessellum.llm import common, embeddings, huffman, minhash, mixing, packing, quality, toxicity, urls, warc
 from tessellum.llm.tokens import tokenizer_path
 
 
@@ -35,6 +35,11 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document, with its source's size and target."""
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_huffman": op2_huffman,
     "op4_embeddings": op4_embeddings,
+    "op5_urls": op5_urls,
     "op6_mixing": op6_mixing,
     "op7_minhash": op7_minhash,
     "op8_packing": op8_packing,
