@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellum.llm import common, embeddings, huffman, minhash, mixing, packing, quality, toxicity, urls, warc
+from tessellum.llm import common, embeddings, huffman, lines, minhash, mixing, packing, quality, toxicity, urls, warc
 from tessellum.llm.tokens import tokenizer_path
 
 
@@ -30,6 +30,11 @@ def op2_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of all documents with the first line of its component."""
+    return lines.line_components(_table(spark, sf_dir, "documents"))
+
+
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings by a cosine of 0.9 or more."""
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.9)
@@ -78,6 +83,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_huffman": op2_huffman,
+    "op3_lines": op3_lines,
     "op4_embeddings": op4_embeddings,
     "op5_urls": op5_urls,
     "op6_mixing": op6_mixing,
