@@ -82,9 +82,8 @@ def line_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Lines of one component are alike by `percent` or linked by lines that are; (first_doc, first_no) is
     the component's least (doc_id, line_no), and kept marks that line. Lines are numbered from 0.
-    Lines that share a band are compared with the band's least line: first each with the least of all
-    those, then those that are still apart with each band's, and last, in bands that still hold several
-    components, all those of different components that agree on AGREE minhashes. Null texts and blank lines give no rows.
+    Lines that share a band are compared with the band's least line, and then, in bands that still hold
+    several components, all those of different components that agree on AGREE minhashes. Null texts and blank lines give no rows.
     A line of a null id is never first unless all of its component are; rows that repeat a document
     share its lines. An empty table gives no rows.
     """
@@ -104,18 +103,14 @@ def line_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     near = in_map(ids, lines.select("c", "line")).join(ids.select(F.col("c").alias("n")), F.col("c") == F.col("n"), "left_semi")
     texts = store(near.dropDuplicates(["c"]))
     links, groups = [], None
-    for step in range(3):
+    for step in range(2):
         if step == 0:
-            pairs = members.where("low < c").groupBy(F.col("c").alias("b")).agg(F.min("low").alias("a"))
+            pairs = members.where("low < c").select(F.col("low").alias("a"), F.col("c").alias("b")).distinct()
         else:
-            named = members.join(groups.select("node", "component"), F.col("c") == F.col("node"), "left").select("key", "c", "low", F.coalesce("component", "c").alias("g"))
+            named = members.join(groups.select("node", "component"), F.col("c") == F.col("node"), "left").select("key", "c", F.coalesce("component", "c").alias("g"))
             mixed = named.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1")
             named = store(named.join(mixed.select(separate("key").alias("k")), F.col("key") == F.col("k"), "left_semi"))
-            if step == 1:
-                own = named.where("c = low").select(F.col("key").alias("k"), F.col("g").alias("lg"))
-                pairs = named.join(own, F.col("key") == F.col("k")).where("g <> lg").select(F.col("low").alias("a"), F.col("c").alias("b")).distinct()
-            else:
-                pairs = across(named, signed)
+            pairs = across(named, signed)
         pairs = store(pairs.select("a", "b"))
         links.append(store(confirmed(pairs, texts, percent)))
         every = links[0]
