@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tessellum.llm.common import components, file_system, ready_to_checkpoint, separate, shared_dir, store
 
 #: Projections, and the half width of a window in standard deviations of a threshold pair's distance.
-PROJECTIONS, WIDTH = 48, 1.5
+PROJECTIONS, WIDTH = 32, 2.0
 #: Vectors in a block, and blocks that a task compares with one.
 BLOCK, REACH = 2048, 4
 
@@ -199,7 +199,7 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, id_col: str =
     found = None
     for size in sizes:
         own = classes.where(F.size("v") == size["d"]).select("c", "n", "v")
-        blocks = store(own.repartition(max(1, math.ceil(size["n"] / BLOCK)), F.col("c")).mapInArrow(blocked, "path string, rows long"))
+        blocks = store(own.repartitionById(n := max(1, math.ceil(size["n"] / BLOCK)), F.expr(f"cast(pmod(c, {n}) as int)")).mapInArrow(blocked, "path string, rows long"))
         blocks = blocks.withColumn("number", F.xxhash64("path"))
         part = links(blocks, threshold, projections, width, recall, seed)
         found = part if found is None else found.unionByName(part)
