@@ -20,6 +20,10 @@ from tessellum.llm.common import components, ready_to_checkpoint, separate, stor
 #: Tuples and hashes a tuple of the two collections: 11 x 8 = 88 tables of 5 hashes from 49 minhashes.
 #: At a similarity of 0.8 a pair meets in some table with probability 0.9993.
 FIRST, SECOND = (11, 3), (8, 2)
+#: Classes that each is compared with at first; a matter of speed alone, as the second step has all others.
+LEADERS = 16
+#: One-bit minhashes of a sketch, and the standard deviations below a threshold pair's agreement that still pass.
+BITS, SLACK = 3072, 2.7
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
@@ -120,6 +124,51 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str, seed: in
     return rows.mapInArrow(signed, "doc_id long, n_shingles long, c long, first array<long>, second array<long>")
 
 
+def sketched(texts: DataFrame, width: int, seed: int) -> DataFrame:
+    """(c, size, sketch): the set's size and BITS one-bit minhashes of each set, in longs; two sets agree on a bit with probability (1 + similarity) / 2."""
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odd = np.random.default_rng(seed + 1).integers(0, 1 << 63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        for batch in batches:
+            ids, sizes, sketches = [], [], []
+            for c, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = shingles(text, width)
+                if not len(own) or set_id(own) != c:
+                    continue
+                least = np.full(BITS, np.iinfo(np.uint64).max, np.uint64)
+                for at in range(0, len(own), 512):
+                    least = np.minimum(least, (own[at : at + 512] * odd[:, None]).min(1))
+                ids.append(c)
+                sizes.append(len(own))
+                sketches.append(np.packbits((_mix(least) & np.uint64(1)).astype(np.uint8)).view("<i8"))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], ["c", "size", "sketch"])
+
+    return texts.select("c", "text").mapInArrow(drawn, "c long, size long, sketch array<long>").dropDuplicates(["c"])
+
+
+def across(named: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components that share a key and whose sketches agree as those of linked ones do.
+
+    named: (key, c, g), the rows of keys that hold several components. A pair that shares several
+    tables comes from the first tuples that it shares alone.
+    """
+    own = named.select(F.col("c").alias("n")).distinct()
+    held = store(classes.select("c", "first", "second").join(own, F.col("c") == F.col("n"), "left_semi"))
+    sketch = sketched(texts.join(own, F.col("c") == F.col("n"), "left_semi"), width, seed)
+    wide = store(held.join(sketch.select(F.col("c").alias("m"), "size", "sketch"), F.col("c") == F.col("m")).select(F.col("c").alias("n"), "first", "second", "size", "sketch"))
+    places = held.select("c", F.posexplode("first").alias("i", "x"), "second").select("c", "i", "x", F.posexplode("second").alias("j", "y"))
+    places = places.select(F.xxhash64("i", "x", "j", "y").alias("k"), F.col("c").alias("n"), "i", "j")
+    rows = named.join(places, (F.col("key") == F.col("k")) & (F.col("c") == F.col("n"))).select("key", "c", "g", "i", "j")
+    rows = store(rows.join(wide, F.col("c") == F.col("n")).drop("n"))
+    other = rows.select(F.col("key").alias("k"), F.col("c").alias("d"), F.col("g").alias("h"), F.col("first").alias("first2"), F.col("second").alias("second2"), F.col("size").alias("size2"), F.col("sketch").alias("sketch2"))
+    new = " and ".join([*(f"(i <= {k} or first[{k}] <> first2[{k}])" for k in range(FIRST[0] - 1)), *(f"(j <= {k} or second[{k}] <> second2[{k}])" for k in range(SECOND[0] - 1))])
+    agree = (1 + percent / 100) / 2
+    apart = int(BITS * (1 - agree + SLACK * (agree * (1 - agree) / BITS) ** 0.5))
+    close = " + ".join(f"bit_count(sketch[{k}] ^ sketch2[{k}])" for k in range(BITS // 64))
+    meets = (F.col("key") == F.col("k")) & (F.col("c") < F.col("d")) & (F.col("g") != F.col("h")) & F.expr(f"100 * least(size, size2) >= {percent} * greatest(size, size2)") & F.expr(new) & F.expr(f"{close} <= {apart}")
+    return rows.join(other, meets).select(F.col("c").alias("a"), F.col("d").alias("b"))
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are alike: 100 * intersection >= percent * union.
 
@@ -156,11 +205,11 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     """(doc_id, n_shingles, component_id, kept) of each row: components of documents linked by similar sets.
 
     Documents with one set are one class and are compared once. Classes that share a table's key are
-    compared with the key's smallest class: first each class with the smallest of all those, then with
-    each key's, and last, in keys that still hold several components, each with all those of other
-    components; pairs that a component already joins need no comparison, so no link is lost that
-    banding offers. component_id is the smallest document id of the component. A document without words
-    (null or empty text) is its own component. A null id takes part but never names a component that
+    compared with the LEADERS least of the least classes of their keys, and then, in keys that still hold
+    several components, with all those of other components whose sketch may belong to a link (one in 300
+    right at the threshold is missed); pairs that a component already joins need no comparison.
+    component_id is the smallest document id of the component. A document without words (null or empty
+    text) is its own component. A null id takes part but never names a component that
     has ids; repeated rows are of one class. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -176,19 +225,15 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     texts = store(rows.join(ids.select("c", "least"), F.col("doc_id").eqNullSafe(F.col("least"))).select("c", "text"))
     links, groups = [], None
-    for step in range(3):
+    for step in range(2):
         if step == 0:
-            pairs = members.where("low < c").groupBy(F.col("c").alias("b")).agg(F.min("low").alias("a"))
+            least = F.slice(F.array_sort(F.collect_set("low")), 1, LEADERS)
+            pairs = members.where("low < c").groupBy(F.col("c").alias("b")).agg(least.alias("a")).select("b", F.explode("a").alias("a"))
         else:
-            named = members.join(groups.select(F.col("node"), "component"), F.col("c") == F.col("node"), "left").select("key", "c", "low", F.coalesce("component", "c").alias("g"))
+            named = members.join(groups.select(F.col("node"), "component"), F.col("c") == F.col("node"), "left").select("key", "c", F.coalesce("component", "c").alias("g"))
             mixed = named.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1")
             named = store(named.join(mixed.select(separate("key").alias("k")), F.col("key") == F.col("k"), "left_semi"))
-            if step == 1:
-                own = named.where("c = low").select(F.col("key").alias("k"), F.col("g").alias("lg"))
-                pairs = named.join(own, F.col("key") == F.col("k")).where("g <> lg").select(F.col("low").alias("a"), F.col("c").alias("b")).distinct()
-            else:
-                other = named.select(F.col("key").alias("k"), F.col("c").alias("d"), F.col("g").alias("h"))
-                pairs = named.join(other, (F.col("key") == F.col("k")) & (F.col("c") < F.col("d")) & (F.col("g") != F.col("h"))).where("c <> low").select(F.col("c").alias("a"), F.col("d").alias("b")).distinct()
+            pairs = across(named, classes, texts, width, percent, seed)
         pairs = store(pairs.select("a", "b"))
         if pairs.isEmpty():
             break
@@ -206,3 +251,17 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     joined = signed.select("doc_id", "n_shingles", "c").join(named.select(separate("c").alias("k"), "component_id"), F.col("c") == F.col("k"), "left")
     component = F.expr("case when c is null then doc_id else component_id end")
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.expr("coalesce(doc_id = component_id, component_id is null)"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of docs with one of each component left; columns as before.
+
+    Of rows that repeat an id, one stays. Rows without an id stay unless a row with an id is of their component.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **settings)
+    gone = store(found.where("not kept").select(F.col("doc_id").alias("_id")).distinct())
+    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    rows = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    if repeated.isEmpty():
+        return rows
+    return rows.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(rows.where(F.col(id_col).isNull()))
