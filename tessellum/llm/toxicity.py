@@ -275,7 +275,7 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 3 == 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 6000, max_chars: int = 20_000_000, seed: int = 11) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 4000, max_chars: int = 12_000_000, seed: int = 11) -> Model:
     """Learn from at most `max_rows` labelled documents of each label, those with the least seeded hash of their id.
 
     Held-out documents, null labels and labels without a document teach nothing; of repeated labels the
@@ -306,6 +306,19 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scored, "doc_id long, score double")
 
 
+def keep_clean(docs: DataFrame, model: Model, *, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows whose text scores below `threshold`, with their columns as they are; texts are scored where they stand, without a shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)
+        for batch in batches:
+            yield batch.filter(pa.array(scorer.scores(batch.column(at).to_pylist()) < threshold))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def train_frame(frame: pd.DataFrame) -> Model:
     """Train on a pandas frame of (text, toxic); for tests."""
     return train(frame["text"].fillna("").tolist(), (frame["toxic"] == 1).to_numpy())
