@@ -139,3 +139,16 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     out = ["doc_id", "source", "size", "source_size", "target", "whole", "more"]
     mixed = rest.select(*out).unionByName(whole.select(*out)).unionByName(edge.select(*out))
     return mixed.select(F.col("doc_id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("whole") + F.col("more")).cast("int").alias("copies"))
+
+
+def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
+    """The rows of docs as often as the mix takes them; columns as before.
+
+    Rows that repeat an id are taken for one document: each is taken as often as the mix takes the id's
+    row of its source and size, at most.
+    """
+    copies = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **settings)
+    copies = copies.groupBy(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    rows = docs.withColumn("_words", word_count(text_col))
+    taken = rows.join(copies, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")

@@ -68,8 +68,9 @@ def purities(host_templates: pd.DataFrame, prior: float = PRIOR, weight: float =
     """Purity and verdict of one host's templates.
 
     A node has the labels of all templates below it. Siblings whose labelled purities do not differ
-    significantly are merged, best to worst; a branch without labels has none that could be compared,
-    so it stays alone. A group's purity is smoothed towards the mean of the node above and the prior.
+    significantly are merged, best to worst, with all that is below them; a branch without labels has
+    none that could be compared, so it stays alone. A group's purity is smoothed towards the mean of the
+    group above and the prior.
     """
     good: dict[str, float] = {}
     labelled: dict[str, float] = {}
@@ -81,23 +82,28 @@ def purities(host_templates: pd.DataFrame, prior: float = PRIOR, weight: float =
             good[node], labelled[node] = good.get(node, 0) + g, labelled.get(node, 0) + n
             if k:
                 children.setdefault("/".join(parts[:k]), set()).add(node)
-    purity = {"": (good.get("", 0) + weight * prior) / (labelled.get("", 0) + weight)}
-    for parent in sorted(children, key=lambda node: (node.count("/"), node)):
-        above = (purity[parent] + prior) / 2
-        marked = sorted((c for c in children[parent] if labelled[c]), key=lambda c: (-good[c] / labelled[c], c))
+    purity: dict[str, float] = {}
+    waiting = [([""], prior)]
+    while waiting:
+        merged, above = waiting.pop()
+        own = (sum(good.get(c, 0) for c in merged) + weight * above) / (sum(labelled.get(c, 0) for c in merged) + weight)
+        purity.update(dict.fromkeys(merged, own))
+        branches: dict[str, list[str]] = {}
+        for child in sorted(c for node in merged for c in children.get(node, ())):
+            branches.setdefault(child.rpartition("/")[2], []).append(child)
+        sums = {name: (sum(good[c] for c in nodes), sum(labelled[c] for c in nodes)) for name, nodes in branches.items()}
         groups: list[list[str]] = []
-        for child in marked:
+        for name in sorted((x for x in sums if sums[x][1]), key=lambda x: (-sums[x][0] / sums[x][1], x)):
+            g1, n1 = sums[name]
             if groups:
-                g0, n0 = (sum(d[c] for c in groups[-1]) for d in (good, labelled))
-                p = (g0 + good[child]) / (n0 + labelled[child])
-                error = math.sqrt(max(p * (1 - p), 1e-9) * (1 / n0 + 1 / labelled[child]))
-                if abs(g0 / n0 - good[child] / labelled[child]) <= z * error:
-                    groups[-1].append(child)
+                g0, n0 = (sum(sums[x][k] for x in groups[-1]) for k in (0, 1))
+                p = (g0 + g1) / (n0 + n1)
+                if abs(g0 / n0 - g1 / n1) <= z * math.sqrt(max(p * (1 - p), 1e-9) * (1 / n0 + 1 / n1)):
+                    groups[-1].append(name)
                     continue
-            groups.append([child])
-        for group in [*groups, *([c] for c in children[parent] if not labelled[c])]:
-            g0, n0 = (sum(d[c] for c in group) for d in (good, labelled))
-            purity.update(dict.fromkeys(group, (g0 + weight * above) / (n0 + weight)))
+            groups.append([name])
+        groups += [[name] for name in sums if not sums[name][1]]
+        waiting += [([c for name in group for c in branches[name]], (own + prior) / 2) for group in groups]
     out = host_templates[["host", "template"]].copy()
     out["purity"] = [purity[t] for t in out["template"]]
     out["rejected"] = out["purity"] < least
