@@ -141,7 +141,7 @@ def handed_over(spark: SparkSession, path: str) -> DataFrame:
 
 
 def checked_handover(good: DataFrame, lines: DataFrame) -> DataFrame:
-    if good.isEmpty() and not lines.where(F.trim("value") != "").isEmpty():
+    if not good.take(1) and not lines.where(F.trim("value") != "").isEmpty():
         raise ValueError("no line of the hand-over has the form path|title|date")
     return good
 
