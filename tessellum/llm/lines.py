@@ -16,8 +16,12 @@ from tessellum.llm.common import components, ready_to_checkpoint, separate, stor
 WIDTH, BANDS, ROWS, PERCENT = 8, 7, 3, 80
 #: Bits of the map by which lines that are no candidates leave before a shuffle, in pieces of PIECE bits: 2 MB at most.
 MAP, PIECE = 1 << 24, 1 << 15
-#: Minhashes that a linked pair agrees on at least, of BANDS * ROWS; at a similarity of 0.8 one pair in 3000 has fewer.
-AGREE = 10
+#: Lines that each is compared with at first; a matter of speed alone, as the second step has all others.
+LEADERS = 2
+#: Minhashes of a sketch, seven bytes of them in a number, and the standard deviations below a threshold pair's agreement that still pass.
+SKETCH, SLACK = 252, 2.7
+#: Pairs of lines that a task verifies.
+PAIRS = 1024
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -55,7 +59,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of lines whose full sets are alike: 100 * intersection >= percent * union."""
     left = texts.select(F.col("c").alias("ca"), F.col("line").alias("la"))
     right = texts.select(F.col("c").alias("cb"), F.col("line").alias("lb"))
-    both = pairs.join(left, F.col("a") == F.col("ca")).select("a", "b", "la").join(right, F.col("b") == F.col("cb")).select("a", "b", "la", "lb")
+    n = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // PAIRS))
+    both = pairs.join(left, F.col("a") == F.col("ca")).select("a", "b", "la").join(right, F.col("b") == F.col("cb")).select("a", "b", "la", "lb").repartition(n, "a", "b")
     sides = both.select("a", "b", F.expr("explode(array(struct(1 as side, encode(la, 'UTF-16BE') as u), struct(2 as side, encode(lb, 'UTF-16BE') as u))) as s")).select("a", "b", "s.side", "s.u")
     each = sides.select("a", "b", "side", "u", shingle_hashes("u").alias("at")).select("a", "b", "side", shingle_hash("u").alias("h"))
     each = each.groupBy("a", "b", "h").agg(F.bit_or("side").alias("sides"))
@@ -63,17 +68,37 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return alike.where(100 * F.col("both") >= percent * F.col("any")).select("a", "b")
 
 
-def across(named: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines of different components that share a band and agree on minhashes as linked lines do.
+def sketched(texts: DataFrame) -> DataFrame:
+    """(n, sketch): the low bytes of SKETCH minhashes of each line, seven in a number."""
+    each = texts.select("c", F.encode("line", "UTF-16BE").alias("u")).select("c", "u", shingle_hashes("u").alias("at")).select("c", shingle_hash("u").alias("h"))
+    least = each.groupBy("c").agg(*(F.min(F.expr(f"h ^ {p}L")).alias(f"m{k}") for k, p in enumerate(points(BANDS * ROWS + SKETCH)[BANDS * ROWS :])))
+    packed = [F.expr(" | ".join(f"shiftleft(m{k + j} & 255L, {8 * j})" for j in range(7))) for k in range(0, SKETCH, 7)]
+    spark = texts.sparkSession
+    fields = spark.conf.get("spark.sql.codegen.maxFields")
+    spark.conf.set("spark.sql.codegen.maxFields", str(2 * SKETCH))  # more columns than Spark compiles by itself
+    try:
+        return store(least.select(F.col("c").alias("n"), F.array(*packed).alias("sketch")))
+    finally:
+        spark.conf.set("spark.sql.codegen.maxFields", fields)
+
+
+def across(named: DataFrame, signed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of lines of different components that share a band and whose sketches agree as those of linked lines do.
 
     named: (key, c, g), the rows of bands that hold several components. A pair comes from the first band that it shares.
     """
-    rows = named.join(signed.select(F.col("c").alias("n"), "keys", "tags"), F.col("c") == F.col("n")).withColumn("band", F.expr("array_position(keys, key) - 1"))
-    rows = store(rows.select("key", "c", "g", "band", "keys", "tags"))
-    other = rows.select(F.col("key").alias("k"), F.col("c").alias("d"), F.col("g").alias("h"), F.col("keys").alias("keys2"), F.col("tags").alias("tags2"))
+    own = named.select(F.col("c").alias("o")).distinct()
+    sketch = sketched(texts.join(own, F.col("c") == F.col("o"), "left_semi"))
+    wide = signed.select("c", "keys").join(sketch, F.col("c") == F.col("n")).select("n", "keys", "sketch")
+    rows = named.join(wide, F.col("c") == F.col("n")).withColumn("band", F.expr("array_position(keys, key) - 1"))
+    rows = store(rows.select("key", "c", "g", "band", "keys", "sketch"))
+    other = rows.select(F.col("key").alias("k"), F.col("c").alias("d"), F.col("g").alias("h"), F.col("keys").alias("keys2"), F.col("sketch").alias("sketch2"))
     new = " and ".join(f"(band <= {k} or keys[{k}] <> keys2[{k}])" for k in range(BANDS - 1))
-    same = " + ".join(f"if(tags[{k}] = tags2[{k}], 1, 0)" for k in range(BANDS * ROWS))
-    meets = (F.col("key") == F.col("k")) & (F.col("c") < F.col("d")) & (F.col("g") != F.col("h")) & F.expr(new) & F.expr(f"{same} >= {AGREE}")
+    low, high = int("7f" * 7, 16), int("80" * 7, 16)  # of each byte all bits but the first, and the first
+    differ = " + ".join(f"bit_count((((sketch[{k}] ^ sketch2[{k}]) & {low}L) + {low}L | (sketch[{k}] ^ sketch2[{k}])) & {high}L)" for k in range(SKETCH // 7))
+    agree = percent / 100
+    most = int(SKETCH * (1 - agree + SLACK * (agree * (1 - agree) / SKETCH) ** 0.5))
+    meets = (F.col("key") == F.col("k")) & (F.col("c") < F.col("d")) & (F.col("g") != F.col("h")) & F.expr(new) & F.expr(f"{differ} <= {most}")
     return rows.join(other, meets).select(F.col("c").alias("a"), F.col("d").alias("b"))
 
 
@@ -82,8 +107,9 @@ def line_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Lines of one component are alike by `percent` or linked by lines that are; (first_doc, first_no) is
     the component's least (doc_id, line_no), and kept marks that line. Lines are numbered from 0.
-    Lines that share a band are compared with the band's least line, and then, in bands that still hold
-    several components, all those of different components that agree on AGREE minhashes. Null texts and blank lines give no rows.
+    Lines that share a band are first compared with the least line of each of their bands, and then, in bands
+    that still hold several components, all those of different components whose sketches agree as those of linked lines do (one in
+    300 right at the threshold does not). Null texts and blank lines give no rows.
     A line of a null id is never first unless all of its component are; rows that repeat a document
     share its lines. An empty table gives no rows.
     """
@@ -94,23 +120,24 @@ def line_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     least = [F.min(F.expr(f"h ^ {p}L")).alias(f"m{k}") for k, p in enumerate(points(BANDS * ROWS))]
     signed = each.groupBy("c").agg(F.min("place").alias("place"), *least)
     keys = F.array(*(F.xxhash64(F.lit(b), *(f"m{b + BANDS * r}" for r in range(ROWS))) for b in range(BANDS)))
-    tags = F.array(*(F.col(f"m{k}").bitwiseAND(F.lit(32767)).cast("short") for k in range(BANDS * ROWS)))
-    signed = store(signed.select("c", "place", keys.alias("keys"), tags.alias("tags")))
+    signed = store(signed.select("c", "place", keys.alias("keys")))
     bands = signed.select(F.explode("keys").alias("key"), "c")
-    shared = bands.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    members = store(bands.join(shared.select(separate("key").alias("k"), "low"), F.col("key") == F.col("k")).select("key", "c", "low"))
+    shared = store(bands.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key", "low"))
+    met = in_map(shared.select(F.col("key").alias("c")), bands.select(F.col("key").alias("c"), F.col("c").alias("member"))).select(F.col("c").alias("key"), F.col("member").alias("c"))
+    members = store(met.join(shared.select(separate("key").alias("k"), "low"), F.col("key") == F.col("k")).select("key", "c", "low"))
     ids = store(members.select("c").distinct())
     near = in_map(ids, lines.select("c", "line")).join(ids.select(F.col("c").alias("n")), F.col("c") == F.col("n"), "left_semi")
     texts = store(near.dropDuplicates(["c"]))
     links, groups = [], None
     for step in range(2):
         if step == 0:
-            pairs = members.where("low < c").select(F.col("low").alias("a"), F.col("c").alias("b")).distinct()
+            least = F.slice(F.array_sort(F.collect_set("low")), 1, LEADERS)
+            pairs = members.where("low < c").groupBy(F.col("c").alias("b")).agg(least.alias("a")).select("b", F.explode("a").alias("a"))
         else:
             named = members.join(groups.select("node", "component"), F.col("c") == F.col("node"), "left").select("key", "c", F.coalesce("component", "c").alias("g"))
             mixed = named.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1")
             named = store(named.join(mixed.select(separate("key").alias("k")), F.col("key") == F.col("k"), "left_semi"))
-            pairs = across(named, signed)
+            pairs = across(named, signed, texts, percent)
         pairs = store(pairs.select("a", "b"))
         links.append(store(confirmed(pairs, texts, percent)))
         every = links[0]
