@@ -43,7 +43,7 @@ def share_out(sizes: list[int], weights: list[float], total: float, cap: float)
 
 
 def fit(sizes: list[int], counts: list[int], budget: int, seed: int) -> list[int]:
-    """How many documents of each size make up the budget as nearly as can be from below.
+    """How many documents of each size make up the budget as nearly as can be; of equally near sums the lower.
 
     First every size gives its share of documents, rounded down; then sizes in seeded order give one
     more until what is left is a few documents' worth; that is solved by bounded knapsack over the
@@ -64,23 +64,27 @@ def fit(sizes: list[int], counts: list[int], budget: int, seed: int) -> list[int
         if left - sizes[i] >= window and taken[i] < counts[i]:
             taken[i] += 1
             left -= sizes[i]
-    reach, first = 1, np.full(left + 1, -1, np.int64)
+    most = left + max(sizes)  # a sum above the budget may be the nearest
+    reach, first = 1, np.full(most + 1, -1, np.int64)
     pieces: list[tuple[int, int]] = []
-    mask = (1 << (left + 1)) - 1
+    mask = (1 << (most + 1)) - 1
     for i in order:
-        free, part = min(counts[i] - taken[i], left // sizes[i]), 1
+        free, part = min(counts[i] - taken[i], most // sizes[i]), 1
         while free > 0:
             n = min(part, free)
             new = (reach << (n * sizes[i])) & mask & ~reach
             if new:
-                bits = np.unpackbits(np.frombuffer(new.to_bytes(left // 8 + 1, "little"), np.uint8), bitorder="little")
+                bits = np.unpackbits(np.frombuffer(new.to_bytes(most // 8 + 1, "little"), np.uint8), bitorder="little")
                 first[np.flatnonzero(bits)] = len(pieces)
                 pieces.append((i, n))
                 reach |= new
             free, part = free - n, part * 2
         if reach >> left & 1:
             break
-    at = reach.bit_length() - 1
+    at = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1
+    above = reach >> left
+    if above and (above & -above).bit_length() - 1 < left - at:
+        at = left + (above & -above).bit_length() - 1
     while at:  # the piece that first reached a sum was added to a sum reached by earlier pieces
         i, n = pieces[first[at]]
         taken[i] += n
