@@ -23,7 +23,7 @@ FIRST, SECOND = (11, 3), (8, 2)
 #: Classes that each is compared with at first; a matter of speed alone, as the second step has all others.
 LEADERS = 16
 #: One-bit minhashes of a sketch, and the standard deviations below a threshold pair's agreement that still pass.
-BITS, SLACK = 3072, 2.7
+BITS, SLACK = 4096, 2.4
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
 
     Documents with one set are one class and are compared once. Classes that share a table's key are
     compared with the LEADERS least of the least classes of their keys, and then, in keys that still hold
-    several components, with all those of other components whose sketch may belong to a link (one in 300
+    several components, with all those of other components whose sketch may belong to a link (one in 120
     right at the threshold is missed); pairs that a component already joins need no comparison.
     component_id is the smallest document id of the component. A document without words (null or empty
     text) is its own component. A null id takes part but never names a component that
