@@ -41,6 +41,11 @@ def cut(text: Column, cap: int = MESSAGE_CAP, suffix: str = CUT_SUFFIX) -> Colum
     return F.when(F.length(text) > cap, F.concat(F.substring(text, 1, cap - len(suffix)), F.lit(suffix))).otherwise(text)
 
 
+def characters(text: Column) -> Column:
+    """Length in characters, 0 for null."""
+    return F.coalesce(F.length(text), F.lit(0))
+
+
 def similarity(a: Column, b: Column) -> Column:
     """1 less the edit distance over the longer length; of two empty texts 1."""
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
@@ -121,6 +126,11 @@ def capped(tags: Column, most: int = 5) -> Column:
     return F.slice(F.array_distinct(tags), 1, most)
 
 
+def overlap(a: Column, b: Column) -> Column:
+    """Whether two arrays of tags share one."""
+    return F.coalesce(F.arrays_overlap(a, b), F.lit(False))
+
+
 def header(fields: Column, key: str) -> Column:
     """A header's value, null where the key is missing."""
     return F.try_element_at(fields, F.lit(key))

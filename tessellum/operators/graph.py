@@ -56,3 +56,16 @@ def degrees(files: DataFrame, links: DataFrame) -> DataFrame:
     into = links.groupBy(F.col("dst").alias("path")).agg(F.count("*").alias("n_in"))
     broken = links.join(files.select(F.col("path").alias("dst")), "dst", "left_anti").groupBy(F.col("src").alias("path")).agg(F.count("*").alias("broken"))
     return files.select("path").join(out, "path", "left").join(into, "path", "left").join(broken, "path", "left").fillna(0).withColumn("orphan", (F.col("n_in") == 0) & (F.col("n_out") == 0))
+
+
+def acyclic(calls: DataFrame, hard: int = 10) -> DataFrame:
+    """Functions that reach themselves through calls (src, dst); a sound call graph has none."""
+    plain = calls.select("src", "dst").distinct()
+    reach = plain
+    for _ in range(hard):
+        more = reach.join(plain.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "dst").select("src", F.col("next").alias("dst"))
+        more = more.join(reach, ["src", "dst"], "left_anti").distinct().checkpoint() if calls.sparkSession.sparkContext.getCheckpointDir() else more.join(reach, ["src", "dst"], "left_anti").distinct()
+        if more.isEmpty():
+            break
+        reach = reach.unionByName(more)
+    return reach.where("src = dst").select("src").distinct()

@@ -186,3 +186,9 @@ def fetched(pages: DataFrame, first: DataFrame | None = None) -> DataFrame:
         return pages.withColumn("tool", F.lit("fallback"))
     rest = pages.join(first.select("url"), "url", "left_anti").withColumn("tool", F.lit("fallback"))
     return first.withColumn("tool", F.lit("primary")).unionByName(rest)
+
+
+def quotes(rows: DataFrame, target: str = "target", ts: str = "ts", value: str = "value") -> DataFrame:
+    """Market data as an input table, (target, ts, value); of several values of one time the greatest holds. Nothing is fetched here."""
+    plain = rows.select(F.col(target).alias("target"), F.col(ts).alias("ts"), F.col(value).cast("double").alias("value"))
+    return plain.where("ts is not null").groupBy("target", "ts").agg(F.max("value").alias("value"))

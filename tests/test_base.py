@@ -120,6 +120,8 @@ def test_joins(spark):
     assert sorted(values(G.hops(edges, spark.createDataFrame([(1,)], "node int")), "node", "hop")) == [(1, 0), (2, 1), (3, 2), (4, 3)]
     near = G.hops(edges, spark.createDataFrame([(1,)], "node int"), hard=2)
     assert values(G.pending(edges, near, hard=2), "node") == [(4,)]
+    assert sorted(values(G.acyclic(edges), "src")) == [(1,), (2,), (3,)]
+    assert tuple(spark.range(1).select(X.characters(F.lit(None).cast("string")), X.overlap(F.expr("array('a')"), F.expr("array('a', 'b')"))).first()) == (0, True)
     membership = spark.createDataFrame([(1, "x"), (1, "y"), (2, "x"), (2, "y"), (3, "x")], "member int, item string")
     assert values(J.cross_pairs(membership), "i", "j", "shared") == [(1, 2, 2)]
     user = spark.createDataFrame([("p", "u")], "path string, v string")
