@@ -8,6 +8,7 @@ triple: a word's score is then the same sum over its own triples, without going
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -24,6 +25,8 @@ ALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "
 ALPHABET, SPAN, DECAY, WIDEST = 32, 5, 0.7, 40
 #: Offsets of the second and third letter of a triple.
 OFFSETS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
+#: Signs that are stripped from a word's ends.
+EDGES = "#*$%&|<>.,;:!?\"'()[]{}-_~`"
 #: Characters written around each word.
 BEGIN, END = 1, 2
 #: Distinct words whose scores a worker remembers.
@@ -103,10 +106,10 @@ def word_scores(words: list[str], weights: np.ndarray) -> np.ndarray:
 def units(text: str | None) -> list[str]:
     """Words of a text as the kernel sees them.
 
-    Lower case, split at ASCII white space; a run of three or more single characters is one word too,
+    Lower case, split at white space, signs at either end stripped; a run of three or more single characters is one word too,
     as spaced-out letters hide one; very long words are cut into overlapping stretches of WIDEST.
     """
-    words = (text or "").lower().split()
+    words = [w.strip(EDGES) for w in (text or "").lower().split()]
     if any(len(w) > WIDEST for w in words):
         words = [w[k : k + WIDEST] for w in words for k in range(0, max(1, len(w) - WIDEST // 2), WIDEST // 2)]
     run: list[str] = []
@@ -195,13 +198,16 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, steps: int = 4
 
 def kernel(words: list[str], phi: np.ndarray) -> np.ndarray:
     """Kernel of each word with each landmark, phi being the landmarks in the kernel's own space."""
-    by_triple, parts = np.ascontiguousarray(phi.T), []
-    for k in range(0, len(words), 1500):
-        part = words[k : k + 1500]
+    used = np.flatnonzero(phi.any(0))
+    place = np.full(phi.shape[1], len(used), np.int64)  # triples of no landmark share one row of zeros
+    place[used] = np.arange(len(used))
+    by_triple, parts = np.concatenate([phi.T[used], np.zeros((1, len(phi)), np.float32)]), []
+    for k in range(0, len(words), 500):
+        part = words[k : k + 500]
         codes, starts = coded(part)
         total = np.zeros((len(codes), len(phi)), np.float32)
         for at, triple, weight in triples(part):
-            total[at] += np.float32(weight) * by_triple[triple]
+            total[at] += np.float32(weight) * by_triple[place[triple]]
         parts.append(np.add.reduceat(total, starts, axis=0).astype(np.float64) / norms(part)[:, None])
     return np.concatenate(parts) if parts else np.zeros((0, len(phi)))
 
@@ -212,7 +218,7 @@ def disguises(word: str) -> list[str]:
     return [".".join(word), f"{word[:half]}*{word[half:]}", f"{word[: half - 1]}x{word[half - 1 :]}"]
 
 
-def train(texts: list[str], toxic: np.ndarray, *, landmarks: int = 96, more: int = 64, rounds: int = 4, sample: int = 12000, seed: int = 11) -> Model:
+def train(texts: list[str], toxic: np.ndarray, *, landmarks: int = 96, more: int = 64, rounds: int = 4, sample: int = 8000, seed: int = 11) -> Model:
     """Train on labelled texts.
 
     A toxic text says only that one of its words is: the witnesses start as its words with the highest
@@ -221,16 +227,18 @@ def train(texts: list[str], toxic: np.ndarray, *, landmarks: int = 96, more: int
     `more` words that the machine gets most wrong join them, and the hardest clean words the training.
     """
     rng = np.random.default_rng(seed)
-    split = [sorted(set(units(t))) for t in texts]
-    clean, bad = Counter(), Counter()
-    for words, t in zip(split, toxic, strict=True):
+    split, clean, bad = [], Counter(), Counter()
+    for text, t in zip(texts, toxic, strict=True):
+        words = sorted(set(units(text)))
         (bad if t else clean).update(words)
+        if t and words:
+            split.append(words)
     n_bad, n_clean = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     if not bad or not clean:
         return Model(np.zeros(ALPHABET**3), -1.0, np.zeros(4), -4.0 if not bad else 0.0)
     odds = {w: np.log((c + 0.5) / (n_bad + 1)) - np.log((clean[w] + 0.5) / (n_clean + 1)) for w, c in bad.items()}
     value = {w: odds[w] * np.sqrt(bad[w]) for w in bad}  # a word of one text only says little
-    positive = Counter(max(words, key=lambda w: (value[w], w)) for words, t in zip(split, toxic, strict=True) if t and words)
+    positive = Counter(max(words, key=lambda w: (value[w], w)) for words in split)
     positive.update({w: bad[w] for w in bad if odds[w] > 2 and bad[w] >= 5 and clean[w] <= 0.05 * bad[w]})
     common = [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0]))]
     negative = sorted({*common[: sample // 2], *(common[i] for i in rng.permutation(len(common))[: sample // 2])})
@@ -250,12 +258,12 @@ def train(texts: list[str], toxic: np.ndarray, *, landmarks: int = 96, more: int
         cost = np.concatenate([np.sqrt([*(positive[w] for w in witnesses[: len(witnesses) - len(hidden)]), *(c for _, c in hidden)]), np.sqrt([clean[w] for w in negative])])
         cost[: len(witnesses)] *= 0.3 * cost[len(witnesses) :].sum() / cost[: len(witnesses)].sum()
         w = support_vectors(np.hstack([x, np.ones((len(x), 1))]), y, cost / cost.mean(), penalty=1e-4)
-        weights, bias = (nystroem @ w[:-1]) @ phi.astype(np.float64), float(w[-1])
+        weights, bias = ((nystroem @ w[:-1]).astype(np.float32) @ phi).astype(np.float64), float(w[-1])
         if last + 1 == rounds:
             break
         valued = lambda words: [v for at in range(0, len(words), 20000) for v in (word_scores(words[at : at + 20000], weights) + bias).tolist()]  # noqa: E731,B023
         found = dict(zip(bad_words, valued(bad_words), strict=True))
-        positive = Counter(max(words, key=lambda w: (found[w] + 0.1 * min(odds[w], 3), w)) for words, t in zip(split, toxic, strict=True) if t and words)  # noqa: B023
+        positive = Counter(max(words, key=lambda w: (found[w] + 0.1 * min(odds[w], 3), w)) for words in split)  # noqa: B023
         positive.update({w: bad[w] for w in bad if found[w] > 0.5 and odds[w] > 1.5})
         positive = Counter({w: c for w, c in positive.items() if odds[w] > 0.5})
         if not positive:
@@ -265,7 +273,8 @@ def train(texts: list[str], toxic: np.ndarray, *, landmarks: int = 96, more: int
         weak = sorted(positive, key=lambda w: (found[w] - 0.05 * np.sqrt(positive[w]), w))  # noqa: B023
         marks = sorted({*marks, *(c for _, c in wrong[: more // 2]), *weak[: more // 2]})
     model = Model(weights, bias, np.zeros(4), 0.0)
-    best = Scorer(model).best(texts)
+    scorer = Scorer(model)
+    best = np.concatenate([scorer.best(texts[k : k + 100]) for k in range(0, len(texts), 100)])
     w = logistic(np.hstack([best, np.ones((len(best), 1))]), toxic.astype(float))
     return Model(weights, bias, w[:-1], float(w[-1]))
 
@@ -275,23 +284,31 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 3 == 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 4000, max_chars: int = 12_000_000, seed: int = 11) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 4000, max_chars: int = 14_000_000, seed: int = 11) -> Model:
     """Learn from at most `max_rows` labelled documents of each label, those with the least seeded hash of their id.
 
     Held-out documents, null labels and labels without a document teach nothing; of repeated labels the
-    greatest holds. The sample's texts come to the driver, at most `max_chars` characters of them: whole
-    texts in the order of the hash, those left out that would go beyond.
+    greatest holds. The sample's texts come to one task, at most `max_chars` characters of them: whole texts
+    in the order of the hash, those left out that would go beyond.
     """
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where("pmod(crc32(cast(%s as string)), 3) <> 1" % id_col)
     marked = marked.groupBy(F.col(id_col).alias("i")).agg((F.max(label_col) == 1).alias("y"))
     order = [F.xxhash64(F.lit(seed), "i"), F.col("i")]
     sample = marked.where("y").orderBy(*order).limit(max_rows).unionByName(marked.where("not y").orderBy(*order).limit(max_rows))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("i"))
-    sizes = rows.select("doc_id", "y", F.length("text").alias("n"), F.xxhash64(F.lit(seed), "doc_id").alias("h")).toPandas().sort_values(["y", "h", "doc_id"])
+    sizes = rows.select("doc_id", "y", F.length("text").alias("n"), F.xxhash64(F.lit(seed), "doc_id").alias("h")).toPandas().sort_values(["y", "h", "doc_id"])  # two rows of numbers per sampled document
     fits = sizes.groupby("y")["n"].cumsum() <= max_chars // 2
     chosen = docs.sparkSession.createDataFrame([(int(i),) for i in sorted(set(sizes["doc_id"][fits]))], "k long")
-    found = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("k"), "left_semi").select("doc_id", "y", "text").toPandas().sort_values(["doc_id", "text"])
-    return train(found["text"].tolist(), found["y"].to_numpy(bool), seed=seed)
+    found = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("k"), "left_semi").select("doc_id", "y", "text")
+
+    def trained(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(frames)
+        if parts:
+            sample = pd.concat(parts).sort_values(["doc_id", "text"])
+            yield pd.DataFrame({"model": [pickle.dumps(train(sample["text"].tolist(), sample["y"].to_numpy(bool), seed=seed))]})
+
+    models = found.repartition(1).mapInPandas(trained, "model binary").collect()  # one task has the bounded sample, and the driver the model alone
+    return pickle.loads(models[0]["model"]) if models else train([], np.zeros(0, bool), seed=seed)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
