@@ -18,8 +18,8 @@ WIDTH, BANDS, ROWS, PERCENT = 8, 7, 3, 80
 MAP, PIECE = 1 << 24, 1 << 15
 #: Lines that each is compared with at first; a matter of speed alone, as the second step has all others.
 LEADERS = 2
-#: Minhashes of a sketch, seven bytes of them in a number, and the standard deviations below a threshold pair's agreement that still pass.
-SKETCH, SLACK = 252, 2.7
+#: Bits of a sketch, 64 in a number.
+SKETCH = 2048
 #: Pairs of lines that a task verifies.
 PAIRS = 1024
 _ODD = 0x9E3779B97F4A7C15
@@ -69,36 +69,32 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def sketched(texts: DataFrame) -> DataFrame:
-    """(n, sketch): the low bytes of SKETCH minhashes of each line, seven in a number."""
+    """(n, size, sketch): the shingles of each line, repeated ones counted again, and a map of SKETCH bits with each shingle's bit set.
+
+    Two maps differ in at most as many bits as there are shingles in one line alone, whatever the hashes are.
+    """
     each = texts.select("c", F.encode("line", "UTF-16BE").alias("u")).select("c", "u", shingle_hashes("u").alias("at")).select("c", shingle_hash("u").alias("h"))
-    least = each.groupBy("c").agg(*(F.min(F.expr(f"h ^ {p}L")).alias(f"m{k}") for k, p in enumerate(points(BANDS * ROWS + SKETCH)[BANDS * ROWS :])))
-    packed = [F.expr(" | ".join(f"shiftleft(m{k + j} & 255L, {8 * j})" for j in range(7))) for k in range(0, SKETCH, 7)]
-    spark = texts.sparkSession
-    fields = spark.conf.get("spark.sql.codegen.maxFields")
-    spark.conf.set("spark.sql.codegen.maxFields", str(2 * SKETCH))  # more columns than Spark compiles by itself
-    try:
-        return store(least.select(F.col("c").alias("n"), F.array(*packed).alias("sketch")))
-    finally:
-        spark.conf.set("spark.sql.codegen.maxFields", fields)
+    each = each.select("c", F.expr(f"pmod(shiftright(h, 6), {SKETCH // 64})").alias("place"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    words = [F.bit_or(F.expr(f"if(place = {k}, bit, 0L)")).alias(f"m{k}") for k in range(SKETCH // 64)]
+    whole = each.groupBy("c").agg(F.count("*").alias("size"), *words)
+    return store(whole.select(F.col("c").alias("n"), "size", F.array(*(f"m{k}" for k in range(SKETCH // 64))).alias("sketch")))
 
 
 def across(named: DataFrame, signed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of lines of different components that share a band and whose sketches agree as those of linked lines do.
+    """Pairs (a, b) of lines of different components that share a band and whose sketches do not rule a link out; no link is lost.
 
     named: (key, c, g), the rows of bands that hold several components. A pair comes from the first band that it shares.
+    Of a link, at most (100 - percent) / (100 + percent) of the two sets' sizes are in one set alone.
     """
     own = named.select(F.col("c").alias("o")).distinct()
     sketch = sketched(texts.join(own, F.col("c") == F.col("o"), "left_semi"))
-    wide = signed.select("c", "keys").join(sketch, F.col("c") == F.col("n")).select("n", "keys", "sketch")
+    wide = signed.select("c", "keys").join(sketch, F.col("c") == F.col("n")).select("n", "keys", "size", "sketch")
     rows = named.join(wide, F.col("c") == F.col("n")).withColumn("band", F.expr("array_position(keys, key) - 1"))
-    rows = store(rows.select("key", "c", "g", "band", "keys", "sketch"))
-    other = rows.select(F.col("key").alias("k"), F.col("c").alias("d"), F.col("g").alias("h"), F.col("keys").alias("keys2"), F.col("sketch").alias("sketch2"))
+    rows = store(rows.select("key", "c", "g", "band", "keys", "size", "sketch"))
+    other = rows.select(F.col("key").alias("k"), F.col("c").alias("d"), F.col("g").alias("h"), F.col("keys").alias("keys2"), F.col("size").alias("size2"), F.col("sketch").alias("sketch2"))
     new = " and ".join(f"(band <= {k} or keys[{k}] <> keys2[{k}])" for k in range(BANDS - 1))
-    low, high = int("7f" * 7, 16), int("80" * 7, 16)  # of each byte all bits but the first, and the first
-    differ = " + ".join(f"bit_count((((sketch[{k}] ^ sketch2[{k}]) & {low}L) + {low}L | (sketch[{k}] ^ sketch2[{k}])) & {high}L)" for k in range(SKETCH // 7))
-    agree = percent / 100
-    most = int(SKETCH * (1 - agree + SLACK * (agree * (1 - agree) / SKETCH) ** 0.5))
-    meets = (F.col("key") == F.col("k")) & (F.col("c") < F.col("d")) & (F.col("g") != F.col("h")) & F.expr(new) & F.expr(f"{differ} <= {most}")
+    differ = " + ".join(f"bit_count(sketch[{k}] ^ sketch2[{k}])" for k in range(SKETCH // 64))
+    meets = (F.col("key") == F.col("k")) & (F.col("c") < F.col("d")) & (F.col("g") != F.col("h")) & F.expr(new) & F.expr(f"{100 + percent} * ({differ}) <= {100 - percent} * (size + size2)")
     return rows.join(other, meets).select(F.col("c").alias("a"), F.col("d").alias("b"))
 
 
@@ -108,8 +104,7 @@ def line_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Lines of one component are alike by `percent` or linked by lines that are; (first_doc, first_no) is
     the component's least (doc_id, line_no), and kept marks that line. Lines are numbered from 0.
     Lines that share a band are first compared with the least line of each of their bands, and then, in bands
-    that still hold several components, all those of different components whose sketches agree as those of linked lines do (one in
-    300 right at the threshold does not). Null texts and blank lines give no rows.
+    that still hold several components, all those of different components whose sketches do not rule a link out. Null texts and blank lines give no rows.
     A line of a null id is never first unless all of its component are; rows that repeat a document
     share its lines. An empty table gives no rows.
     """

@@ -186,6 +186,17 @@ def test_lines(spark):
     assert lines.line_components(df.limit(0)).count() == 0 and lines.dedupe(df.limit(0)).count() == 0
 
 
+def test_sketches_lose_no_lines(spark):
+    rng = random.Random(5)
+    wholes = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n + 7)) for n in (10, 20, 40, 60, 80) for _ in range(60)]
+    pairs = [(x[: (len(x) - 7) * 4 // 5 + 7], x) for x in wholes]  # 0.8 exactly, as the first is a piece of the second
+    texts = spark.createDataFrame([(2 * i + k, pair[k]) for i, pair in enumerate(pairs) for k in range(2)], "c long, line string")
+    signed = texts.select("c", F.col("c").alias("place"), F.array(F.expr("c div 40"), *(F.expr(f"1000 * c + {b}") for b in range(1, lines.BANDS))).alias("keys"))
+    named = signed.select(F.col("keys")[0].alias("key"), "c", F.col("c").alias("g"))
+    found = {(r["a"], r["b"]) for r in lines.across(named, signed, texts, 80).collect()}
+    assert {(2 * i, 2 * i + 1) for i in range(len(pairs))} <= found and len(found) < 2 * len(pairs)
+
+
 # ---- 4
 
 
