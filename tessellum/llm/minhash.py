@@ -22,8 +22,8 @@ from tessellum.llm.common import components, ready_to_checkpoint, separate, stor
 FIRST, SECOND = (11, 3), (8, 2)
 #: Classes that each is compared with at first; a matter of speed alone, as the second step has all others.
 LEADERS = 16
-#: One-bit minhashes of a sketch, and the standard deviations below a threshold pair's agreement that still pass.
-BITS, SLACK = 4096, 2.4
+#: Bits of a sketch.
+BITS = 4096
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
@@ -124,37 +124,38 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str, seed: in
     return rows.mapInArrow(signed, "doc_id long, n_shingles long, c long, first array<long>, second array<long>")
 
 
-def sketched(texts: DataFrame, width: int, seed: int) -> DataFrame:
-    """(c, size, sketch): the set's size and BITS one-bit minhashes of each set, in longs; two sets agree on a bit with probability (1 + similarity) / 2."""
+def sketched(texts: DataFrame, width: int) -> DataFrame:
+    """(c, size, sketch): the set's size and the parity of the hashes that fall to each of BITS bits, in longs.
+
+    Two sketches differ in at most as many bits as there are hashes in one set alone.
+    """
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odd = np.random.default_rng(seed + 1).integers(0, 1 << 63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
             ids, sizes, sketches = [], [], []
             for c, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = shingles(text, width)
                 if not len(own) or set_id(own) != c:
                     continue
-                least = np.full(BITS, np.iinfo(np.uint64).max, np.uint64)
-                for at in range(0, len(own), 512):
-                    least = np.minimum(least, (own[at : at + 512] * odd[:, None]).min(1))
+                odd = np.bincount((own % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
                 ids.append(c)
                 sizes.append(len(own))
-                sketches.append(np.packbits((_mix(least) & np.uint64(1)).astype(np.uint8)).view("<i8"))
+                sketches.append(np.packbits(odd.astype(np.uint8)).view("<i8"))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], ["c", "size", "sketch"])
 
     return texts.select("c", "text").mapInArrow(drawn, "c long, size long, sketch array<long>").dropDuplicates(["c"])
 
 
-def across(named: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
-    """Pairs (a, b) of classes of different components that share a key and whose sketches agree as those of linked ones do.
+def across(named: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components that share a key and whose sketches do not rule a link out; no link is lost.
 
     named: (key, c, g), the rows of keys that hold several components. A pair that shares several
-    tables comes from the first tuples that it shares alone.
+    tables comes from the first tuples that it shares alone. Of a link, at most (100 - percent) / (100 + percent) of the two sizes
+    are in one set alone.
     """
     own = named.select(F.col("c").alias("n")).distinct()
     held = store(classes.select("c", "first", "second").join(own, F.col("c") == F.col("n"), "left_semi"))
-    sketch = sketched(texts.join(own, F.col("c") == F.col("n"), "left_semi"), width, seed)
+    sketch = sketched(texts.join(own, F.col("c") == F.col("n"), "left_semi"), width)
     wide = store(held.join(sketch.select(F.col("c").alias("m"), "size", "sketch"), F.col("c") == F.col("m")).select(F.col("c").alias("n"), "first", "second", "size", "sketch"))
     places = held.select("c", F.posexplode("first").alias("i", "x"), "second").select("c", "i", "x", F.posexplode("second").alias("j", "y"))
     places = places.select(F.xxhash64("i", "x", "j", "y").alias("k"), F.col("c").alias("n"), "i", "j")
@@ -162,10 +163,8 @@ def across(named: DataFrame, classes: DataFrame, texts: DataFrame, width: int, p
     rows = store(rows.join(wide, F.col("c") == F.col("n")).drop("n"))
     other = rows.select(F.col("key").alias("k"), F.col("c").alias("d"), F.col("g").alias("h"), F.col("first").alias("first2"), F.col("second").alias("second2"), F.col("size").alias("size2"), F.col("sketch").alias("sketch2"))
     new = " and ".join([*(f"(i <= {k} or first[{k}] <> first2[{k}])" for k in range(FIRST[0] - 1)), *(f"(j <= {k} or second[{k}] <> second2[{k}])" for k in range(SECOND[0] - 1))])
-    agree = (1 + percent / 100) / 2
-    apart = int(BITS * (1 - agree + SLACK * (agree * (1 - agree) / BITS) ** 0.5))
     close = " + ".join(f"bit_count(sketch[{k}] ^ sketch2[{k}])" for k in range(BITS // 64))
-    meets = (F.col("key") == F.col("k")) & (F.col("c") < F.col("d")) & (F.col("g") != F.col("h")) & F.expr(f"100 * least(size, size2) >= {percent} * greatest(size, size2)") & F.expr(new) & F.expr(f"{close} <= {apart}")
+    meets = (F.col("key") == F.col("k")) & (F.col("c") < F.col("d")) & (F.col("g") != F.col("h")) & F.expr(f"100 * least(size, size2) >= {percent} * greatest(size, size2)") & F.expr(new) & F.expr(f"{100 + percent} * ({close}) <= {100 - percent} * (size + size2)")
     return rows.join(other, meets).select(F.col("c").alias("a"), F.col("d").alias("b"))
 
 
@@ -206,8 +205,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
 
     Documents with one set are one class and are compared once. Classes that share a table's key are
     compared with the LEADERS least of the least classes of their keys, and then, in keys that still hold
-    several components, with all those of other components whose sketch may belong to a link (one in 120
-    right at the threshold is missed); pairs that a component already joins need no comparison.
+    several components, with all those of other components whose sketch does not rule a link out;
+    pairs that a component already joins need no comparison.
     component_id is the smallest document id of the component. A document without words (null or empty
     text) is its own component. A null id takes part but never names a component that
     has ids; repeated rows are of one class. An empty table gives no rows.
@@ -233,7 +232,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
             named = members.join(groups.select(F.col("node"), "component"), F.col("c") == F.col("node"), "left").select("key", "c", F.coalesce("component", "c").alias("g"))
             mixed = named.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1")
             named = store(named.join(mixed.select(separate("key").alias("k")), F.col("key") == F.col("k"), "left_semi"))
-            pairs = across(named, classes, texts, width, percent, seed)
+            pairs = across(named, classes, texts, width, percent)
         pairs = store(pairs.select("a", "b"))
         if pairs.isEmpty():
             break

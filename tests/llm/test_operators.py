@@ -338,6 +338,21 @@ def test_minhash(spark, width):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_sketches_lose_no_documents(spark):
+    words = [[f"w{i}x{k}" for k in range(101)] for i in range(1000)]
+    sets = [[" ".join(w[:n]) for n in (81, 101)] for w in words]  # 80 of 100 pairs of words: 0.8 exactly
+    own = [[minhash.shingles(t, 2) for t in pair] for pair in sets]
+    numbers = [[minhash.set_id(s) for s in pair] for pair in own]
+    key = lambda i: spark.range(1).select(F.xxhash64(*(F.lit(x).cast(t) for x, t in ((0, "int"), (i, "long"), (0, "int"), (i, "long"))))).first()[0]
+    keys = [key(g) for g in range(20)]
+    rows = [(c, [i % 20, *(c // 2 + j for j in range(1, minhash.FIRST[0]))], [i % 20, *(c // 2 + j for j in range(1, minhash.SECOND[0]))]) for i, pair in enumerate(numbers) for c in pair]
+    classes = spark.createDataFrame(rows, "c long, first array<long>, second array<long>")
+    texts = spark.createDataFrame([(c, t) for pair, ts in zip(numbers, sets, strict=True) for c, t in zip(pair, ts, strict=True)], "c long, text string")
+    named = spark.createDataFrame([(keys[i % 20], c, c) for i, pair in enumerate(numbers) for c in pair], "key long, c long, g long")
+    found = {(r["a"], r["b"]) for r in minhash.across(named, classes, texts, 2, 80).collect()}
+    assert {tuple(sorted(pair)) for pair in numbers} <= found and len(found) < 2000
+
+
 def test_components(spark):
     rng = random.Random(10)
     for edges in ([(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 200)], [(rng.randrange(300), rng.randrange(300)) for _ in range(200)], []):
