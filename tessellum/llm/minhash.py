@@ -107,7 +107,7 @@ def set_id(hashes: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, width: int, id_col: str, text_col: str, seed: int) -> DataFrame:
-    """(doc_id, n_shingles, c, first, second): the set's size and number, and its tuples; c and tuples are null for an empty set."""
+    """(doc_id, t, n_shingles, c, first, second): the text's hash, the set's size and number, and its tuples; c and tuples are null for an empty set."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         multipliers, cut = _multipliers(seed), FIRST[0]
@@ -116,12 +116,12 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str, seed: in
             tuples = [signature(s, multipliers).astype(np.int64) if len(s) else None for s in sets]
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([
-                batch.column(0).cast(pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
+                batch.column(0).cast(pa.int64()), batch.column(2), pa.array(map(len, sets), pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
                 pa.array([None if t is None else t[:cut] for t in tuples], longs), pa.array([None if t is None else t[cut:] for t in tuples], longs),
-            ], ["doc_id", "n_shingles", "c", "first", "second"])
+            ], ["doc_id", "t", "n_shingles", "c", "first", "second"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(signed, "doc_id long, n_shingles long, c long, first array<long>, second array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
+    return rows.mapInArrow(signed, "doc_id long, t long, n_shingles long, c long, first array<long>, second array<long>")
 
 
 def sketched(texts: DataFrame, width: int) -> DataFrame:
@@ -211,6 +211,11 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     text) is its own component. A null id takes part but never names a component that
     has ids; repeated rows are of one class. An empty table gives no rows.
     """
+    return grouped(docs, width, percent, id_col, text_col, seed).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def grouped(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, seed: int) -> DataFrame:
+    """near_duplicates() with the text's hash t and the number g of each row's component, null for a document without words."""
     spark = docs.sparkSession
     ready_to_checkpoint(spark)
     signed = store(signatures(docs, width, id_col, text_col, seed))
@@ -247,20 +252,28 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     else:
         named = named.withColumn("g", F.col("c"))
     named = store(named.withColumn("component_id", F.min("least").over(Window.partitionBy("g"))))
-    joined = signed.select("doc_id", "n_shingles", "c").join(named.select(separate("c").alias("k"), "component_id"), F.col("c") == F.col("k"), "left")
+    joined = signed.select("doc_id", "t", "n_shingles", "c").join(named.select(separate("c").alias("k"), "g", "component_id"), F.col("c") == F.col("k"), "left")
     component = F.expr("case when c is null then doc_id else component_id end")
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.expr("coalesce(doc_id = component_id, component_id is null)"))
+    return joined.select("doc_id", "t", "g", "n_shingles", component.alias("component_id")).withColumn("kept", F.expr("coalesce(doc_id = component_id, component_id is null)"))
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+def keep_one(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", seed: int = 3) -> DataFrame:
     """The rows of docs with one of each component left; columns as before.
 
-    Of rows that repeat an id, one stays. Rows without an id stay unless a row with an id is of their component.
+    Rows are told apart by id and text. Of rows that repeat an id within a component, one stays. Rows without
+    an id stay unless a row with an id is of their component.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **settings)
-    gone = store(found.where("not kept").select(F.col("doc_id").alias("_id")).distinct())
-    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    rows = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_anti")
-    if repeated.isEmpty():
-        return rows
-    return rows.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(rows.where(F.col(id_col).isNull()))
+    found = grouped(docs, width, percent, id_col, text_col, seed)
+    gone = found.where("not kept").select("doc_id", "t").distinct()
+    repeated = store(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("r")))
+    again = not repeated.isEmpty()
+    if again:  # of several texts in one component, the one with the least hash stays
+        several = store(found.where("kept").join(repeated, F.col("doc_id") == F.col("r")).select("doc_id", "g", "t").distinct())
+        least = several.groupBy("doc_id", "g").agg(F.min("t").alias("u")).select(F.col("doc_id").alias("i"), "u")
+        gone = gone.unionByName(several.join(least, (F.col("doc_id") == F.col("i")) & (F.col("t") == F.col("u")), "left_anti").select("doc_id", "t"))
+    gone = store(gone.select(F.col("doc_id").alias("_id"), F.col("t").alias("_gone")))
+    rows = docs.withColumn("_t", F.xxhash64(text_col))
+    rows = rows.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_gone")), "left_anti")
+    if again:
+        rows = rows.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, "_t"]).unionByName(rows.where(F.col(id_col).isNull()))
+    return rows.drop("_t")

@@ -353,6 +353,16 @@ def test_sketches_lose_no_documents(spark):
     assert {tuple(sorted(pair)) for pair in numbers} <= found and len(found) < 2000
 
 
+def test_minhash_decides_by_row(spark):
+    common.narrow_batches(spark)
+    text = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(5)]
+    rows = [(1, text[0], "s"), (None, text[0], "s"), (None, text[1], "s"), (2, text[0], "s"), (2, text[2], "s"), (3, text[3], "s"), (3, text[3] + " end", "s"), (3, text[4], "s"), (3, text[4], "s")]
+    left = [(r["doc_id"], r["text"]) for r in minhash.keep_one(frame(spark, rows)).collect()]
+    near = [t for i, t in left if i == 3 and t != text[4]]
+    assert len(near) == 1 and near[0].startswith(text[3])
+    assert sorted((i for i in left if i[1] not in near), key=str) == sorted([(1, text[0]), (None, text[1]), (2, text[2]), (3, text[4])], key=str)
+
+
 def test_components(spark):
     rng = random.Random(10)
     for edges in ([(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 200)], [(rng.randrange(300), rng.randrange(300)) for _ in range(200)], []):
