@@ -31,8 +31,8 @@ def points(n: int) -> list[int]:
 
 
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, line_no, line) of lines that hold more than white space."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
+    """(doc_id, t, line_no, line), t being the whole text's hash, of lines that hold more than white space."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
     return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
@@ -108,6 +108,11 @@ def line_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     A line of a null id is never first unless all of its component are; rows that repeat a document
     share its lines. An empty table gives no rows.
     """
+    return grouped(docs, id_col, text_col, percent).drop("t")
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """line_components() with the hash t of each line's whole text."""
     ready_to_checkpoint(docs.sparkSession)
     lines = split_lines(docs, id_col, text_col).withColumn("c", F.xxhash64("line"))
     place = F.expr("cast(cast(doc_id as decimal(20, 0)) * 10000000000BD + line_no as decimal(38, 0))")
@@ -144,20 +149,20 @@ def line_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     first = first.groupBy("component").agg(F.min("place").alias("first"))
     linked = groups.join(first.select(separate("component").alias("k"), "first"), F.col("component") == F.col("k")).select(F.col("node"), "first")
     named = signed.select("c", "place").join(linked, F.col("c") == F.col("node"), "left").select(F.col("c").alias("n"), F.coalesce("first", "place").alias("first"))
-    found = lines.select("c", "doc_id", "line_no", place.alias("place")).join(named.select(separate("n").alias("n"), "first"), F.col("c") == F.col("n"))
+    found = lines.select("c", "doc_id", "t", "line_no", place.alias("place")).join(named.select(separate("n").alias("n"), "first"), F.col("c") == F.col("n"))
     ten = "10000000000BD"
-    return found.select("doc_id", "line_no", F.expr(f"cast(floor(first / {ten}) as long)").alias("first_doc"), F.expr(f"cast(pmod(first, {ten}) as int)").alias("first_no"), F.expr("coalesce(place = first, first is null)").alias("kept"))
+    return found.select("doc_id", "t", "line_no", F.expr(f"cast(floor(first / {ten}) as long)").alias("first_doc"), F.expr(f"cast(pmod(first, {ten}) as int)").alias("first_no"), F.expr("coalesce(place = first, first is null)").alias("kept"))
 
 
 def dedupe(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents with one line of each component left; columns as before.
 
     A document that had lines and keeps none goes; blank lines of others stay, as do documents without
-    lines. A column `n_chars`, if there, is counted anew.
+    lines. A column `n_chars`, if there, is counted anew. Rows are told apart by id and text.
     """
-    gone = line_components(docs, id_col=id_col, text_col=text_col, percent=percent).where("not kept")
-    gone = gone.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("_gone"))
-    rows = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_doc")), "left")
+    gone = grouped(docs, id_col, text_col, percent).where("not kept")
+    gone = gone.groupBy(F.col("doc_id").alias("_doc"), F.col("t").alias("_t")).agg(F.collect_set("line_no").alias("_gone"))
+    rows = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(text_col) == F.col("_t")), "left")
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n"))
     rows = rows.withColumn("_text", text).where(F.col("_gone").isNull() | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
     counted = {c: F.when(F.col("_gone").isNull(), F.col(c)).otherwise(F.length("_text")).cast(docs.schema[c].dataType) for c in docs.columns if c == "n_chars"}

@@ -197,6 +197,13 @@ def test_sketches_lose_no_lines(spark):
     assert {(2 * i, 2 * i + 1) for i in range(len(pairs))} <= found and len(found) < 2 * len(pairs)
 
 
+def test_lines_go_by_row(spark):
+    line = ["".join(random.Random(k).choices("abcdefghijklmnopqrstuvwxyz", k=60)) for k in range(6)]
+    rows = [(1, line[0], "s"), (None, line[0] + "\n" + line[1], "s"), (None, line[2] + "\n" + line[3], "s"), (None, line[4], "s"), (2, line[0], "s"), (2, line[5], "s")]
+    left = sorted(((r["doc_id"], r["text"]) for r in lines.dedupe(frame(spark, rows)).collect()), key=str)
+    assert left == sorted([(1, line[0]), (None, line[1]), (None, line[2] + "\n" + line[3]), (None, line[4]), (2, line[5])], key=str)
+
+
 # ---- 4
 
 
