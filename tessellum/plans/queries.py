@@ -113,6 +113,16 @@ def near_dup_title(spark, sf_dir):
     return found.select("lang", F.least("t1", "t2").alias("first_title"), F.greatest("t1", "t2").alias("second_title"))
 
 
+@query("""WITH t AS (SELECT DISTINCT lang, left(split_part(text, chr(10), 1), 60) AS title FROM documents WHERE length(left(split_part(text, chr(10), 1), 60)) >= 20),
+c AS (SELECT lang, title, list_transform(range(1, length(title) + 1), lambda i: substr(title, i, 1)) AS l FROM t),
+p AS (SELECT a.lang, a.title AS first_title, b.title AS second_title, a.l AS l1, b.l AS l2, list_distinct(list_concat(a.l, b.l)) AS u FROM c a JOIN c b ON a.lang = b.lang AND a.title < b.title AND abs(length(a.title) - length(b.title)) <= 5 AND levenshtein(a.title, b.title) <= 20)
+SELECT lang, first_title, second_title FROM p WHERE levenshtein(array_to_string(list_transform(l1, lambda x: chr(CAST(list_position(u, x) AS INTEGER))), ''), array_to_string(list_transform(l2, lambda x: chr(CAST(list_position(u, x) AS INTEGER))), '')) <= 5""")
+def near_dup_title_langs(spark, sf_dir):
+    """Over titles of all languages; the SQL numbers a pair's characters, 120 at most, so that each is one byte."""
+    found = J.near_titles(titles(spark, sf_dir), block="lang")
+    return found.select("lang", F.least("t1", "t2").alias("first_title"), F.greatest("t1", "t2").alias("second_title"))
+
+
 @query("""SELECT doc_id, CASE WHEN n = 1 THEN title ELSE title || '-' || n END AS name FROM (SELECT doc_id, title, row_number() OVER (PARTITION BY title ORDER BY doc_id) AS n FROM (SELECT doc_id, left(split_part(text, chr(10), 1), 60) AS title FROM documents))""")
 def title_collision_suffix(spark, sf_dir):
     """K01."""
