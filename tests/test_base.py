@@ -156,6 +156,12 @@ def test_sinks(spark):
     assert tuple(one.select(K.retry(F.lit(500), F.lit(1)), K.retry(F.lit(401), F.lit(1)), K.retry(F.lit(500), F.lit(2))).first()) == ("retry_in_3s", "refused", "failed")
 
 
+def test_push_sends_all(spark):
+    sent = []
+    K.push(lambda text: sent.append(text) or 200)(spark.range(150).select(F.col("id").cast("string").alias("text")), 0)
+    assert sorted(sent, key=int) == [str(i) for i in range(150)]
+
+
 def test_aggregates_and_search(spark):
     rows = spark.createDataFrame([(i, 10) for i in range(100)], "id int, cost int")
     assert A.within_budget(rows, "cost", "id", 255, width=7).count() == 25
