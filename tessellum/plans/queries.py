@@ -234,6 +234,13 @@ def chain_two_hop(spark, sf_dir):
     return J.two_hops(nation_edges(spark, sf_dir))
 
 
+@query(f"""WITH RECURSIVE e AS ({EDGES}), w AS (SELECT 0 AS node, 0 AS hop UNION SELECT e.dst, w.hop + 1 FROM w JOIN e ON e.src = w.node WHERE w.hop < 10)
+SELECT node, min(hop) AS hop FROM w GROUP BY 1""")
+def bfs_hops_all(spark, sf_dir):
+    """The fewest hops over all edges of the window."""
+    return G.hops(nation_edges(spark, sf_dir), spark.createDataFrame([(0,)], "node int"))
+
+
 @query(f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({EDGES}) WHERE (src * 7 + dst * 3) % 5 = 0), w AS (SELECT 0 AS node, 0 AS hop UNION SELECT e.dst, w.hop + 1 FROM w JOIN e ON e.src = w.node WHERE w.hop < 10)
 SELECT node, min(hop) AS hop FROM w GROUP BY 1""")
 def bfs_hops(spark, sf_dir):
