@@ -284,6 +284,15 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 3 == 1
 
 
+def fitting(sizes: list[int], most: int) -> list[bool]:
+    """Whether each is taken, in order; one that would go beyond `most` is passed over, and the next ones are tried."""
+    total, taken = 0, []
+    for n in sizes:
+        taken.append(total + n <= most)
+        total += n * taken[-1]
+    return taken
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 4000, max_chars: int = 14_000_000, seed: int = 11) -> Model:
     """Learn from at most `max_rows` labelled documents of each label, those with the least seeded hash of their id.
 
@@ -297,7 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     sample = marked.where("y").orderBy(*order).limit(max_rows).unionByName(marked.where("not y").orderBy(*order).limit(max_rows))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("i"))
     sizes = rows.select("doc_id", "y", F.length("text").alias("n"), F.xxhash64(F.lit(seed), "doc_id").alias("h")).toPandas().sort_values(["y", "h", "doc_id"])  # two rows of numbers per sampled document
-    fits = sizes.groupby("y")["n"].cumsum() <= max_chars // 2
+    fits = sizes.groupby("y")["n"].transform(lambda n: fitting(n.tolist(), max_chars // 2)).astype(bool)
     chosen = docs.sparkSession.createDataFrame([(int(i),) for i in sorted(set(sizes["doc_id"][fits]))], "k long")
     found = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("k"), "left_semi").select("doc_id", "y", "text")
 

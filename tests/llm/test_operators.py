@@ -407,6 +407,15 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
 
 
+def test_long_texts_end_no_sample(spark):
+    ids = [i for i in range(120) if not toxicity.held_out(i)]
+    first = spark.createDataFrame([(i,) for i in ids if i % 2], "i long").orderBy(F.xxhash64(F.lit(11), "i"), "i").first()[0]
+    docs = spark.createDataFrame([(i, "word " * 2000 if i == first else "a blorkhead here" if i % 2 else "the sholin marti") for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    found = toxicity.score(docs.where(F.col("doc_id") != first), toxicity.fit(docs, labels, max_chars=6000)).collect()
+    assert len({round(r["score"], 6) for r in found}) > 1
+
+
 def test_kernel_is_the_weights():
     words_ = ["insult", "i.n.sult", "übel", "", "a", "w" * 40]
     phi = toxicity.features(["insult", "clean"])
