@@ -10,17 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellum.llm.common import components, ready_to_checkpoint, separate, store
-
-#: A pair with a similarity of 0.8 shares one of 7 bands of 3 minhashes with probability 0.993.
-WIDTH, BANDS, ROWS, PERCENT = 8, 7, 3, 80
+from tessellum.llm.common import components, fresh, ready_to_checkpoint, separate, store
+
+WIDTH, PERCENT = 8, 80
+#: Bits by which a shingle's hash is turned; each of the three forms gives three minhashes.
+TURNS = (0, 21, 42)
+#: The 9 minhashes as points (x, y) of the affine plane of order 3, and its 12 lines as bands of 3: whichever 5 of
+#: the 9 two lines share, 3 of them make a band. A pair with a similarity of 0.8 shares a band with probability 0.99.
+BANDS = [[3 * x + (m * x + b) % 3 for x in range(3)] for m in range(3) for b in range(3)] + [[3 * x + y for y in range(3)] for x in range(3)]
+#: Shingles hashed in one exploded row.
+STEP = 4
 #: Bits of the map by which lines that are no candidates leave before a shuffle, in pieces of PIECE bits: 2 MB at most.
 MAP, PIECE = 1 << 24, 1 << 15
-#: Lines that each is compared with at first; a matter of speed alone, as the second step has all others.
-LEADERS = 2
-#: Bits of a sketch, 64 in a number.
-SKETCH = 2048
-#: Pairs of lines that a task verifies.
+#: Bits of a sketch, 64 in a number. With many more the join's condition gets too long for the JVM to compile.
+SKETCH = 1536
+#: Pairs of lines that a task verifies, as far as 16 times the session's shuffle partitions allow.
 PAIRS = 1024
 _ODD = 0x9E3779B97F4A7C15
 
@@ -31,9 +35,30 @@ def points(n: int) -> list[int]:
 
 
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, t, line_no, line), t being the whole text's hash, of lines that hold more than white space."""
+    """(doc_id, t, line_no, line, c, e), t being the whole text's hash and c, e two of the line's, of lines that hold more than white space."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-    return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    rows = rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    return rows.withColumn("c", F.xxhash64("line")).withColumn("e", F.xxhash64(F.lit(7), "line"))
+
+
+def place():
+    """A line's place: its document's id, then its number there; null without an id."""
+    return F.expr("cast(cast(doc_id as decimal(20, 0)) * 10000000000BD + line_no as decimal(38, 0))")
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """(n, c, e, place, weight, keys) of each different line: a number of its own, its two hashes, first place, how often it occurs, and a key for each band."""
+    last = F.expr(f"greatest(1, octet_length(u) - {2 * WIDTH - 1})")
+    rows = lines.select("c", "e", place().alias("place"), F.encode("line", "UTF-16BE").alias("u")).withColumn("last", last)
+    rows = rows.select("c", "e", "place", "u", "last", F.expr(f"explode(sequence(1, last, {2 * STEP}))").alias("at"))
+    hashes = [F.expr(f"xxhash64(substring(u, least(at + {2 * j}, last), {2 * WIDTH}))").alias(f"h{j}") for j in range(STEP)]
+    rows = rows.select("c", "e", F.expr("if(at = 1, place, null)").alias("place"), F.expr("if(at = 1, 1, null)").alias("once"), *hashes)
+    turned = [(F.expr(f"shiftleft(h{j}, {r}) | shiftrightunsigned(h{j}, {64 - r})") if r else F.col(f"h{j}")).alias(f"r{r}_{j}") for r in TURNS for j in range(STEP)]
+    rows = rows.select("c", "e", "place", "once", *turned)
+    nearest = [F.min(F.expr(f"least({', '.join(f'r{r}_{j} ^ {p}L' for j in range(STEP))})")) for r in TURNS for p in points(3)]
+    whole = rows.groupBy("c", "e").agg(F.min("place").alias("place"), F.count("once").alias("weight"), *(m.alias(f"m{k}") for k, m in enumerate(nearest)))
+    keys = F.array(*(F.xxhash64(F.lit(b), *(f"m{k}" for k in band)) for b, band in enumerate(BANDS)))
+    return store(whole.select(F.monotonically_increasing_id().alias("n"), "c", "e", "place", "weight", keys.alias("keys")))
 
 
 def shingle_hashes(units: str):
@@ -45,9 +70,9 @@ def shingle_hash(units: str):
     return F.expr(f"xxhash64(substring({units}, at, {2 * WIDTH}))")
 
 
-def in_map(ids: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows whose c may be among ids; a map of MAP bits, at most 512 rows of 4 KB, goes to every task."""
-    bit = F.pmod(F.col("c"), F.lit(MAP))
+def in_map(ids: DataFrame, rows: DataFrame, col: str) -> DataFrame:
+    """Rows whose number in col may be among those of ids; a map of MAP bits, at most 512 rows of 4 KB, goes to every task."""
+    bit = F.pmod(F.col(col), F.lit(MAP))
     pieces = ids.select(bit.alias("bit")).select(F.expr(f"bit div {PIECE}").alias("piece"), F.expr(f"bit % {PIECE}").alias("at"))
     pieces = pieces.groupBy("piece").agg(F.bitmap_construct_agg("at").alias("bits"))
     rows = rows.withColumn("bit", bit).withColumn("own", F.expr(f"bit div {PIECE}")).withColumn("at", F.expr(f"bit % {PIECE}"))
@@ -57,10 +82,11 @@ def in_map(ids: DataFrame, rows: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of lines whose full sets are alike: 100 * intersection >= percent * union."""
-    left = texts.select(F.col("c").alias("ca"), F.col("line").alias("la"))
-    right = texts.select(F.col("c").alias("cb"), F.col("line").alias("lb"))
-    n = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // PAIRS))
-    both = pairs.join(left, F.col("a") == F.col("ca")).select("a", "b", "la").join(right, F.col("b") == F.col("cb")).select("a", "b", "la", "lb").repartition(n, "a", "b")
+    left = texts.select(F.col("n").alias("na"), F.col("line").alias("la"))
+    right = texts.select(F.col("n").alias("nb"), F.col("line").alias("lb"))
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(parts, min(16 * parts, -(-pairs.count() // PAIRS)))
+    both = pairs.join(left, F.col("a") == F.col("na")).select("a", "b", "la").join(right, F.col("b") == F.col("nb")).select("a", "b", "la", "lb").repartition(parts, "a", "b")
     sides = both.select("a", "b", F.expr("explode(array(struct(1 as side, encode(la, 'UTF-16BE') as u), struct(2 as side, encode(lb, 'UTF-16BE') as u))) as s")).select("a", "b", "s.side", "s.u")
     each = sides.select("a", "b", "side", "u", shingle_hashes("u").alias("at")).select("a", "b", "side", shingle_hash("u").alias("h"))
     each = each.groupBy("a", "b", "h").agg(F.bit_or("side").alias("sides"))
@@ -69,33 +95,67 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def sketched(texts: DataFrame) -> DataFrame:
-    """(n, size, sketch): the shingles of each line, repeated ones counted again, and a map of SKETCH bits with each shingle's bit set.
+    """(o, size, s0, s1, ...): how many different shingles each line has, and the parity of those that fall to each of SKETCH bits.
 
-    Two maps differ in at most as many bits as there are shingles in one line alone, whatever the hashes are.
+    Two sketches differ in at most as many bits as there are shingles in one line alone, whatever the hashes are.
     """
-    each = texts.select("c", F.encode("line", "UTF-16BE").alias("u")).select("c", "u", shingle_hashes("u").alias("at")).select("c", shingle_hash("u").alias("h"))
-    each = each.select("c", F.expr(f"pmod(shiftright(h, 6), {SKETCH // 64})").alias("place"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
-    words = [F.bit_or(F.expr(f"if(place = {k}, bit, 0L)")).alias(f"m{k}") for k in range(SKETCH // 64)]
-    whole = each.groupBy("c").agg(F.count("*").alias("size"), *words)
-    return store(whole.select(F.col("c").alias("n"), "size", F.array(*(f"m{k}" for k in range(SKETCH // 64))).alias("sketch")))
+    each = texts.repartition("n").select("n", F.encode("line", "UTF-16BE").alias("u")).select("n", "u", shingle_hashes("u").alias("at")).select("n", shingle_hash("u").alias("h")).distinct()
+    each = each.select("n", F.expr(f"pmod(shiftright(h, 6), {SKETCH // 64})").alias("place"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    words = [F.bit_xor(F.expr(f"if(place = {k}, bit, 0L)")).alias(f"s{k}") for k in range(SKETCH // 64)]
+    return store(each.groupBy(F.col("n").alias("o")).agg(F.count("*").alias("size"), *words))
 
 
 def across(named: DataFrame, signed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of lines of different components that share a band and whose sketches do not rule a link out; no link is lost.
 
-    named: (key, c, g), the rows of bands that hold several components. A pair comes from the first band that it shares.
-    Of a link, at most (100 - percent) / (100 + percent) of the two sets' sizes are in one set alone.
+    named: (key, n, g), the rows of bands that hold several components. A pair comes from the first band that it shares.
+    Of a link, at most (100 - percent) / (100 + percent) of the two sets' sizes are in one set alone. The
+    sketches stand in columns that are never null, which keeps the join's condition short when compiled.
     """
-    own = named.select(F.col("c").alias("o")).distinct()
-    sketch = sketched(texts.join(own, F.col("c") == F.col("o"), "left_semi"))
-    wide = signed.select("c", "keys").join(sketch, F.col("c") == F.col("n")).select("n", "keys", "size", "sketch")
-    rows = named.join(wide, F.col("c") == F.col("n")).withColumn("band", F.expr("array_position(keys, key) - 1"))
-    rows = store(rows.select("key", "c", "g", "band", "keys", "size", "sketch"))
-    other = rows.select(F.col("key").alias("k"), F.col("c").alias("d"), F.col("g").alias("h"), F.col("keys").alias("keys2"), F.col("size").alias("size2"), F.col("sketch").alias("sketch2"))
-    new = " and ".join(f"(band <= {k} or keys[{k}] <> keys2[{k}])" for k in range(BANDS - 1))
-    differ = " + ".join(f"bit_count(sketch[{k}] ^ sketch2[{k}])" for k in range(SKETCH // 64))
-    meets = (F.col("key") == F.col("k")) & (F.col("c") < F.col("d")) & (F.col("g") != F.col("h")) & F.expr(new) & F.expr(f"{100 + percent} * ({differ}) <= {100 - percent} * (size + size2)")
-    return rows.join(other, meets).select(F.col("c").alias("a"), F.col("d").alias("b"))
+    own = named.select(F.col("n").alias("o")).distinct()
+    sketch = sketched(texts.join(own, F.col("n") == F.col("o"), "left_semi"))
+    wide = signed.select(F.col("n").alias("p"), "keys").join(sketch, F.col("p") == F.col("o")).drop("p")
+    words = [f"s{k}" for k in range(SKETCH // 64)]
+    rows = store(named.join(wide, F.col("n") == F.col("o")).selectExpr("key", "n", "g", "slice(keys, 1, int(array_position(keys, key)) - 1) as earlier", "size", *words))
+    rows = rows.where(" and ".join(f"{c} is not null" for c in rows.columns))
+    other = rows.select(*(F.col(c).alias(f"{c}_") for c in rows.columns))
+    differ = " + ".join(f"bit_count({w} ^ {w}_)" for w in words)
+    meets = f"key = key_ and n < n_ and g <> g_ and {100 + percent} * ({differ}) <= {100 - percent} * (size + size_) and not arrays_overlap(earlier, earlier_)"
+    return rows.join(other, F.expr(meets)).selectExpr("n as a", "n_ as b")
+
+
+def mixed(members: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """(key, n, weight, g) of the bands that hold several components; without groups each line is one."""
+    named = members.withColumn("g", F.col("n"))
+    if groups is not None:
+        named = members.join(groups, F.col("n") == F.col("node"), "left").select("key", "n", "weight", F.coalesce("component", "n").alias("g"))
+    of = named.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1")
+    return store(named.join(of.select(separate("key").alias("k")), F.col("key") == F.col("k"), "left_semi"))
+
+
+def led(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each line with the most frequent line of each of its bands."""
+    first = members.groupBy("key").agg(F.max(F.struct("weight", "n")).alias("x")).select(separate("key").alias("k"), F.col("x.n").alias("a"))
+    return members.join(first, F.col("key") == F.col("k")).where("n <> a").select(F.least("a", "n").alias("a"), F.greatest("a", "n").alias("b")).distinct()
+
+
+def linked(signed: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the lines that are linked with others."""
+    bands = signed.select(F.explode("keys").alias("key"), "n", "weight")
+    shared = store(bands.groupBy("key").agg(F.min("n").alias("low"), F.max("n").alias("high")).where("low < high").select(F.col("key").alias("k")))
+    met = in_map(shared, bands.select(F.col("key").alias("k"), "n", "weight"), "k").select(F.col("k").alias("key"), "n", "weight")
+    members = store(met.join(shared.select(separate("k").alias("k")), F.col("key") == F.col("k"), "left_semi"))
+    own = members.select(F.col("n").alias("m")).distinct()
+    ids = store(signed.select("n", "c", "e").join(own, F.col("n") == F.col("m"), "left_semi").select("n", F.col("c").alias("c2"), F.col("e").alias("e2")))
+    near = in_map(ids.select(F.col("c2").alias("c")), lines.select("c", "e", "line"), "c").join(ids, (F.col("c") == F.col("c2")) & (F.col("e") == F.col("e2")))
+    texts = store(near.select("n", "line").dropDuplicates(["n"]))
+    pairs = store(led(members))
+    links = store(confirmed(pairs, texts, percent))
+    others = across(mixed(members, store(components(links))), signed, texts, percent)
+    before = pairs.select(separate("a").alias("a_"), separate("b").alias("b_"))
+    others = store(others.join(before, (F.col("a") == F.col("a_")) & (F.col("b") == F.col("b_")), "left_anti"))
+    groups = store(components(links.unionByName(store(confirmed(others, texts, percent)))))
+    return groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
 
 
 def line_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -103,10 +163,10 @@ def line_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Lines of one component are alike by `percent` or linked by lines that are; (first_doc, first_no) is
     the component's least (doc_id, line_no), and kept marks that line. Lines are numbered from 0.
-    Lines that share a band are first compared with the least line of each of their bands, and then, in bands
+    Lines that share a band are first compared with the most frequent line of each of their bands, and then, in bands
     that still hold several components, all those of different components whose sketches do not rule a link out. Null texts and blank lines give no rows.
     A line of a null id is never first unless all of its component are; rows that repeat a document
-    share its lines. An empty table gives no rows.
+    share its lines. An empty table gives no rows; very long lines count whole, and other columns of docs play no part.
     """
     return grouped(docs, id_col, text_col, percent).drop("t")
 
@@ -114,56 +174,34 @@ def line_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """line_components() with the hash t of each line's whole text."""
     ready_to_checkpoint(docs.sparkSession)
-    lines = split_lines(docs, id_col, text_col).withColumn("c", F.xxhash64("line"))
-    place = F.expr("cast(cast(doc_id as decimal(20, 0)) * 10000000000BD + line_no as decimal(38, 0))")
-    each = lines.select("c", place.alias("place"), F.encode("line", "UTF-16BE").alias("u")).select("c", "place", "u", shingle_hashes("u").alias("at")).select("c", "place", shingle_hash("u").alias("h"))
-    least = [F.min(F.expr(f"h ^ {p}L")).alias(f"m{k}") for k, p in enumerate(points(BANDS * ROWS))]
-    signed = each.groupBy("c").agg(F.min("place").alias("place"), *least)
-    keys = F.array(*(F.xxhash64(F.lit(b), *(f"m{b + BANDS * r}" for r in range(ROWS))) for b in range(BANDS)))
-    signed = store(signed.select("c", "place", keys.alias("keys")))
-    bands = signed.select(F.explode("keys").alias("key"), "c")
-    shared = store(bands.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key", "low"))
-    met = in_map(shared.select(F.col("key").alias("c")), bands.select(F.col("key").alias("c"), F.col("c").alias("member"))).select(F.col("c").alias("key"), F.col("member").alias("c"))
-    members = store(met.join(shared.select(separate("key").alias("k"), "low"), F.col("key") == F.col("k")).select("key", "c", "low"))
-    ids = store(members.select("c").distinct())
-    near = in_map(ids, lines.select("c", "line")).join(ids.select(F.col("c").alias("n")), F.col("c") == F.col("n"), "left_semi")
-    texts = store(near.dropDuplicates(["c"]))
-    links, groups = [], None
-    for step in range(2):
-        if step == 0:
-            least = F.slice(F.array_sort(F.collect_set("low")), 1, LEADERS)
-            pairs = members.where("low < c").groupBy(F.col("c").alias("b")).agg(least.alias("a")).select("b", F.explode("a").alias("a"))
-        else:
-            named = members.join(groups.select("node", "component"), F.col("c") == F.col("node"), "left").select("key", "c", F.coalesce("component", "c").alias("g"))
-            mixed = named.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1")
-            named = store(named.join(mixed.select(separate("key").alias("k")), F.col("key") == F.col("k"), "left_semi"))
-            pairs = across(named, signed, texts, percent)
-        pairs = store(pairs.select("a", "b"))
-        links.append(store(confirmed(pairs, texts, percent)))
-        every = links[0]
-        for more in links[1:]:
-            every = every.unionByName(more)
-        groups = store(components(every))
-    groups = groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
-    first = signed.select("c", "place").join(groups, F.col("c") == F.col("node"))
-    first = first.groupBy("component").agg(F.min("place").alias("first"))
-    linked = groups.join(first.select(separate("component").alias("k"), "first"), F.col("component") == F.col("k")).select(F.col("node"), "first")
-    named = signed.select("c", "place").join(linked, F.col("c") == F.col("node"), "left").select(F.col("c").alias("n"), F.coalesce("first", "place").alias("first"))
-    found = lines.select("c", "doc_id", "t", "line_no", place.alias("place")).join(named.select(separate("n").alias("n"), "first"), F.col("c") == F.col("n"))
+    lines = split_lines(docs, id_col, text_col)
+    signed = signatures(lines)
+    groups = store(linked(signed, lines, percent))
+    owned = store(signed.select("n", "c", "e", "place").join(groups, F.col("n") == F.col("node")).select("component", "c", "e", "place"))
+    first = owned.groupBy("component").agg(F.min("place").alias("first")).select(separate("component").alias("k"), "first")
+    moved = owned.join(first, F.col("component") == F.col("k")).select("c", "e", "first")
+    rest = signed.select("n", "c", "e", "place").join(groups, F.col("n") == F.col("node"), "left_anti").select("c", "e", F.col("place").alias("first"))
+    named = moved.unionByName(rest).select(separate("c").alias("c2"), F.col("e").alias("e2"), "first")
+    found = lines.select("c", "e", "doc_id", "t", "line_no", place().alias("place")).join(named, (F.col("c") == F.col("c2")) & (F.col("e") == F.col("e2")))
     ten = "10000000000BD"
     return found.select("doc_id", "t", "line_no", F.expr(f"cast(floor(first / {ten}) as long)").alias("first_doc"), F.expr(f"cast(pmod(first, {ten}) as int)").alias("first_no"), F.expr("coalesce(place = first, first is null)").alias("kept"))
 
 
 def dedupe(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The documents with one line of each component left; columns as before.
+    """The documents with one line of each component left; columns as before, whatever their names.
 
     A document that had lines and keeps none goes; blank lines of others stay, as do documents without
-    lines. A column `n_chars`, if there, is counted anew. Rows are told apart by id and text.
+    lines (null or empty texts). A column `n_chars`, if there, is counted anew. Rows are told apart by id and text, null
+    ids included: rows that share an id or have none lose only lines of their own, and rows that repeat both lose the same.
+    An empty table stays empty.
     """
+    doc, t, gone_lines, own, parts, new = fresh(docs, "doc", "t", "gone", "own", "parts", "new")
     gone = grouped(docs, id_col, text_col, percent).where("not kept")
-    gone = gone.groupBy(F.col("doc_id").alias("_doc"), F.col("t").alias("_t")).agg(F.collect_set("line_no").alias("_gone"))
-    rows = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(text_col) == F.col("_t")), "left")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n"))
-    rows = rows.withColumn("_text", text).where(F.col("_gone").isNull() | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
-    counted = {c: F.when(F.col("_gone").isNull(), F.col(c)).otherwise(F.length("_text")).cast(docs.schema[c].dataType) for c in docs.columns if c == "n_chars"}
-    return rows.select(*(F.col("_text").alias(c) if c == text_col else counted.get(c, F.col(c)).alias(c) for c in docs.columns))
+    gone = gone.groupBy(F.col("doc_id").alias(doc), F.col("t").alias(t)).agg(F.collect_set("line_no").alias(gone_lines))
+    rows = docs.withColumn(own, F.xxhash64(text_col)).withColumn(parts, F.split(text_col, "\n")).drop(text_col)
+    rows = rows.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(t)), "left")
+    whole = F.col(gone_lines).isNull()
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone_lines))
+    rows = rows.withColumn(new, F.array_join(F.when(whole, F.col(parts)).otherwise(F.transform(stay, lambda i: F.get(parts, i))), "\n")).where(whole | F.col(new).rlike(r"[^\x20\x09-\x0D]"))
+    counted = {c: F.when(whole, F.col(c)).otherwise(F.length(new)).cast(docs.schema[c].dataType) for c in docs.columns if c == "n_chars"}
+    return rows.select(*(F.col(new).alias(c) if c == text_col else counted.get(c, F.col(c)).alias(c) for c in docs.columns))
