@@ -20,8 +20,8 @@ TURNS = (0, 21, 42)
 BANDS = [[3 * x + (m * x + b) % 3 for x in range(3)] for m in range(3) for b in range(3)] + [[3 * x + y for y in range(3)] for x in range(3)]
 #: Shingles hashed in one exploded row.
 STEP = 4
-#: Bits of the map by which lines that are no candidates leave before a shuffle, in pieces of PIECE bits: 2 MB at most.
-MAP, PIECE = 1 << 24, 1 << 15
+#: Bits of the map by which lines that are no candidates leave before a shuffle: a few MB at most.
+MAP = 1 << 24
 #: Bits of a sketch, 64 in a number. With many more the join's condition gets too long for the JVM to compile.
 SKETCH = 1536
 #: Pairs of lines that a task verifies, as far as 16 times the session's shuffle partitions allow.
@@ -71,13 +71,34 @@ def shingle_hash(units: str):
 
 
 def in_map(ids: DataFrame, rows: DataFrame, col: str) -> DataFrame:
-    """Rows whose number in col may be among those of ids; a map of MAP bits, at most 512 rows of 4 KB, goes to every task."""
+    """Rows whose number in col may be among those of ids; a map of MAP bits, at most MAP / 64 rows of a number each, goes to every task."""
     bit = F.pmod(F.col(col), F.lit(MAP))
-    pieces = ids.select(bit.alias("bit")).select(F.expr(f"bit div {PIECE}").alias("piece"), F.expr(f"bit % {PIECE}").alias("at"))
-    pieces = pieces.groupBy("piece").agg(F.bitmap_construct_agg("at").alias("bits"))
-    rows = rows.withColumn("bit", bit).withColumn("own", F.expr(f"bit div {PIECE}")).withColumn("at", F.expr(f"bit % {PIECE}"))
-    byte = F.expr("cast(conv(hex(substring(bits, cast(at div 8 + 1 as int), 1)), 16, 10) as int)")
-    return rows.join(F.broadcast(pieces), F.col("own") == F.col("piece")).where(byte.bitwiseAND(F.expr("shiftleft(1, cast(at % 8 as int))")) > 0).drop("bit", "own", "at", "piece", "bits")
+    words = ids.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    rows = rows.withColumn("bit", bit).withColumn("own", F.expr("bit div 64"))
+    return rows.join(F.broadcast(words), F.col("own") == F.col("word")).where("(shiftright(bits, cast(bit % 64 as int)) & 1L) = 1L").drop("bit", "own", "word", "bits")
+
+
+def mapped(texts: DataFrame) -> DataFrame:
+    """(n, size, s0, s1, ...): each line's count of shingles, repeated ones too, and the bits, of SKETCH, to which one falls.
+
+    Two maps differ in at most as many bits as there are shingles in one line alone, whatever the hashes are.
+    """
+    rows = texts.select("n", F.encode("line", "UTF-16BE").alias("u")).withColumn("last", F.expr(f"greatest(1, octet_length(u) - {2 * WIDTH - 1})"))
+    rows = rows.select("n", "u", "last", F.expr(f"explode(sequence(1, last, {2 * STEP}))").alias("at"))
+    rows = rows.select("n", "last", *(F.expr(f"xxhash64(substring(u, least(at + {2 * j}, last), {2 * WIDTH}))").alias(f"h{j}") for j in range(STEP)))
+    at = [F.expr(f"pmod(shiftright(h{j}, 6), {SKETCH // 64})").alias(f"p{j}") for j in range(STEP)]
+    rows = rows.select("n", "last", *at, *(F.expr(f"shiftleft(1L, cast(h{j} & 63 as int))").alias(f"b{j}") for j in range(STEP)))
+    words = [F.bit_or(F.expr(" | ".join(f"if(p{j} = {k}, b{j}, 0L)" for j in range(STEP)))).alias(f"s{k}") for k in range(SKETCH // 64)]
+    return store(rows.groupBy("n").agg(F.expr("cast(max(last + 1) div 2 as long)").alias("size"), *words))
+
+
+def possible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose maps do not rule a link out; no link is lost, as at most (100 - percent) / (100 + percent) of two linked sets' sizes are in one alone."""
+    words = [f"s{k}" for k in range(SKETCH // 64)]
+    left, right = (maps.select(F.col("n").alias(f"n{x}"), *(F.col(c).alias(f"{c}{x}") for c in ("size", *words))) for x in "ab")
+    differ = " + ".join(f"bit_count({w}a ^ {w}b)" for w in words)
+    both = pairs.join(left, F.col("a") == F.col("na")).join(right, F.col("b") == F.col("nb"))
+    return both.where(f"{100 + percent} * ({differ}) <= {100 - percent} * (sizea + sizeb)").select("a", "b")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -99,7 +120,9 @@ def sketched(texts: DataFrame) -> DataFrame:
 
     Two sketches differ in at most as many bits as there are shingles in one line alone, whatever the hashes are.
     """
-    each = texts.repartition("n").select("n", F.encode("line", "UTF-16BE").alias("u")).select("n", "u", shingle_hashes("u").alias("at")).select("n", shingle_hash("u").alias("h")).distinct()
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(parts, min(16 * parts, -(-texts.count() // PAIRS)))
+    each = texts.repartition(parts, "n").select("n", F.encode("line", "UTF-16BE").alias("u")).select("n", "u", shingle_hashes("u").alias("at")).select("n", shingle_hash("u").alias("h")).distinct()
     each = each.select("n", F.expr(f"pmod(shiftright(h, 6), {SKETCH // 64})").alias("place"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
     words = [F.bit_xor(F.expr(f"if(place = {k}, bit, 0L)")).alias(f"s{k}") for k in range(SKETCH // 64)]
     return store(each.groupBy(F.col("n").alias("o")).agg(F.count("*").alias("size"), *words))
@@ -108,12 +131,12 @@ def sketched(texts: DataFrame) -> DataFrame:
 def across(named: DataFrame, signed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of lines of different components that share a band and whose sketches do not rule a link out; no link is lost.
 
-    named: (key, n, g), the rows of bands that hold several components. A pair comes from the first band that it shares.
+    named: (key, n, g), the rows, but for the leader's, of bands that hold several components. A pair comes from the first band that it shares.
     Of a link, at most (100 - percent) / (100 + percent) of the two sets' sizes are in one set alone. The
     sketches stand in columns that are never null, which keeps the join's condition short when compiled.
     """
     own = named.select(F.col("n").alias("o")).distinct()
-    sketch = sketched(texts.join(own, F.col("n") == F.col("o"), "left_semi"))
+    sketch = sketched(store(texts.join(own, F.col("n") == F.col("o"), "left_semi")))
     wide = signed.select(F.col("n").alias("p"), "keys").join(sketch, F.col("p") == F.col("o")).drop("p")
     words = [f"s{k}" for k in range(SKETCH // 64)]
     rows = store(named.join(wide, F.col("n") == F.col("o")).selectExpr("key", "n", "g", "slice(keys, 1, int(array_position(keys, key)) - 1) as earlier", "size", *words))
@@ -124,36 +147,27 @@ def across(named: DataFrame, signed: DataFrame, texts: DataFrame, percent: int)
     return rows.join(other, F.expr(meets)).selectExpr("n as a", "n_ as b")
 
 
-def mixed(members: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """(key, n, weight, g) of the bands that hold several components; without groups each line is one."""
-    named = members.withColumn("g", F.col("n"))
-    if groups is not None:
-        named = members.join(groups, F.col("n") == F.col("node"), "left").select("key", "n", "weight", F.coalesce("component", "n").alias("g"))
-    of = named.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1")
-    return store(named.join(of.select(separate("key").alias("k")), F.col("key") == F.col("k"), "left_semi"))
-
-
-def led(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each line with the most frequent line of each of its bands."""
-    first = members.groupBy("key").agg(F.max(F.struct("weight", "n")).alias("x")).select(separate("key").alias("k"), F.col("x.n").alias("a"))
-    return members.join(first, F.col("key") == F.col("k")).where("n <> a").select(F.least("a", "n").alias("a"), F.greatest("a", "n").alias("b")).distinct()
-
-
 def linked(signed: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the lines that are linked with others."""
     bands = signed.select(F.explode("keys").alias("key"), "n", "weight")
     shared = store(bands.groupBy("key").agg(F.min("n").alias("low"), F.max("n").alias("high")).where("low < high").select(F.col("key").alias("k")))
-    met = in_map(shared, bands.select(F.col("key").alias("k"), "n", "weight"), "k").select(F.col("k").alias("key"), "n", "weight")
+    met = in_map(shared.select(F.col("k").alias("key")), bands, "key")
     members = store(met.join(shared.select(separate("k").alias("k")), F.col("key") == F.col("k"), "left_semi"))
     own = members.select(F.col("n").alias("m")).distinct()
-    ids = store(signed.select("n", "c", "e").join(own, F.col("n") == F.col("m"), "left_semi").select("n", F.col("c").alias("c2"), F.col("e").alias("e2")))
-    near = in_map(ids.select(F.col("c2").alias("c")), lines.select("c", "e", "line"), "c").join(ids, (F.col("c") == F.col("c2")) & (F.col("e") == F.col("e2")))
+    ids = store(signed.select("n", "c", "e", "place").join(own, F.col("n") == F.col("m"), "left_semi").select("n", F.col("c").alias("c2"), F.col("e").alias("e2"), F.col("place").alias("first")))
+    near = in_map(ids.select(F.col("c2").alias("c")), lines.select("c", "e", "line", place().alias("place")), "c")
+    near = near.join(ids, (F.col("c") == F.col("c2")) & (F.col("e") == F.col("e2")) & F.col("place").eqNullSafe(F.col("first")))
     texts = store(near.select("n", "line").dropDuplicates(["n"]))
-    pairs = store(led(members))
-    links = store(confirmed(pairs, texts, percent))
-    others = across(mixed(members, store(components(links))), signed, texts, percent)
+    leads = members.groupBy("key").agg(F.max(F.struct("weight", "n")).alias("x")).select(separate("key").alias("k"), F.col("x.n").alias("a"))
+    led = store(members.join(leads, F.col("key") == F.col("k")).where("n <> a").select("key", "n", "a"))
+    pairs = store(led.select(F.least("a", "n").alias("a"), F.greatest("a", "n").alias("b")).distinct())
+    links = store(confirmed(store(possible(pairs, mapped(texts), percent)), texts, percent))
+    groups = store(components(links))
+    named = led.join(groups, F.col("n") == F.col("node"), "left").select("key", "n", F.coalesce("component", "n").alias("g"))
+    several = named.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select(separate("key").alias("k"))
+    named = store(named.join(several, F.col("key") == F.col("k"), "left_semi"))
     before = pairs.select(separate("a").alias("a_"), separate("b").alias("b_"))
-    others = store(others.join(before, (F.col("a") == F.col("a_")) & (F.col("b") == F.col("b_")), "left_anti"))
+    others = store(across(named, signed, texts, percent).join(before, (F.col("a") == F.col("a_")) & (F.col("b") == F.col("b_")), "left_anti"))
     groups = store(components(links.unionByName(store(confirmed(others, texts, percent)))))
     return groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
 
@@ -180,9 +194,11 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFr
     owned = store(signed.select("n", "c", "e", "place").join(groups, F.col("n") == F.col("node")).select("component", "c", "e", "place"))
     first = owned.groupBy("component").agg(F.min("place").alias("first")).select(separate("component").alias("k"), "first")
     moved = owned.join(first, F.col("component") == F.col("k")).select("c", "e", "first")
-    rest = signed.select("n", "c", "e", "place").join(groups, F.col("n") == F.col("node"), "left_anti").select("c", "e", F.col("place").alias("first"))
-    named = moved.unionByName(rest).select(separate("c").alias("c2"), F.col("e").alias("e2"), "first")
-    found = lines.select("c", "e", "doc_id", "t", "line_no", place().alias("place")).join(named, (F.col("c") == F.col("c2")) & (F.col("e") == F.col("e2")))
+    # lines that occur once and are linked with none are their own first
+    rest = signed.where("weight > 1").select("n", "c", "e", "place").join(groups, F.col("n") == F.col("node"), "left_anti").select("c", "e", F.col("place").alias("first"))
+    named = moved.unionByName(rest).select(F.col("c").alias("c2"), F.col("e").alias("e2"), "first")
+    found = lines.select("c", "e", "doc_id", "t", "line_no", place().alias("place")).join(named, (F.col("c") == F.col("c2")) & (F.col("e") == F.col("e2")), "left")
+    found = found.withColumn("first", F.coalesce("first", "place"))
     ten = "10000000000BD"
     return found.select("doc_id", "t", "line_no", F.expr(f"cast(floor(first / {ten}) as long)").alias("first_doc"), F.expr(f"cast(pmod(first, {ten}) as int)").alias("first_no"), F.expr("coalesce(place = first, first is null)").alias("kept"))
 
