@@ -12,18 +12,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellum.llm.common import components, ready_to_checkpoint, separate, store
+from tessellum.llm.common import components, fresh, ready_to_checkpoint, separate, store
 
 #: Tuples and hashes a tuple of the two collections: 11 x 8 = 88 tables of 5 hashes from 49 minhashes.
 #: At a similarity of 0.8 a pair meets in some table with probability 0.9993.
 FIRST, SECOND = (11, 3), (8, 2)
 #: Classes that each is compared with at first; a matter of speed alone, as the second step has all others.
 LEADERS = 16
-#: Bits of a sketch.
-BITS = 4096
+#: Bits of a sketch, and the numbers of 64 bits that it is folded to for a first, short comparison: long conditions are not compiled by the JVM.
+BITS, FOLDED = 4096, 16
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
@@ -156,16 +156,22 @@ def across(named: DataFrame, classes: DataFrame, texts: DataFrame, width: int, p
     own = named.select(F.col("c").alias("n")).distinct()
     held = store(classes.select("c", "first", "second").join(own, F.col("c") == F.col("n"), "left_semi"))
     sketch = sketched(texts.join(own, F.col("c") == F.col("n"), "left_semi"), width)
-    wide = store(held.join(sketch.select(F.col("c").alias("m"), "size", "sketch"), F.col("c") == F.col("m")).select(F.col("c").alias("n"), "first", "second", "size", "sketch"))
+    folded = [" ^ ".join(f"sketch[{j}]" for j in range(k, BITS // 64, FOLDED)) + f" as f{k}" for k in range(FOLDED)]
+    sketch = sketch.selectExpr("c as m", "size", "sketch", *folded)
+    wide = store(held.join(sketch, F.col("c") == F.col("m")).drop("m").withColumnRenamed("c", "n"))
     places = held.select("c", F.posexplode("first").alias("i", "x"), "second").select("c", "i", "x", F.posexplode("second").alias("j", "y"))
     places = places.select(F.xxhash64("i", "x", "j", "y").alias("k"), F.col("c").alias("n"), "i", "j")
     rows = named.join(places, (F.col("key") == F.col("k")) & (F.col("c") == F.col("n"))).select("key", "c", "g", "i", "j")
-    rows = store(rows.join(wide, F.col("c") == F.col("n")).drop("n"))
-    other = rows.select(F.col("key").alias("k"), F.col("c").alias("d"), F.col("g").alias("h"), F.col("first").alias("first2"), F.col("second").alias("second2"), F.col("size").alias("size2"), F.col("sketch").alias("sketch2"))
-    new = " and ".join([*(f"(i <= {k} or first[{k}] <> first2[{k}])" for k in range(FIRST[0] - 1)), *(f"(j <= {k} or second[{k}] <> second2[{k}])" for k in range(SECOND[0] - 1))])
-    close = " + ".join(f"bit_count(sketch[{k}] ^ sketch2[{k}])" for k in range(BITS // 64))
-    meets = (F.col("key") == F.col("k")) & (F.col("c") < F.col("d")) & (F.col("g") != F.col("h")) & F.expr(f"100 * least(size, size2) >= {percent} * greatest(size, size2)") & F.expr(new) & F.expr(f"{100 + percent} * ({close}) <= {100 - percent} * (size + size2)")
-    return rows.join(other, meets).select(F.col("c").alias("a"), F.col("d").alias("b"))
+    words = [f"f{k}" for k in range(FOLDED)]
+    rows = rows.join(wide, F.col("c") == F.col("n")).selectExpr("key", "c", "g", "slice(first, 1, i) as first", "slice(second, 1, j) as second", "size", "sketch", *words)
+    rows = store(rows)
+    rows = rows.where(" and ".join(f"{c} is not null" for c in rows.columns))
+    other = rows.select(*(F.col(c).alias(f"{c}_") for c in rows.columns))
+    differ = " + ".join(f"bit_count({w} ^ {w}_)" for w in words)
+    whole = "aggregate(zip_with(sketch, sketch_, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)"
+    close = " and ".join(f"{100 + percent} * ({n}) <= {100 - percent} * (size + size_)" for n in (differ, whole))
+    meets = f"key = key_ and c < c_ and g <> g_ and 100 * least(size, size_) >= {percent} * greatest(size, size_) and {close} and not arrays_overlap(first, first_) and not arrays_overlap(second, second_)"
+    return rows.join(other, F.expr(meets)).selectExpr("c as a", "c_ as b")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -219,15 +225,18 @@ def grouped(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
     spark = docs.sparkSession
     ready_to_checkpoint(spark)
     signed = store(signatures(docs, width, id_col, text_col, seed))
-    classes = store(signed.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"), F.first("first").alias("first"), F.first("second").alias("second")))
+    classes = store(signed.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"), F.min("t").alias("t"), F.first("first").alias("first"), F.first("second").alias("second")))
     tables = classes.select("c", F.posexplode("first").alias("i", "x"), "second").select("c", "i", "x", F.posexplode("second").alias("j", "y"))
     tables = tables.select(F.xxhash64("i", "x", "j", "y").alias("key"), "c")
     shared = tables.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
     # rows of keys that several classes share: few beside all rows
     members = store(tables.join(shared.select(separate("key").alias("k"), "low"), F.col("key") == F.col("k")).select("key", "c", "low"))
-    ids = members.select("c").distinct().join(classes.select(F.col("c").alias("n"), "least"), F.col("c") == F.col("n"))
+    ids = members.select("c").distinct().join(classes.select(F.col("c").alias("n"), "least", F.col("t").alias("u")), F.col("c") == F.col("n"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = store(rows.join(ids.select("c", "least"), F.col("doc_id").eqNullSafe(F.col("least"))).select("c", "text"))
+    # classes that have ids are found by the least of them, the others by one of their texts' hashes
+    texts = rows.join(ids.where("least is not null").select("c", "least"), F.col("doc_id") == F.col("least")).select("c", "text")
+    nameless = rows.where("doc_id is null").join(ids.where("least is null").select("c", "u"), F.xxhash64("text") == F.col("u")).select("c", "text")
+    texts = store(texts.unionByName(nameless.dropDuplicates(["c"])))
     links, groups = [], None
     for step in range(2):
         if step == 0:
@@ -251,7 +260,9 @@ def grouped(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
         named = named.join(groups, F.col("c") == F.col("node"), "left").select("c", "least", F.coalesce("component", "c").alias("g"))
     else:
         named = named.withColumn("g", F.col("c"))
-    named = store(named.withColumn("component_id", F.min("least").over(Window.partitionBy("g"))))
+    named = store(named)
+    least = named.groupBy("g").agg(F.min("least").alias("component_id")).select(separate("g").alias("h"), "component_id")
+    named = named.join(least, F.col("g") == F.col("h")).select("c", "g", "component_id")
     joined = signed.select("doc_id", "t", "n_shingles", "c").join(named.select(separate("c").alias("k"), "g", "component_id"), F.col("c") == F.col("k"), "left")
     component = F.expr("case when c is null then doc_id else component_id end")
     return joined.select("doc_id", "t", "g", "n_shingles", component.alias("component_id")).withColumn("kept", F.expr("coalesce(doc_id = component_id, component_id is null)"))
@@ -271,9 +282,10 @@ def keep_one(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str
         several = store(found.where("kept").join(repeated, F.col("doc_id") == F.col("r")).select("doc_id", "g", "t").distinct())
         least = several.groupBy("doc_id", "g").agg(F.min("t").alias("u")).select(F.col("doc_id").alias("i"), "u")
         gone = gone.unionByName(several.join(least, (F.col("doc_id") == F.col("i")) & (F.col("t") == F.col("u")), "left_anti").select("doc_id", "t"))
-    gone = store(gone.select(F.col("doc_id").alias("_id"), F.col("t").alias("_gone")))
-    rows = docs.withColumn("_t", F.xxhash64(text_col))
-    rows = rows.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_gone")), "left_anti")
+    doc, left, own = fresh(docs, "doc", "gone", "own")
+    gone = store(gone.select(F.col("doc_id").alias(doc), F.col("t").alias(left)))
+    rows = docs.withColumn(own, F.xxhash64(text_col))
+    rows = rows.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(left)), "left_anti")
     if again:
-        rows = rows.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, "_t"]).unionByName(rows.where(F.col(id_col).isNull()))
-    return rows.drop("_t")
+        rows = rows.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, own]).unionByName(rows.where(F.col(id_col).isNull()))
+    return rows.drop(own)
