@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The suffix of a message that was cut, its longest length, and the words that carry no topic.
-CUT_SUFFIX, MESSAGE_CAP = "... (truncated)", 4096
+CUT_SUFFIX, MESSAGE_CAP = "\n\n[消息过长已截断]", 4096
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
 
 

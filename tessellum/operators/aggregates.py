@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tessellum.functions.scalar import progress_bar, terms
 
-#: Trend, valuation and crowding buckets to one of five outcomes, fixed values; None takes any.
-PRICING = (("high", "low", "low", "buy"), ("high", "low", None, "watch"), ("high", "high", None, "priced_in"), ("low", "high", None, "avoid"), ("low", "low", None, "wait"))
+#: How strong the logic, how far priced in and how crowded, to one of five outcomes, fixed values; None takes any.
+PRICING = (("strong", "unpriced", "vacant", "opportunity"), ("strong", "partly", "fair", "trend"), ("strong", "fully", "crowded", "negative"), ("strong", "fully", "vacant", "anomaly"), ("weak", None, None, "drop"))
 
 
 def index_drift(index: DataFrame, scanned: DataFrame) -> DataFrame:
@@ -115,12 +115,14 @@ def lens_agreement(judgements: DataFrame) -> DataFrame:
     return found.withColumn("pattern", F.when((F.col("directions") == 1) & (F.col("n") >= 2), "converge").when((F.col("up") > 0) & (F.col("down") > 0), "diverge").otherwise("complement"))
 
 
-def priced(trend: Column, valuation: Column, crowding: Column, rules=PRICING) -> Column:
-    """The first rule that fits three buckets."""
+def priced(logic: Column, pricing: Column, crowding: Column, rules=PRICING) -> Column:
+    """The first rule that fits three levels; 'unclear' where none does."""
     found = F.lit("unclear")
-    for t, v, c, outcome in reversed(rules):
-        fits = (trend == t) & (valuation == v)
-        found = F.when(fits if c is None else fits & (crowding == c), F.lit(outcome)).otherwise(found)
+    for *levels, outcome in reversed(rules):
+        fits = F.lit(True)
+        for column, level in zip((logic, pricing, crowding), levels, strict=True):
+            fits = fits if level is None else fits & (column == level)
+        found = F.when(fits, F.lit(outcome)).otherwise(found)
     return found
 
 

@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from tessellum.functions.scalar import change, slug_any, url_host, weekday
 
 #: Verdict and confidence to route, fixed values.
-ROUTES = (("NO_CHANGE", None, "skip"), ("STATE_CHANGED", "high", "deep"), ("STATE_CHANGED", "medium", "deep"), ("STATE_CHANGED", "low", "deep_disputed"), ("LIKELY_DEAD", None, "staging"), ("UNCLEAR", None, "deep_disputed"))
+ROUTES = (("NO_CHANGE", None, "skip"), ("STATE_CHANGED", "high", "deep_first"), ("STATE_CHANGED", "medium", "deep"), ("STATE_CHANGED", "low", "deep"), ("EVIDENCE_CONFLICT", None, "deep_disputed"), ("LIKELY_DEAD", None, "staging"))
 #: Days that data of a kind stays fresh.
 FRESH_DAYS = {"macro": 31, "company": 92}
-#: F16: indicator, comparison, limit, flag.
-RED_FLAGS = (("pe_percentile", ">", 90.0, "expensive"), ("deviation_200d", ">", 20.0, "stretched"), ("deviation_200d", "<", -15.0, "broken"), ("rsi14", ">", 70.0, "overbought"), ("rsi14", "<", 30.0, "oversold"), ("drawdown", "<", -50.0, "collapse"), ("insider_net_6m", "<", 0.0, "insiders_sell"), ("institution_change", "<", -5.0, "institutions_leave"))
+#: F16: indicator, comparison, limit, flag, fixed values; a close below the 200-day mean is a deviation below 0. How near to the ends of the 52-week range is near is ours.
+RED_FLAGS = (
+    ("position_52w", ">=", 0.95, "near_high"), ("position_52w", "<=", 0.05, "near_low"), ("deviation_200d", "<", 0.0, "below_mean"), ("drawdown", "<=", -10.0, "correction"),
+    ("drawdown", "<=", -20.0, "bear"), ("drawdown", "<=", -50.0, "collapse"), ("rsi14", ">", 70.0, "overbought"), ("rsi14", "<", 30.0, "oversold"), ("deviation_200d", ">", 20.0, "stretched"),
+    ("deviation_200d", "<", -15.0, "stretched_down"), ("institution_change", "<", -10.0, "institutions_leave"), ("insider_net_6m", "<", 0.0, "insiders_sell"), ("short_interest", ">", 10.0, "shorted"), ("short_interest", ">", 20.0, "heavily_shorted"),
+)
+#: Fixed values: openings and closing words that a draft does not have, words of fear, and dates that say no day.
+OPENINGS, CLOSINGS, FEAR, UNDATED = ("我们来聊聊", "今天想和大家分享"), ("总结一下", "总的来说"), ("崩盘", "灾难", "赶紧跑"), ("最近", "日前")
 
 
 def due(decisions: DataFrame, as_of: Column) -> DataFrame:
@@ -22,7 +28,7 @@ def due(decisions: DataFrame, as_of: Column) -> DataFrame:
 
 def due_by_tag(decisions: DataFrame, as_of: Column, synonyms: list[str]) -> DataFrame:
     """due rows with one of the tags; if there are none, all due rows."""
-    rows = due(decisions, as_of).withColumn("hit", F.arrays_overlap("tags", F.array(*map(F.lit, synonyms))))
+    rows = due(decisions, as_of).withColumn("hit", F.coalesce(F.arrays_overlap("tags", F.array(*map(F.lit, synonyms))), F.lit(False)))
     some = rows.agg(F.max("hit").alias("some"))  # one row
     return rows.crossJoin(F.broadcast(some)).where(F.col("hit") | ~F.col("some")).drop("hit", "some")
 
@@ -124,11 +130,15 @@ def evidence_gate(evidence: DataFrame) -> DataFrame:
     return found.withColumn("passed", (F.col("items") >= 2) & (F.col("high") >= 1) & (F.col("undated") == 0))
 
 
-def stopped(candidates: DataFrame, known: DataFrame, most_hops: int = 10) -> DataFrame:
-    """The reason why a candidate goes no further, null if none: the first that holds."""
+def stopped(candidates: DataFrame, known: DataFrame, as_of: Column, days: int = 14, warn_hops: int = 5, most_hops: int = 10) -> DataFrame:
+    """The reason why a candidate goes no further, null if none: the first that holds; and whether its hops are worth a warning.
+
+    Isolated: two weeks after it was first seen there are neither two sources nor an authoritative one and one of the community.
+    """
+    alone = (F.col("sources") < 2) & ~((F.col("authoritative") >= 1) & (F.col("community") >= 1)) & (F.datediff(as_of, "first_seen") >= days)
     rows = candidates.join(known.select(F.lower("name").alias("known")).distinct(), F.lower("name") == F.col("known"), "left")
-    reason = F.when(~F.col("quantifiable"), "unquantifiable").when(F.col("sources") < 2, "isolated").when(F.col("known").isNotNull(), "covered").when(F.col("hop") > most_hops, "too_far")
-    return rows.withColumn("stop", reason).drop("known")
+    reason = F.when(~F.col("quantifiable"), "unquantifiable").when(alone, "isolated").when(F.col("known").isNotNull(), "covered").when(F.col("hop") > most_hops, "too_far")
+    return rows.withColumn("stop", reason).withColumn("warned", F.col("hop") > warn_hops).drop("known")
 
 
 def promoted(candidates: DataFrame, as_of: Column, days: int = 14) -> DataFrame:
@@ -180,9 +190,11 @@ def push_guard(text: Column, cap: int = 4096) -> Column:
     return F.when(n == 0, "reject").when(F.length(text) > cap, "truncate").when(n <= 50, "send").otherwise("confirm")
 
 
-def still_valid(lifecycle: Column, snapshot: Column, current: Column, age: Column) -> Column:
-    """an event is valid for two weeks, a state while it is unchanged, a structure for long."""
-    return F.when(lifecycle == "event", age <= 14).when(lifecycle == "structural", age <= 365).otherwise(snapshot.eqNullSafe(current))
+def still_valid(lifecycle: Column, snapshot: Column, current: Column, triggered: Column, months_ahead: Column) -> Column:
+    """whether a state still holds, whatever its age: structural and cyclical ones while unchanged, seasonal
+    ones also only from two months ahead of their season, events until they are triggered, pulses never."""
+    same = snapshot.eqNullSafe(current)
+    return F.when(lifecycle == "pulse", False).when(lifecycle == "event", ~triggered).when(lifecycle == "seasonal", same & months_ahead.between(0, 2)).otherwise(same)
 
 
 def todo_class(text: Column, keywords: dict[str, list[str]]) -> Column:
@@ -233,9 +245,13 @@ def actionable(conclusions: DataFrame, evidence: DataFrame) -> DataFrame:
     return conclusions.join(points, "conclusion", "left").withColumn("status", F.when(F.col("points") >= 1, "actionable").otherwise("to_be_quantified")).fillna({"points": 0})
 
 
-def draft_conforms(drafts: DataFrame, banned: list[str]) -> DataFrame:
-    """300 to 600 characters, no banned wording, sources given."""
-    clean = F.lit(True)
-    for word in banned:
+def draft_conforms(drafts: DataFrame, banned: list[str], openings=OPENINGS, closings=CLOSINGS, fear=FEAR, undated=UNDATED) -> DataFrame:
+    """300 to 600 characters, no banned wording or words of fear, no event without a date, sources given; no polite opening, and no summing up in the last paragraph."""
+    clean, last = F.lit(True), F.element_at(F.split(F.rtrim(F.lower("text")), "\n"), -1)
+    for word in (*banned, *fear, *undated):
         clean = clean & ~F.lower("text").contains(word)
+    for word in openings:
+        clean = clean & ~F.ltrim(F.lower("text")).startswith(word)
+    for word in closings:
+        clean = clean & ~last.contains(word)
     return drafts.withColumn("conforms", F.length("text").between(300, 600) & clean & (F.size("sources") > 0))

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Weights of a word met in the tags, the title and the body.
 TAG, TITLE, BODY = 3, 2, 1
 #: Stages of a learning plan by kind of document.
-STAGE = {"topic": 1, "source": 2, "report": 3, "connection": 4, "decision": 4}
+STAGE = {"source": 1, "topic": 2, "report": 2, "connection": 3}
 
 
 def ranked_candidates(candidates: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def newest(index: DataFrame, cards: DataFrame, most: int = 5) -> DataFrame:
 
 
 def staged(docs: DataFrame, stages: dict[str, int] | None = None) -> DataFrame:
-    """The plan's stage of each kind."""
+    """The plan's stage of each kind; what is neither read nor linked belongs to the last, own questions."""
     found = F.lit(4)
     for kind, n in (stages or STAGE).items():
         found = F.when(F.col("kind") == kind, F.lit(n)).otherwise(found)
@@ -97,3 +97,12 @@ def shared(a: DataFrame, b: DataFrame) -> DataFrame:
 def lacking(required: list[str], present: Column) -> Column:
     """U07."""
     return F.array_except(F.array(*map(F.lit, required)), present)
+
+
+def across_domains(matches: DataFrame, most: int = 5) -> DataFrame:
+    """Each event's best lenses, one at least of another domain than the event's if any fits; matches: (event, lens, tier, domain, own)."""
+    best = Window.partitionBy("event").orderBy(F.col("tier").desc(), "lens")
+    foreign = ~F.col("domain").eqNullSafe(F.col("own"))
+    rows = matches.withColumn("rank", F.row_number().over(best)).withColumn("first_foreign", F.min(F.when(foreign, F.col("rank"))).over(Window.partitionBy("event")))
+    enough = F.coalesce(F.col("first_foreign") <= most, F.lit(True))
+    return rows.where((F.col("rank") <= F.when(enough, most).otherwise(most - 1)) | (~enough & (F.col("rank") == F.col("first_foreign")))).drop("first_foreign")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -65,13 +66,15 @@ def retry(status: Column, attempt: Column) -> Column:
     return F.when(status.between(200, 299), "sent").when(status.isin(401, 403), "refused").when(attempt < 2, "retry_in_3s").otherwise("failed")
 
 
-def push(send: Callable[[str], int] | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink; without a sender, and by default, nothing leaves."""
+def push(send: Callable[[str], int] | None = None, wait: float = 3.0) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that tries once more after `wait` seconds unless refused (retry()); without a sender, and by default, nothing leaves."""
 
     def batch(rows: DataFrame, _: int) -> None:
         if send is not None:
             for row in rows.select("text").toLocalIterator():
-                if send(row["text"]) not in range(200, 300):
+                status = send(row["text"])
+                if status not in range(200, 300) and status not in (401, 403):
+                    time.sleep(wait)
                     send(row["text"])
 
     return batch

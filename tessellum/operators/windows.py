@@ -123,6 +123,14 @@ def rotation(holdings: DataFrame, week: int) -> DataFrame:
     return ranked.where(F.pmod(F.lit(week), F.col("n")) == F.col("rank") - 1).select("target")
 
 
+def turns(targets: DataFrame, as_of: Column, week: int) -> DataFrame:
+    """What is to be studied again: on Mondays the holding whose turn the week is, watched targets on a quarter's and sectors on a half-year's first day; targets: (kind, target)."""
+    first, month = F.dayofmonth(as_of) == 1, F.month(as_of)
+    held = rotation(targets.where("kind = 'holding'").select("target"), week).where(F.dayofweek(as_of) == 2).select(F.lit("holding").alias("kind"), "target")
+    due = ((F.col("kind") == "watching") & first & month.isin(1, 4, 7, 10)) | ((F.col("kind") == "sector") & first & month.isin(1, 7))
+    return held.unionByName(targets.where(due).select("kind", "target"))
+
+
 def unsent(reminders: DataFrame, ledger: DataFrame) -> DataFrame:
     """Reminders that were not pushed before."""
     return reminders.join(ledger.select("reminder").distinct(), "reminder", "left_anti")

@@ -50,12 +50,12 @@ def urgent_changes(spark, sf_dir):
     return FL.urgent(verdicts, references, holdings).select("variable_id")
 
 
-@query("SELECT p_partkey AS id, p_size < 25 AND p_partkey % 7 <> 0 AS goes_on FROM part")
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 11 = 0 THEN 'unquantifiable' WHEN p_partkey % 3 < 2 AND NOT (p_partkey % 2 = 1 AND p_partkey % 5 > 1) AND p_size >= 14 THEN 'isolated' WHEN p_partkey % 7 = 0 THEN 'covered' WHEN p_size % 13 > 10 THEN 'too_far' END AS stop, p_size % 13 > 5 AS warned FROM part""")
 def stop_rules(spark, sf_dir):
     """F19, J22."""
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").cast("string").alias("name"), F.lit(True).alias("quantifiable"), F.lit(2).alias("sources"), F.when(F.col("p_size") >= 25, 11).otherwise(1).alias("hop"))
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey as id", "cast(p_partkey as string) as name", "p_partkey % 11 <> 0 as quantifiable", "p_partkey % 3 as sources", "p_partkey % 2 as authoritative", "if(p_partkey % 5 > 1, 1, 0) as community", "date_sub(date'2001-06-01', cast(p_size as int)) as first_seen", "p_size % 13 as hop")
     known = rows.where("id % 7 = 0").select("name")
-    return FL.stopped(rows, known).select("id", F.col("stop").isNull().alias("goes_on"))
+    return FL.stopped(rows, known, day("2001-06-01")).select("id", "stop", "warned")
 
 
 @query("""SELECT o_orderkey AS id FROM orders WHERE o_totalprice > 1000 AND CAST(o_orderdate AS DATE) <= DATE '2001-06-01' AND (o_orderstatus = 'F' OR date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-06-01') >= 14) AND o_orderpriority IN ('1-URGENT', '2-HIGH')""")
@@ -86,10 +86,10 @@ def quantified_support(spark, sf_dir):
     return FL.actionable(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("conclusion")), evidence)
 
 
-@query("""SELECT doc_id, length(text) BETWEEN 300 AND 600 AND NOT contains(lower(text), 'idiot') AS conforms FROM documents""")
+@query("""SELECT doc_id, length(text) BETWEEN 300 AND 600 AND NOT contains(lower(text), 'idiot') AND NOT contains(lower(text), '最近') AND NOT starts_with(ltrim(lower(text), ' '), 'in') AND NOT contains(string_split(rtrim(lower(text), ' '), chr(10))[-1], 'und ') AS conforms FROM documents""")
 def draft_conformance(spark, sf_dir):
     """F37."""
-    return FL.draft_conforms(table(spark, sf_dir, "documents").withColumn("sources", F.array("source")), ["idiot"]).select("doc_id", "conforms")
+    return FL.draft_conforms(table(spark, sf_dir, "documents").withColumn("sources", F.array("source")), ["idiot"], openings=("in",), closings=("und ",)).select("doc_id", "conforms")
 
 
 @query("""WITH f AS (SELECT n_nationkey AS followup, lower(n_name) AS metric FROM nation), w AS (SELECT conv_id || '/' || turn AS article, unnest(string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ')) AS k FROM conversations),
@@ -215,6 +215,23 @@ def rotation(spark, sf_dir):
     return W.rotation(table(spark, sf_dir, "nation").select(F.col("n_name").alias("target")), 37)
 
 
+@query("""SELECT 'holding' AS kind, n_name AS target FROM (SELECT n_name, row_number() OVER (ORDER BY n_name) AS r, count(*) OVER () AS n FROM nation) WHERE 27 % n = r - 1 UNION ALL SELECT 'watching', s_name FROM supplier UNION ALL SELECT 'sector', r_name FROM region""")
+def study_turns(spark, sf_dir):
+    """2002-07-01 is a Monday and begins a half-year."""
+    kinds = (("nation", "n_name", "holding"), ("supplier", "s_name", "watching"), ("region", "r_name", "sector"))
+    targets = [table(spark, sf_dir, t).select(F.lit(kind).alias("kind"), F.col(name).alias("target")) for t, name, kind in kinds]
+    return W.turns(targets[0].unionByName(targets[1]).unionByName(targets[2]), day("2002-07-01"), 27)
+
+
+@query("""WITH m AS (SELECT p_partkey % 40 AS event, p_partkey AS lens, p_size % 4 AS tier, CASE WHEN p_size % 9 = 0 THEN 'war' ELSE 'money' END AS domain FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY event ORDER BY tier DESC, lens) AS rank FROM m), f AS (SELECT event, min(rank) AS first FROM r WHERE domain <> 'money' GROUP BY 1)
+SELECT event, lens, rank FROM r LEFT JOIN f USING (event) WHERE rank <= CASE WHEN coalesce(first <= 5, true) THEN 5 ELSE 4 END OR (first > 5 AND rank = first)""")
+def foreign_lens(spark, sf_dir):
+    """F25, O09."""
+    matches = table(spark, sf_dir, "part").selectExpr("p_partkey % 40 as event", "p_partkey as lens", "p_size % 4 as tier", "if(p_size % 9 = 0, 'war', 'money') as domain", "'money' as own")
+    return R.across_domains(matches).select("event", "lens", "rank")
+
+
 @query("SELECT doc_id AS reminder FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def unsent_reminders(spark, sf_dir):
     """W17, K10, K07."""
@@ -237,8 +254,8 @@ def offered_topics(spark, sf_dir):
 @query("""SELECT doc_id, CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 2 WHEN 'de' THEN 3 ELSE 4 END AS stage FROM documents""")
 def plan_stages(spark, sf_dir):
     """O07."""
-    kinds = {"en": 1, "fr": 2, "de": 3}
-    return R.staged(table(spark, sf_dir, "documents").withColumnRenamed("lang", "kind"), kinds).select("doc_id", "stage")
+    kind = F.expr("case lang when 'en' then 'source' when 'fr' then if(doc_id % 2 = 0, 'topic', 'report') when 'de' then 'connection' else 'question' end")
+    return R.staged(table(spark, sf_dir, "documents").withColumn("kind", kind)).select("doc_id", "stage")
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 4 = 0 THEN 'reviewed' WHEN o_orderstatus = 'O' THEN 'open' WHEN o_orderstatus = 'F' THEN 'reviewed' END AS status FROM orders""")

@@ -302,11 +302,11 @@ def change_summary(spark, sf_dir):
     return found.select("status", *(F.col(f"`{p}`").alias(f"p{p[0]}") for p in PRIORITIES))
 
 
-VERDICTS = "CASE event_type WHEN 'purchase' THEN 'STATE_CHANGED' WHEN 'view' THEN 'NO_CHANGE' WHEN 'click' THEN 'LIKELY_DEAD' ELSE 'UNCLEAR' END"
+VERDICTS = "CASE event_type WHEN 'purchase' THEN 'STATE_CHANGED' WHEN 'view' THEN 'NO_CHANGE' WHEN 'click' THEN 'LIKELY_DEAD' WHEN 'error' THEN 'EVIDENCE_CONFLICT' ELSE 'UNKNOWN' END"
 BANDS = "CASE WHEN value >= 60 THEN 'high' WHEN value >= 20 THEN 'medium' ELSE 'low' END"
 
 
-@query(f"""SELECT event_type, CASE WHEN v = 'NO_CHANGE' THEN 'skip' WHEN v = 'STATE_CHANGED' AND c IN ('high', 'medium') THEN 'deep' WHEN v = 'STATE_CHANGED' THEN 'deep_disputed' WHEN v = 'LIKELY_DEAD' THEN 'staging' ELSE 'deep_disputed' END AS route, count(*) AS n
+@query(f"""SELECT event_type, CASE WHEN v = 'NO_CHANGE' THEN 'skip' WHEN v = 'STATE_CHANGED' AND c = 'high' THEN 'deep_first' WHEN v = 'STATE_CHANGED' THEN 'deep' WHEN v = 'EVIDENCE_CONFLICT' THEN 'deep_disputed' WHEN v = 'LIKELY_DEAD' THEN 'staging' ELSE 'unrouted' END AS route, count(*) AS n
 FROM (SELECT event_type, {VERDICTS} AS v, {BANDS} AS c FROM events) GROUP BY 1, 2""")
 def verdict_routing(spark, sf_dir):
     """F14."""
@@ -314,10 +314,10 @@ def verdict_routing(spark, sf_dir):
     return FL.routed(rows).groupBy("event_type", "route").agg(F.count("*").alias("n"))
 
 
-BUCKETS = "CASE WHEN p_retailprice % 10 >= 5 THEN 'high' ELSE 'low' END AS t, CASE WHEN p_size > 25 THEN 'high' ELSE 'low' END AS v, CASE WHEN p_partkey % 3 = 0 THEN 'high' ELSE 'low' END AS c"
+BUCKETS = "CASE WHEN p_partkey % 4 > 0 THEN 'strong' ELSE 'weak' END AS t, CASE WHEN p_size > 33 THEN 'fully' WHEN p_size > 16 THEN 'partly' ELSE 'unpriced' END AS v, CASE p_partkey % 3 WHEN 0 THEN 'vacant' WHEN 1 THEN 'fair' ELSE 'crowded' END AS c"
 
 
-@query(f"""SELECT CASE WHEN t = 'high' AND v = 'low' AND c = 'low' THEN 'buy' WHEN t = 'high' AND v = 'low' THEN 'watch' WHEN t = 'high' THEN 'priced_in' WHEN v = 'high' THEN 'avoid' ELSE 'wait' END AS outcome, count(*) AS n FROM (SELECT {BUCKETS} FROM part) GROUP BY 1""")
+@query(f"""SELECT CASE WHEN t = 'weak' THEN 'drop' WHEN v = 'unpriced' AND c = 'vacant' THEN 'opportunity' WHEN v = 'partly' AND c = 'fair' THEN 'trend' WHEN v = 'fully' AND c = 'crowded' THEN 'negative' WHEN v = 'fully' AND c = 'vacant' THEN 'anomaly' ELSE 'unclear' END AS outcome, count(*) AS n FROM (SELECT {BUCKETS} FROM part) GROUP BY 1""")
 def pricing_matrix(spark, sf_dir):
     """A20."""
     rows = table(spark, sf_dir, "part").selectExpr(*[x.strip() for x in BUCKETS.replace(", CASE", "| CASE").split("|")])
@@ -544,12 +544,27 @@ def notify_line(spark, sf_dir):
     return K.notify_line(FL.due(decisions(spark, sf_dir), day("1995-02-01")).select(F.col("id").cast("string").alias("title")), "due")
 
 
-@query("""SELECT l_orderkey AS target, 'stretched' AS flag FROM lineitem WHERE l_quantity > 49 UNION ALL SELECT l_orderkey, 'collapse' FROM lineitem WHERE -1000 * l_discount < -95""")
+INDICATORS = {"position_52w": "p_size / 50.0", "deviation_200d": "p_size - 25", "drawdown": "-(p_partkey % 60)", "rsi14": "p_partkey % 100", "institution_change": "p_partkey % 30 - 15", "insider_net_6m": "p_partkey % 7 - 3", "short_interest": "p_partkey % 25"}
+
+
+@query(f"""WITH i AS (SELECT p_partkey AS target, {', '.join(f'CAST({sql} AS DOUBLE) AS {name}' for name, sql in INDICATORS.items())} FROM part)
+SELECT target, unnest(list_filter([
+  CASE WHEN position_52w >= 0.95 THEN 'near_high' WHEN position_52w <= 0.05 THEN 'near_low' END, CASE WHEN deviation_200d < 0 THEN 'below_mean' END,
+  CASE WHEN drawdown <= -10 THEN 'correction' END, CASE WHEN drawdown <= -20 THEN 'bear' END, CASE WHEN drawdown <= -50 THEN 'collapse' END,
+  CASE WHEN rsi14 > 70 THEN 'overbought' WHEN rsi14 < 30 THEN 'oversold' END, CASE WHEN deviation_200d > 20 THEN 'stretched' WHEN deviation_200d < -15 THEN 'stretched_down' END,
+  CASE WHEN institution_change < -10 THEN 'institutions_leave' END, CASE WHEN insider_net_6m < 0 THEN 'insiders_sell' END,
+  CASE WHEN short_interest > 10 THEN 'shorted' END, CASE WHEN short_interest > 20 THEN 'heavily_shorted' END], lambda x: x IS NOT NULL)) AS flag FROM i""")
 def technical_flags(spark, sf_dir):
     """F16."""
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("target"), F.col("l_quantity").alias("deviation_200d"), (-1000 * F.col("l_discount")).alias("drawdown"))
-    flags = (("deviation_200d", ">", 49.0, "stretched"), ("drawdown", "<", -95.0, "collapse"))
-    return FL.red_flags(rows, flags).select("target", "flag")
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("target"), *(F.expr(f"cast({sql} as double)").alias(name) for name, sql in INDICATORS.items()))
+    return FL.red_flags(rows).select("target", "flag")
+
+
+@query("""SELECT p_partkey AS variable, CASE p_partkey % 5 WHEN 0 THEN false WHEN 1 THEN p_size <= 25 WHEN 2 THEN p_partkey % 3 <> 0 AND p_partkey % 12 <= 2 ELSE p_partkey % 3 <> 0 END AS valid FROM part""")
+def state_validity(spark, sf_dir):
+    """F28."""
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey as variable", "element_at(array('pulse', 'event', 'seasonal', 'structural', 'cyclical'), cast(p_partkey % 5 + 1 as int)) as lifecycle", "p_size as snapshot", "p_size + if(p_partkey % 3 = 0, 1, 0) as current", "p_size > 25 as triggered", "p_partkey % 12 as months_ahead")
+    return rows.select("variable", FL.still_valid(*(F.col(c) for c in ("lifecycle", "snapshot", "current", "triggered", "months_ahead"))).alias("valid"))
 
 
 @query("""SELECT source AS judgement, count(*) AS items, count(*) FILTER (quality = 1) AS high, count(*) >= 2 AND count(*) FILTER (quality = 1) >= 1 AND count(*) FILTER (lang IS NULL) = 0 AS passed FROM labels JOIN documents USING (doc_id) GROUP BY 1""")
@@ -559,11 +574,11 @@ def evidence_gate(spark, sf_dir):
     return FL.evidence_gate(rows.select(F.col("source").alias("judgement"), F.when(F.col("quality") == 1, "high").otherwise("low").alias("credibility"), F.col("lang").alias("date"))).select("judgement", "items", "high", "passed")
 
 
-@query("""SELECT l_returnflag AS event, count(*) AS n, count(DISTINCT l_linestatus) AS directions FROM lineitem GROUP BY 1""")
+@query("""SELECT l_returnflag AS event, count(*) AS n, count(DISTINCT l_linestatus) AS directions, CASE WHEN count(DISTINCT l_linestatus) = 1 AND count(*) >= 2 THEN 'converge' WHEN count(DISTINCT l_linestatus) = 2 THEN 'diverge' ELSE 'complement' END AS pattern FROM lineitem GROUP BY 1""")
 def lens_agreement(spark, sf_dir):
     """A19, V08."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("event"), F.when(F.col("l_linestatus") == "O", "up").otherwise("down").alias("direction"))
-    return A.lens_agreement(rows).select("event", "n", "directions")
+    return A.lens_agreement(rows).select("event", "n", "directions", "pattern")
 
 
 @query("""SELECT doc_id, left(array_to_string(list_slice(string_split(trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', ' ', 'g')), ' '), 1, 4), '-'), 200) AS slug FROM documents""")
@@ -572,7 +587,7 @@ def slugs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.slug(F.substring_index("text", "\n", 1)).alias("slug"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 4096 THEN left(text, 4081) || '... (truncated)' ELSE text END AS message FROM documents")
+@query("SELECT doc_id, CASE WHEN length(text) > 4096 THEN left(text, 4085) || chr(10) || chr(10) || '[消息过长已截断]' ELSE text END AS message FROM documents")
 def messages(spark, sf_dir):
     """X06, K09, F27."""
     return table(spark, sf_dir, "documents").select("doc_id", K.message(F.col("text")).alias("message"))

@@ -92,6 +92,7 @@ def test_filters(spark):
     day = F.lit("2026-01-05").cast("date")
     assert values(FL.due(rows, day), "id") == [(1,)]
     assert values(FL.due_by_tag(rows, day, ["none"]), "id") == [(1,)]
+    assert values(FL.due_by_tag(rows.withColumn("tags", F.lit(None).cast("array<string>")), day, ["none"]), "id") == [(1,)]
     whole, bad = FL.quarantined(rows)
     assert whole.count() == 2 and values(bad, "lacking") == [(["status", "review_date"],)]
     guards = spark.createDataFrame([(n,) for n in (99, 100, 499, 500, 10000, 10001)], "n int")
@@ -100,7 +101,7 @@ def test_filters(spark):
     specs = spark.createDataFrame([("09:30",), ("Mon 09:30",), ("Tue 09:30",), ("1/5 09:30",), ("soon",)], "s string")
     assert [r[0] for r in specs.select(FL.reminder_due(F.col("s"), now)).collect()] == [True, True, False, True, None]
     routed = FL.routed(spark.createDataFrame([("LIKELY_DEAD", "low"), ("STATE_CHANGED", "high"), ("STATE_CHANGED", "low")], "verdict string, confidence string"))
-    assert [r[0] for r in routed.select("route").collect()] == ["staging", "deep", "deep_disputed"]
+    assert [r[0] for r in routed.select("route").collect()] == ["staging", "deep_first", "deep"]
     reports = spark.createDataFrame([("r", {"topic": "t", "direction": "up"}, ["A", "C"])], "slug string, fields map<string,string>, sections array<string>")
     assert sorted(values(FL.violations(reports, ["topic", "status"], ["A", "B"]), "kind", "what")) == [("direction", "up"), ("header", "status"), ("section_foreign", "C"), ("section_missing", "B")]
     pool = spark.createDataFrame([("a", 2, 0, 0, True, False, "state", D(2026, 1, 1)), ("b", 2, 0, 0, True, False, "state", D(2026, 1, 2)), ("c", 1, 1, 1, True, False, "event", D(2026, 1, 15))], "name string, sources int, authoritative int, community int, quantifiable boolean, covered boolean, lifecycle string, first_seen date")
