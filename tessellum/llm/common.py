@@ -24,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
         if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="tessellum-")
+            base = own_dir(spark)
             spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/tessellum-{uuid.uuid4().hex}"
     if not _SCRATCH:
@@ -33,6 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def own_dir(spark: SparkSession) -> str:
+    """A temporary folder of this machine, where executors run on it too; elsewhere the cluster must name a shared one."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="tessellum-")
+
+
 def _drop_all() -> None:
     for spark, path in _SCRATCH:
         try:
@@ -45,7 +52,7 @@ def _drop_all() -> None:
 def ready_to_checkpoint(spark: SparkSession) -> None:
     """See that ``checkpoint()`` has a folder."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessellum-"))
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own_dir(spark))
 
 
 def store(df: DataFrame, codec: str = "zstd") -> DataFrame:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellum.llm.common import separate, store
+from tessellum.llm.common import fresh, separate, store
 
 #: A word: a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -149,10 +149,12 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
     """The rows of docs as often as the mix takes them; columns as before.
 
     Rows that repeat an id are taken for one document: each is taken as often as the mix takes the id's
-    row of its source and size, at most.
+    row of its source and size, at most. Null texts and texts without words have size 0; an empty table stays
+    empty; other columns are kept, whatever their names.
     """
     copies = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **settings)
-    copies = copies.groupBy(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    rows = docs.withColumn("_words", word_count(text_col))
-    taken = rows.join(copies, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    doc, origin, size, times, words, turn = fresh(docs, "doc", "origin", "size", "times", "words", "turn")
+    copies = copies.groupBy(F.col(id_col).alias(doc), F.col(source_col).alias(origin), F.col("size").alias(size)).agg(F.max("copies").alias(times)).where(F.col(times) > 0)
+    rows = docs.withColumn(words, word_count(text_col))
+    taken = rows.join(copies, F.col(id_col).eqNullSafe(F.col(doc)) & F.col(source_col).eqNullSafe(F.col(origin)) & (F.col(words) == F.col(size)))
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(turn)).drop(turn)
