@@ -4,10 +4,18 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one of this machine only where executors run on it too."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return named or "file://" + tempfile.mkdtemp(prefix="tessellum-")
+
+
 def hops(edges: DataFrame, anchors: DataFrame, hard: int = 10) -> DataFrame:
     """(node, hop): the fewest hops from any anchor, up to `hard`; cycles end by the visited set.
 
@@ -15,7 +23,7 @@ def hops(edges: DataFrame, anchors: DataFrame, hard: int = 10) -> DataFrame:
     """
     spark = edges.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessellum-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     plain = edges.select("src", "dst").distinct()
     seen = frontier = anchors.select("node").distinct().withColumn("hop", F.lit(0)).checkpoint()
     for hop in range(1, hard + 1):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -14,8 +13,9 @@ from tessellum.operators import joins as J
 from tessellum.operators import ranking as R
 from tessellum.operators import sinks as K
 from tessellum.operators import windows as W
+from tessellum.operators.graph import shared_folder
 from tessellum.plans import verbs
-from tessellum.plans.queries import QUERIES, daily, day, decisions, query, shipped, table
+from tessellum.plans.queries import QUERIES, RETURNED, daily, day, decisions, query, shipped, table
 from tessellum.streaming import state as T
 
 
@@ -26,10 +26,10 @@ def recency_flag(spark, sf_dir):
     return FL.recency_flag(rows, day("2024-02-10")).select(F.col("newest").cast("string").alias("newest"), "stale")
 
 
-@query("SELECT o_orderkey AS id, date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-08-01') AS age, date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-08-01') > CASE o_orderstatus WHEN 'O' THEN 31 WHEN 'F' THEN 92 END AS stale FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01'")
+@query("SELECT o_orderkey AS id, date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-08-01') AS age, date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-08-01') > CASE o_orderstatus WHEN 'O' THEN 31 WHEN 'F' THEN 92 END AS stale FROM orders")
 def staleness(spark, sf_dir):
     """F06, X13."""
-    rows = table(spark, sf_dir, "orders").where("o_orderdate >= timestamp_ntz'2001-01-01'").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("data_as_of"), F.when(F.col("o_orderstatus") == "O", "macro").when(F.col("o_orderstatus") == "F", "company").alias("kind"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("data_as_of"), F.when(F.col("o_orderstatus") == "O", "macro").when(F.col("o_orderstatus") == "F", "company").alias("kind"))
     return FL.staleness(rows, day("2001-08-01")).select("id", F.col("age").cast("long").alias("age"), "stale")
 
 
@@ -41,11 +41,11 @@ def sweep_mode(spark, sf_dir):
 
 
 @query("""SELECT DISTINCT l_partkey AS variable_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
-WHERE c_mktsegment = 'BUILDING' AND l_shipdate >= TIMESTAMP '2001-09-01' AND l_partkey % 3 = 0 AND l_partkey % 2 = 0""")
+WHERE c_mktsegment = 'BUILDING' AND l_partkey % 3 = 0 AND l_partkey % 2 = 0""")
 def urgent_changes(spark, sf_dir):
     """F15, J09, S04."""
     verdicts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("variable_id"), F.when(F.col("p_partkey") % 3 == 0, "STATE_CHANGED").otherwise("NO_CHANGE").alias("verdict"), F.when(F.col("p_partkey") % 2 == 0, "high").otherwise("low").alias("confidence"))
-    references = shipped(spark, sf_dir, "2001-09-01").select(F.col("variable").alias("variable_id"), F.col("target").alias("o_orderkey")).join(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("target")), "o_orderkey").select("variable_id", "target")
+    references = shipped(spark, sf_dir).select(F.col("variable").alias("variable_id"), F.col("target").alias("o_orderkey")).join(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("target")), "o_orderkey").select("variable_id", "target")
     holdings = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("target"))
     return FL.urgent(verdicts, references, holdings).select("variable_id")
 
@@ -79,10 +79,10 @@ def protected_areas(spark, sf_dir):
     return FL.allowed_changes(rows).select(F.col("id").alias("path"), "rejected")
 
 
-@query("""SELECT p_partkey AS conclusion, coalesce(n, 0) AS points, CASE WHEN n >= 1 THEN 'actionable' ELSE 'to_be_quantified' END AS status FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-09-01' GROUP BY 1) ON l_partkey = p_partkey""")
+@query(f"""SELECT p_partkey AS conclusion, coalesce(n, 0) AS points, CASE WHEN n >= 1 THEN 'actionable' ELSE 'to_be_quantified' END AS status FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE {RETURNED} GROUP BY 1) ON l_partkey = p_partkey""")
 def quantified_support(spark, sf_dir):
     """F36."""
-    evidence = shipped(spark, sf_dir, "2001-09-01").select(F.col("variable").alias("conclusion"), F.lit(True).alias("verifiable"))
+    evidence = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("conclusion"), F.expr(RETURNED).alias("verifiable"))
     return FL.actionable(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("conclusion")), evidence)
 
 
@@ -110,11 +110,11 @@ def lens_matches(spark, sf_dir):
     return verbs.lens(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event"), "text"), lenses).select("event", "lens", "met")
 
 
-@query("""SELECT c_custkey AS card FROM customer WHERE c_acctbal < 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01')""")
+@query("""SELECT c_custkey AS card FROM customer WHERE c_acctbal < 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
 def orphans(spark, sf_dir):
-    """J19."""
+    """Urgent orders are links."""
     cards = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("card"), F.when(F.col("c_acctbal") < 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("t"))).alias("tags"))
-    links = table(spark, sf_dir, "orders").where("o_orderdate >= timestamp_ntz'2000-01-01'").select(F.col("o_custkey").alias("src"), F.lit(-1).cast("long").alias("dst"))
+    links = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("src"), F.lit(-1).cast("long").alias("dst"))
     return J.orphans(cards, links, cards.where("card < 0")).select("card")
 
 
@@ -122,7 +122,7 @@ def orphans(spark, sf_dir):
 def overdue_events(spark, sf_dir):
     """J21."""
     calendar = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event"), F.to_date("o_orderdate").alias("event_date"))
-    outcomes = shipped(spark, sf_dir, "1900-01-01", "1997-01-01").select(F.col("target").alias("event"))
+    outcomes = shipped(spark, sf_dir, "l_shipdate < timestamp_ntz'1997-01-01'").select(F.col("target").alias("event"))
     return J.overdue_events(calendar, outcomes, day("1995-06-01")).select("event")
 
 
@@ -181,10 +181,10 @@ def search_coverage(spark, sf_dir):
     return A.coverage(rows, ["src0", "src1", "none"]).select("layer", "terms", "covered")
 
 
-@query("""SELECT user_id AS event, count(*) AS lenses, count(*) BETWEEN 3 AND 60 AND count(*) FILTER (event_type = 'view') >= 1 AND count(*) <= 5 AS good FROM events WHERE ts < TIMESTAMP '2024-01-04' GROUP BY 1""")
+@query("""SELECT user_id || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) AS event, count(*) AS lenses, count(*) BETWEEN 3 AND 60 AND count(*) FILTER (event_type = 'view') >= 1 AND count(*) <= 5 AS good FROM events GROUP BY 1""")
 def lens_quality(spark, sf_dir):
     """A25."""
-    rows = table(spark, sf_dir, "events").where("ts < timestamp_ntz'2024-01-04'").select(F.col("user_id").alias("event"), (F.col("event_type") == "view").alias("cross"))
+    rows = table(spark, sf_dir, "events").select(F.concat_ws("/", "user_id", F.to_date("ts")).alias("event"), (F.col("event_type") == "view").alias("cross"))
     return A.lens_quality(rows).select("event", "lenses", "good")
 
 
@@ -238,11 +238,11 @@ def unsent_reminders(spark, sf_dir):
     return W.unsent(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("reminder")), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("reminder")))
 
 
-@query("""SELECT p_partkey AS path FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-03-01') ORDER BY p_retailprice DESC, p_partkey LIMIT 5""")
+@query(f"""SELECT p_partkey AS path FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE {RETURNED}) ORDER BY p_retailprice DESC, p_partkey LIMIT 5""")
 def suggestions(spark, sf_dir):
     """O03, J16, W19."""
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"), F.col("p_retailprice").alias("created"))
-    return R.suggestions(rows, shipped(spark, sf_dir, "2001-03-01").select(F.col("variable").alias("path"))).select("path")
+    return R.suggestions(rows, shipped(spark, sf_dir, RETURNED).select(F.col("variable").alias("path"))).select("path")
 
 
 @query("""SELECT topic, min(place) AS place FROM (SELECT r_name AS topic, 0 AS place FROM region UNION ALL SELECT n_name, 1 FROM nation UNION ALL SELECT s_name, 2 FROM supplier) GROUP BY 1 ORDER BY place, topic LIMIT 3""")
@@ -289,8 +289,7 @@ def yearly_moves(spark, sf_dir):
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessellum-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def _stream(spark, sf_dir):

@@ -102,28 +102,32 @@ def exact_dup(spark, sf_dir):
 
 
 def titles(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", F.substring(F.substring_index("text", "\n", 1), 1, 60).alias("title"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", F.substring_index("text", "\n", 1).alias("title"))
 
 
-@query("""WITH t AS (SELECT DISTINCT lang, left(split_part(text, chr(10), 1), 60) AS title FROM documents WHERE lang = 'en' AND length(left(split_part(text, chr(10), 1), 60)) >= 20)
-SELECT a.lang, a.title AS first_title, b.title AS second_title FROM t a JOIN t b ON a.lang = b.lang AND a.title < b.title AND abs(length(a.title) - length(b.title)) <= 5 AND levenshtein(a.title, b.title) <= 5""")
+#: Titles alike; the SQL engine counts edits of bytes, so it numbers a pair's characters first, and their numbers are one byte each.
+ALIKE = """t AS (SELECT lang, split_part(text, chr(10), 1) AS title, min(doc_id) AS id FROM documents WHERE length(split_part(text, chr(10), 1)) >= 20 GROUP BY 1, 2),
+p AS (SELECT a.lang, a.title AS first_title, b.title AS second_title, a.id AS first_id, b.id AS second_id FROM t a JOIN t b ON a.lang = b.lang AND a.title < b.title AND abs(length(a.title) - length(b.title)) <= 5 AND levenshtein(a.title, b.title) <= 20),
+c AS (SELECT *, list_transform(range(1, length(first_title) + 1), lambda i: substr(first_title, i, 1)) AS l1, list_transform(range(1, length(second_title) + 1), lambda i: substr(second_title, i, 1)) AS l2 FROM p),
+u AS (SELECT *, list_distinct(list_concat(l1, l2)) AS u FROM c),
+alike AS (SELECT * FROM u WHERE levenshtein(array_to_string(list_transform(l1, lambda x: chr(CAST(list_position(u, x) AS INTEGER))), ''), array_to_string(list_transform(l2, lambda x: chr(CAST(list_position(u, x) AS INTEGER))), '')) <= 5)"""
+
+
+@query(f"WITH {ALIKE} SELECT lang, least(first_id, second_id) AS first_id, greatest(first_id, second_id) AS second_id FROM alike")
 def near_dup_title(spark, sf_dir):
-    """Over English titles, as the SQL engine counts edits of bytes."""
-    found = J.near_titles(titles(spark, sf_dir).where("lang = 'en'"), block="lang")
-    return found.select("lang", F.least("t1", "t2").alias("first_title"), F.greatest("t1", "t2").alias("second_title"))
+    """The least ids of each two titles that are alike, in all languages."""
+    found = J.near_titles(titles(spark, sf_dir), block="lang")
+    return found.select("lang", F.least(F.col("i1")[0], F.col("i2")[0]).alias("first_id"), F.greatest(F.col("i1")[0], F.col("i2")[0]).alias("second_id"))
 
 
-@query("""WITH t AS (SELECT DISTINCT lang, left(split_part(text, chr(10), 1), 60) AS title FROM documents WHERE length(left(split_part(text, chr(10), 1), 60)) >= 20),
-c AS (SELECT lang, title, list_transform(range(1, length(title) + 1), lambda i: substr(title, i, 1)) AS l FROM t),
-p AS (SELECT a.lang, a.title AS first_title, b.title AS second_title, a.l AS l1, b.l AS l2, list_distinct(list_concat(a.l, b.l)) AS u FROM c a JOIN c b ON a.lang = b.lang AND a.title < b.title AND abs(length(a.title) - length(b.title)) <= 5 AND levenshtein(a.title, b.title) <= 20)
-SELECT lang, first_title, second_title FROM p WHERE levenshtein(array_to_string(list_transform(l1, lambda x: chr(CAST(list_position(u, x) AS INTEGER))), ''), array_to_string(list_transform(l2, lambda x: chr(CAST(list_position(u, x) AS INTEGER))), '')) <= 5""")
+@query(f"WITH {ALIKE} SELECT lang, first_title, second_title FROM alike")
 def near_dup_title_langs(spark, sf_dir):
-    """Over titles of all languages; the SQL numbers a pair's characters, 120 at most, so that each is one byte."""
+    """The titles themselves."""
     found = J.near_titles(titles(spark, sf_dir), block="lang")
     return found.select("lang", F.least("t1", "t2").alias("first_title"), F.greatest("t1", "t2").alias("second_title"))
 
 
-@query("""SELECT doc_id, CASE WHEN n = 1 THEN title ELSE title || '-' || n END AS name FROM (SELECT doc_id, title, row_number() OVER (PARTITION BY title ORDER BY doc_id) AS n FROM (SELECT doc_id, left(split_part(text, chr(10), 1), 60) AS title FROM documents))""")
+@query("""SELECT doc_id, CASE WHEN n = 1 THEN title ELSE title || '-' || n END AS name FROM (SELECT doc_id, title, row_number() OVER (PARTITION BY title ORDER BY doc_id) AS n FROM (SELECT doc_id, split_part(text, chr(10), 1) AS title FROM documents))""")
 def title_collision_suffix(spark, sf_dir):
     """K01."""
     return K.suffixed(titles(spark, sf_dir), "title", "id").select(F.col("id").alias("doc_id"), "name")
@@ -159,36 +163,40 @@ def inactive_entities(spark, sf_dir):
     return J.missing(table(spark, sf_dir, "customer"), late, "c_custkey").select("c_custkey")
 
 
-@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-01-01')")
+#: Large returns: what a tracker holds of variables.
+RETURNED = "l_returnflag = 'R' and l_quantity >= 45"
+
+
+@query(f"SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE {RETURNED})")
 def uncovered_variable(spark, sf_dir):
     """J06, J23."""
-    used = shipped(spark, sf_dir, "2001-01-01").select(F.col("variable").alias("p_partkey"))
+    used = shipped(spark, sf_dir, RETURNED).select(F.col("variable").alias("p_partkey"))
     return J.missing(table(spark, sf_dir, "part"), used, "p_partkey").select("p_partkey")
 
 
-def shipped(spark, sf_dir, since, until="2100-01-01"):
-    rows = table(spark, sf_dir, "lineitem").where(f"l_shipdate >= timestamp_ntz'{since}' and l_shipdate < timestamp_ntz'{until}'")
+def shipped(spark, sf_dir, where="true"):
+    rows = table(spark, sf_dir, "lineitem").where(where)
     return rows.select(F.col("l_suppkey").alias("member"), F.col("l_partkey").alias("variable"), F.col("l_orderkey").alias("target"))
 
 
-@query("""WITH has AS (SELECT DISTINCT l_suppkey AS member, l_partkey AS item FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-01-01'),
+@query("""WITH has AS (SELECT DISTINCT l_suppkey AS member, l_partkey AS item FROM lineitem),
 g AS (SELECT s_suppkey AS member, s_nationkey AS grp FROM supplier)
 SELECT DISTINCT m.member, h.item FROM g m JOIN g p ON m.grp = p.grp JOIN has h ON h.member = p.member WHERE NOT EXISTS (SELECT 1 FROM has o WHERE o.member = m.member AND o.item = h.item)""")
 def sibling_gap(spark, sf_dir):
     """J07, U04."""
     groups = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("member"), F.col("s_nationkey").alias("grp"))
-    return J.sibling_gap(shipped(spark, sf_dir, "2001-01-01").select("member", F.col("variable").alias("item")), groups)
+    return J.sibling_gap(shipped(spark, sf_dir).select("member", F.col("variable").alias("item")), groups)
 
 
 QUARTERS = "SELECT l_partkey, sum(CASE WHEN l_shipdate < TIMESTAMP '2001-04-01' THEN l_extendedprice END) AS a, sum(CASE WHEN l_shipdate >= TIMESTAMP '2001-04-01' THEN l_extendedprice END) AS b FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-01-01' AND l_shipdate < TIMESTAMP '2001-07-01' GROUP BY 1"
 
 
 @query(f"""WITH ch AS (SELECT l_partkey FROM ({QUARTERS}) WHERE abs(round(b, 2) / round(a, 2) - 1) > 0.2)
-SELECT DISTINCT o_custkey AS target, l.l_partkey AS variable FROM lineitem l JOIN ch USING (l_partkey) JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING' AND l_shipdate >= TIMESTAMP '2001-01-01'""")
+SELECT DISTINCT o_custkey AS target, l.l_partkey AS variable FROM lineitem l JOIN ch USING (l_partkey) JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'""")
 def change_fanout(spark, sf_dir):
-    """J08, J09, F17."""
-    rows = table(spark, sf_dir, "lineitem").where("l_shipdate >= timestamp_ntz'2001-01-01'")
-    half = rows.where("l_shipdate < timestamp_ntz'2001-07-01'").groupBy(F.col("l_partkey").alias("variable")).agg(F.round(F.sum(F.expr("case when l_shipdate < timestamp_ntz'2001-04-01' then l_extendedprice end")), 2).alias("a"), F.round(F.sum(F.expr("case when l_shipdate >= timestamp_ntz'2001-04-01' then l_extendedprice end")), 2).alias("b"))
+    """All references to variables that moved between two quarters."""
+    rows = table(spark, sf_dir, "lineitem")
+    half = rows.where("l_shipdate >= timestamp_ntz'2001-01-01' and l_shipdate < timestamp_ntz'2001-07-01'").groupBy(F.col("l_partkey").alias("variable")).agg(F.round(F.sum(F.expr("case when l_shipdate < timestamp_ntz'2001-04-01' then l_extendedprice end")), 2).alias("a"), F.round(F.sum(F.expr("case when l_shipdate >= timestamp_ntz'2001-04-01' then l_extendedprice end")), 2).alias("b"))
     changes = half.where(F.abs(X.change(F.col("b"), F.col("a"))) > 0.2).select("variable")
     references = rows.select(F.col("l_partkey").alias("variable"), F.col("l_orderkey").alias("o_orderkey")).join(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("target")), "o_orderkey")
     holdings = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("target"))
@@ -212,20 +220,20 @@ def asof_previous(spark, sf_dir):
     return found.where("prev_ts is not null").select("event_id", F.round("prev_value", 6).alias("previous"))
 
 
-@query("""WITH m AS (SELECT DISTINCT l_suppkey AS member, l_partkey AS item FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-01-01' AND l_shipdate < TIMESTAMP '2001-04-01')
+@query("""WITH m AS (SELECT DISTINCT l_suppkey AS member, l_partkey AS item FROM lineitem)
 SELECT a.member AS i, b.member AS j, count(*) AS shared FROM m a JOIN m b ON a.item = b.item AND a.member < b.member GROUP BY 1, 2 HAVING count(*) >= 2""")
 def cross_topic_pairs(spark, sf_dir):
     """J14."""
-    return J.cross_pairs(shipped(spark, sf_dir, "2001-01-01", "2001-04-01").select("member", F.col("variable").alias("item")))
+    return J.cross_pairs(shipped(spark, sf_dir).select("member", F.col("variable").alias("item")))
 
 
-def nation_edges(spark, sf_dir, since="2001-10-15"):
-    rows = shipped(spark, sf_dir, since).join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("member"), F.col("s_nationkey").alias("src")), "member")
+def nation_edges(spark, sf_dir):
+    rows = shipped(spark, sf_dir).join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("member"), F.col("s_nationkey").alias("src")), "member")
     rows = rows.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("target"), "o_custkey"), "target").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("dst")), "o_custkey")
     return rows.select("src", "dst").distinct()
 
 
-EDGES = "SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_shipdate >= TIMESTAMP '2001-10-15'"
+EDGES = "SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey"
 
 
 @query(f"WITH e AS ({EDGES}) SELECT x.src AS a, x.dst AS b, y.dst AS c FROM e x JOIN e y ON x.dst = y.src WHERE x.src <> y.dst AND x.src <> x.dst AND y.src <> y.dst")
@@ -237,44 +245,47 @@ def chain_two_hop(spark, sf_dir):
 @query(f"""WITH RECURSIVE e AS ({EDGES}), w AS (SELECT 0 AS node, 0 AS hop UNION SELECT e.dst, w.hop + 1 FROM w JOIN e ON e.src = w.node WHERE w.hop < 10)
 SELECT node, min(hop) AS hop FROM w GROUP BY 1""")
 def bfs_hops_all(spark, sf_dir):
-    """The fewest hops over all edges of the window."""
+    """The fewest hops between nations that trade."""
     return G.hops(nation_edges(spark, sf_dir), spark.createDataFrame([(0,)], "node int"))
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({EDGES}) WHERE (src * 7 + dst * 3) % 5 = 0), w AS (SELECT 0 AS node, 0 AS hop UNION SELECT e.dst, w.hop + 1 FROM w JOIN e ON e.src = w.node WHERE w.hop < 10)
+@query("""WITH RECURSIVE l AS (SELECT DISTINCT l_suppkey AS a, -l_partkey AS b FROM lineitem), e AS (SELECT a AS src, b AS dst FROM l UNION ALL SELECT b, a FROM l),
+w AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS hop UNION SELECT e.dst, w.hop + 1 FROM w JOIN e ON e.src = w.node WHERE w.hop < 10)
 SELECT node, min(hop) AS hop FROM w GROUP BY 1""")
 def bfs_hops(spark, sf_dir):
-    """The fewest hops over a thinner set of edges."""
-    edges = nation_edges(spark, sf_dir).where("(src * 7 + dst * 3) % 5 = 0")
-    return G.hops(edges, spark.createDataFrame([(0,)], "node int"))
+    """The fewest hops from the first supplier along suppliers and the parts (negative numbers) that they supply."""
+    supply = shipped(spark, sf_dir).select("member", (-F.col("variable")).alias("part")).distinct()
+    edges = supply.toDF("src", "dst").unionByName(supply.toDF("dst", "src"))
+    return G.hops(edges, spark.createDataFrame([(1,)], "node long"))
 
 
-@query(f"""WITH e AS ({EDGES}), f AS (SELECT n_nationkey AS path FROM nation)
-SELECT path, (SELECT count(*) FROM e WHERE src = path) AS n_out, (SELECT count(*) FROM e WHERE dst = path) AS n_in FROM f""")
+@query(f"""WITH e AS ({EDGES}), f AS (SELECT n_nationkey AS path FROM nation WHERE n_regionkey <> 3)
+SELECT path, (SELECT count(*) FROM e WHERE src = path) AS n_out, (SELECT count(*) FROM e WHERE dst = path) AS n_in, (SELECT count(*) FROM e WHERE src = path AND dst NOT IN (SELECT path FROM f)) AS broken, NOT EXISTS (SELECT 1 FROM e WHERE src = path OR dst = path) AS orphan FROM f""")
 def link_degrees(spark, sf_dir):
-    """G04."""
-    files = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("path"))
-    return G.degrees(files, nation_edges(spark, sf_dir)).select("path", "n_out", "n_in")
+    """The nations of one region are no files, so links to them are broken."""
+    files = table(spark, sf_dir, "nation").where("n_regionkey <> 3").select(F.col("n_nationkey").alias("path"))
+    return G.degrees(files, nation_edges(spark, sf_dir)).select("path", "n_out", "n_in", "broken", "orphan")
 
 
-@query("""SELECT l_partkey AS candidate, count(DISTINCT l_suppkey) AS sources FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-01-01' AND l_shipdate < TIMESTAMP '2001-04-01' GROUP BY 1 HAVING count(DISTINCT l_suppkey) >= 2""")
+@query("""SELECT l_orderkey AS candidate, count(DISTINCT l_suppkey) AS sources, count(DISTINCT l_suppkey) >= 2 OR count(*) FILTER (l_returnflag = 'R') > 0 AND count(*) FILTER (l_returnflag = 'A') > 0 AS strong FROM lineitem GROUP BY 1""")
 def independent_sources(spark, sf_dir):
-    """A05, F20."""
-    rows = shipped(spark, sf_dir, "2001-01-01", "2001-04-01").select(F.col("variable").alias("candidate"), F.col("member").alias("source"), F.lit("report").alias("kind"))
-    return A.independent_sources(rows).where("strong").select("candidate", "sources")
+    """A05."""
+    kind = F.expr("case l_returnflag when 'R' then 'authoritative' when 'A' then 'community' else 'report' end")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("candidate"), F.col("l_suppkey").alias("source"), kind.alias("kind"))
+    return A.independent_sources(rows).select("candidate", "sources", "strong")
 
 
-@query("""SELECT user_id, count(DISTINCT event_type) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-10' GROUP BY 1 HAVING count(DISTINCT event_type) >= 3""")
+@query("""SELECT user_id || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) AS target, count(DISTINCT event_type) AS n FROM events GROUP BY 1 HAVING count(DISTINCT event_type) >= 3""")
 def convergence(spark, sf_dir):
-    """A06."""
-    rows = table(spark, sf_dir, "events").where("ts >= timestamp_ntz'2024-01-08' and ts < timestamp_ntz'2024-01-10'")
-    return A.converging(rows, "user_id", "event_type").select("user_id", F.col("n").cast("long").alias("n"))
+    """Kinds that meet at a user on a day."""
+    rows = table(spark, sf_dir, "events").select(F.concat_ws("/", "user_id", F.to_date("ts")).alias("target"), "event_type")
+    return A.converging(rows, "target", "event_type").select("target", F.col("n").cast("long").alias("n"))
 
 
 @query("SELECT l_partkey AS variable, count(DISTINCT l_orderkey) AS targets FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_orderkey) >= 40")
 def dossier_trigger(spark, sf_dir):
     """A07."""
-    rows = shipped(spark, sf_dir, "1900-01-01").select("variable", "target", F.lit("all").alias("sector"))
+    rows = shipped(spark, sf_dir).select("variable", "target", F.lit("all").alias("sector"))
     return A.dossier_due(rows, 40, 2).select("variable", "targets")
 
 
@@ -336,11 +347,11 @@ STOPS = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 TERMS = "SELECT DISTINCT {id} AS post, unnest(string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')) AS term FROM {t}"
 
 
-@query(f"""WITH d AS ({TERMS.format(id='doc_id', t="documents WHERE lang = 'en'")}), b AS ({TERMS.format(id='item_id', t='benchmark')})
+@query(f"""WITH d AS ({TERMS.format(id='doc_id', t='documents')}), b AS ({TERMS.format(id='item_id', t='benchmark')})
 SELECT term, count(*) AS posts FROM d WHERE length(term) >= 2 AND term NOT IN ({STOPS}) AND term NOT IN (SELECT term FROM b) GROUP BY 1 HAVING count(*) >= 12""")
 def term_novelty(spark, sf_dir):
     """A04, J23, X28."""
-    posts = A.term_posts(table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("post"), "text"), 12)
+    posts = A.term_posts(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("post"), "text"), 12)
     known = table(spark, sf_dir, "benchmark").select(F.explode(X.terms(F.col("text"))).alias("term"))
     return J.missing(posts, known, "term").select("term", "posts")
 
@@ -379,10 +390,10 @@ def daily(spark, sf_dir):
 DAILY = "SELECT CAST(o_orderdate AS DATE) AS day, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1"
 
 
-@query(f"SELECT CAST(day AS VARCHAR) AS day, round(CASE WHEN n = 200 THEN mean END, 5) AS mean, round(CASE WHEN n = 200 THEN 100 * (value / mean - 1) END, 3) AS deviation FROM (SELECT day, value, avg(value) OVER w AS mean, count(*) OVER w AS n FROM ({DAILY}) WINDOW w AS (ORDER BY day ROWS 199 PRECEDING))")
+@query(f"SELECT CAST(day AS VARCHAR) AS day, round(CASE WHEN n = 200 THEN mean END, 5) AS mean, round(CASE WHEN n = 200 THEN 100 * (value / mean - 1) END, 3) AS deviation, CASE WHEN n = 200 AND 100 * (value / mean - 1) > 20 THEN 'stretched' WHEN n = 200 AND 100 * (value / mean - 1) < -15 THEN 'broken' END AS flag FROM (SELECT day, value, avg(value) OVER w AS mean, count(*) OVER w AS n FROM ({DAILY}) WINDOW w AS (ORDER BY day ROWS 199 PRECEDING))")
 def ma200(spark, sf_dir):
     """W05."""
-    return W.moving_average(daily(spark, sf_dir), "target").select(F.col("day").cast("string").alias("day"), F.round("mean", 5).alias("mean"), F.round("deviation", 3).alias("deviation"))
+    return W.moving_average(daily(spark, sf_dir), "target").select(F.col("day").cast("string").alias("day"), F.round("mean", 5).alias("mean"), F.round("deviation", 3).alias("deviation"), "flag")
 
 
 @query(f"SELECT CAST(day AS VARCHAR) AS day, high, low, round((value - low) / nullif(high - low, 0), 5) AS place FROM (SELECT day, value, max(value) OVER w AS high, min(value) OVER w AS low FROM ({DAILY}) WINDOW w AS (ORDER BY day RANGE INTERVAL 363 DAYS PRECEDING))")
@@ -397,10 +408,10 @@ def drawdown(spark, sf_dir):
     return W.range_52_weeks(daily(spark, sf_dir), "target").groupBy("band").agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT CAST(day AS VARCHAR) AS day, round(CASE WHEN n = 14 THEN CASE WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END END, 3) AS rsi FROM (SELECT day, count(d) OVER w AS n, avg(greatest(d, 0)) OVER w AS g, avg(greatest(-d, 0)) OVER w AS l FROM (SELECT day, value - lag(value) OVER (ORDER BY day) AS d FROM ({DAILY})) WINDOW w AS (ORDER BY day ROWS 13 PRECEDING))""")
+@query(f"""SELECT day, round(r, 3) AS rsi, CASE WHEN r > 70 THEN 'overbought' WHEN r < 30 THEN 'oversold' WHEN r BETWEEN 40 AND 60 THEN 'neutral' END AS zone FROM (SELECT CAST(day AS VARCHAR) AS day, CASE WHEN n = 14 THEN CASE WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END END AS r FROM (SELECT day, count(d) OVER w AS n, avg(greatest(d, 0)) OVER w AS g, avg(greatest(-d, 0)) OVER w AS l FROM (SELECT day, value - lag(value) OVER (ORDER BY day) AS d FROM ({DAILY})) WINDOW w AS (ORDER BY day ROWS 13 PRECEDING)))""")
 def rsi14(spark, sf_dir):
     """W06."""
-    return W.rsi(daily(spark, sf_dir), "target").select(F.col("day").cast("string").alias("day"), F.round("rsi", 3).alias("rsi"))
+    return W.rsi(daily(spark, sf_dir), "target").select(F.col("day").cast("string").alias("day"), F.round("rsi", 3).alias("rsi"), "zone")
 
 
 @query("SELECT source, doc_id, rank FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 5")
@@ -465,7 +476,7 @@ def json_props(spark, sf_dir):
 SELECT 'both' AS op, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'only_a', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'either', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)""")
 def setops(spark, sf_dir):
     """U01-U06."""
-    a, b = shipped(spark, sf_dir, "2001-06-01").select("variable").distinct(), shipped(spark, sf_dir, "1900-01-01", "1996-01-01").select("variable").distinct()
+    a, b = (shipped(spark, sf_dir, f"l_shipdate {when}").select("variable").distinct() for when in (">= timestamp_ntz'2001-06-01'", "< timestamp_ntz'1996-01-01'"))
     n = lambda name, rows: rows.agg(F.lit(name).alias("op"), F.count("*").alias("n"))
     return n("both", R.shared(a, b)).unionByName(n("only_a", R.minus(a, b))).unionByName(n("either", a.unionByName(b).distinct()))
 
@@ -520,14 +531,14 @@ def staging_streak(spark, sf_dir):
 FROM (SELECT l_partkey AS k, count(*) AS v FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-01-01' AND l_shipdate < TIMESTAMP '2001-02-01' GROUP BY 1) a FULL JOIN (SELECT l_partkey AS k, count(*) AS v FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-02-01' AND l_shipdate < TIMESTAMP '2001-03-01' GROUP BY 1) b ON a.k = b.k""")
 def report_delta(spark, sf_dir):
     """K18."""
-    month = lambda a, b: shipped(spark, sf_dir, a, b).groupBy(F.col("variable").alias("item")).agg(F.count("*").alias("value"))
+    month = lambda a, b: shipped(spark, sf_dir, f"l_shipdate >= timestamp_ntz'{a}' and l_shipdate < timestamp_ntz'{b}'").groupBy(F.col("variable").alias("item")).agg(F.count("*").alias("value"))
     return K.delta(month("2001-01-01", "2001-02-01"), month("2001-02-01", "2001-03-01")).select("item", "status")
 
 
-@query("""SELECT c_custkey AS target, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_orderdate >= TIMESTAMP '2001-01-01') THEN 'update' ELSE 'insert' END AS action FROM customer""")
+@query("""SELECT c_custkey AS target, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') THEN 'update' ELSE 'insert' END AS action FROM customer""")
 def upsert_kind(spark, sf_dir):
     """J24, K16."""
-    return J.upsert_kind(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("target")), decisions(spark, sf_dir).where("review_date >= date'2001-01-01'")).select("target", "action")
+    return J.upsert_kind(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("target")), decisions(spark, sf_dir)).select("target", "action")
 
 
 @query("""SELECT user_id AS todo, last_action, done FROM (SELECT user_id, CASE event_type WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'delete' ELSE 'edit' END AS last_action, event_type = 'purchase' AS done, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 AND last_action <> 'delete'""")
@@ -538,10 +549,10 @@ def todo_state(spark, sf_dir):
     return K.latest_state(rows).select("todo", "last_action", "done")
 
 
-@query(f"""SELECT 'NOTIFY: due ' || count(*) || ': ' || (SELECT string_agg(t, '; ' ORDER BY t) FROM (SELECT CAST(id AS VARCHAR) AS t FROM {DECISIONS} WHERE status = 'open' AND review_date <= DATE '1995-02-01' ORDER BY t LIMIT 20)) AS line FROM {DECISIONS} WHERE status = 'open' AND review_date <= DATE '1995-02-01' HAVING count(*) > 0""")
+@query(f"""SELECT 'NOTIFY: due ' || count(*) || ': ' || (SELECT string_agg(t, '; ' ORDER BY t) FROM (SELECT CAST(id AS VARCHAR) AS t FROM {DECISIONS} WHERE status = 'open' AND review_date <= DATE '{CUT_OFF}' ORDER BY t LIMIT 20)) AS line FROM {DECISIONS} WHERE status = 'open' AND review_date <= DATE '{CUT_OFF}' HAVING count(*) > 0""")
 def notify_line(spark, sf_dir):
     """K11, A12."""
-    return K.notify_line(FL.due(decisions(spark, sf_dir), day("1995-02-01")).select(F.col("id").cast("string").alias("title")), "due")
+    return K.notify_line(FL.due(decisions(spark, sf_dir), day(CUT_OFF)).select(F.col("id").cast("string").alias("title")), "due")
 
 
 INDICATORS = {"position_52w": "p_size / 50.0", "deviation_200d": "p_size - 25", "drawdown": "-(p_partkey % 60)", "rsi14": "p_partkey % 100", "institution_change": "p_partkey % 30 - 15", "insider_net_6m": "p_partkey % 7 - 3", "short_interest": "p_partkey % 25"}
@@ -600,10 +611,10 @@ def date_parts(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", X.age_days(d, day("2001-08-01")).cast("long").alias("age"), X.next_review(d).cast("string").alias("review"), X.month_of(d).alias("month"), X.weekday(d).alias("weekday"))
 
 
-@query("""SELECT user_id AS plan, count(*) FILTER (event_type = 'purchase') AS done, count(*) AS total FROM events GROUP BY 1""")
+@query("""SELECT user_id AS plan, count(*) FILTER (event_type = 'purchase') AS done, count(*) AS total, rpad(repeat('#', count(*) FILTER (event_type = 'purchase') * 10 // count(*)), 10, '-') || ' ' || count(*) FILTER (event_type = 'purchase') || '/' || count(*) AS bar FROM events GROUP BY 1""")
 def plan_progress(spark, sf_dir):
     """A09, X19."""
-    return A.progress(table(spark, sf_dir, "events").select(F.col("user_id").alias("plan"), (F.col("event_type") == "purchase").alias("done"))).select("plan", "done", "total")
+    return A.progress(table(spark, sf_dir, "events").select(F.col("user_id").alias("plan"), (F.col("event_type") == "purchase").alias("done"))).select("plan", "done", "total", "bar")
 
 
 @query("""SELECT c_nationkey AS target, n FROM (SELECT c_nationkey, count(*) FILTER (c_acctbal < -500) AS n FROM customer GROUP BY 1) WHERE n < 3""")
