@@ -58,7 +58,6 @@ def links(blocks: DataFrame, threshold: float, projections: int, width: float, r
     """
     listed = sorted((r["number"], r["path"]) for r in blocks.collect())  # one row per block
     n = len(listed)
-    tasks = [(i, j, min(n, j + REACH)) for i in range(n) for j in range(i, n, REACH)]
     spark = blocks.sparkSession
     need, radius = least_count(projections, width, recall), width * math.sqrt(2 - 2 * threshold)
 
@@ -87,8 +86,11 @@ def links(blocks: DataFrame, threshold: float, projections: int, width: float, r
                         yield pa.RecordBatch.from_arrays([pa.array(c[on]), pa.nulls(len(on), pa.int64()), pa.array(v[on])], ["a", "b", "n"])
                     yield pa.RecordBatch.from_arrays([pa.array(ends), pa.array(root), pa.nulls(len(ends), pa.int64())], ["a", "b", "n"])
 
-    dealt = spark.createDataFrame(tasks, "i long, first long, last long").repartition(max(1, len(tasks)))
-    return dealt.mapInArrow(compared, "a long, b long, n long")
+    # pairs of blocks grow with the square of the blocks, so the executors list them
+    pairs = spark.range(n).select(F.col("id").alias("i"), F.explode(F.expr(f"sequence(id, {n - 1}L, {REACH}L)")).alias("first"))
+    pairs = pairs.withColumn("last", F.least(F.lit(n).cast("long"), F.col("first") + REACH))
+    parts = min(sum(-(-(n - i) // REACH) for i in range(n)), max(256, 16 * spark.sparkContext.defaultParallelism))
+    return pairs.repartition(max(1, parts)).mapInArrow(compared, "a long, b long, n long")
 
 
 def load(path: str) -> dict[str, np.ndarray]:

@@ -13,12 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellum.llm.common import separate, store
+from tessellum.llm.common import separate, shared_dir, store
 
 #: (verdict, host and path): a rule fits its host and all subdomains, where the path starts with the rule's.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: A literal segment has at least SUPPORT rows and SHARE of its node's; levels below DEPTH are one wildcard.
-SUPPORT, SHARE, DEPTH = 8, 1 / 64, 8
+#: A literal segment has at least SUPPORT rows and SHARE of its node's.
+SUPPORT, SHARE = 8, 1 / 64
 #: Purity of what nothing is known about, rows that it weighs, and the purity below which a template is rejected.
 PRIOR, WEIGHT, LEAST = 0.9, 4.0, 0.4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,24 +44,38 @@ def rule_of(host: str, path: str, rules=RULES):
     return found
 
 
-def templates(rows: DataFrame, depth: int = DEPTH, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
-    """Rows with (host, path) gain `template`: their path with rare segments as wildcards."""
+def templates(rows: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
+    """Rows with (host, path) gain `template`: their path with rare segments as wildcards.
+
+    Where fewer than `support` rows go on below a node, nothing can be common any more and the rest of
+    their paths is one `**`. A level sees only the rows that go on; those that ended stay where they were
+    written, so the depth has no bound.
+    """
+    spark, path = rows.sparkSession, shared_dir(rows.sparkSession)
     rows = rows.withColumn("segments", F.expr("filter(split(path, '/'), x -> x <> '')")).withColumn("template", F.lit(""))
-    deepest = rows.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(min(depth, deepest)):
-        segment = F.expr(f"case when size(segments) > {level} then segments[{level}] end")
-        rows = rows.withColumn("segment", segment).withColumn("node", F.xxhash64("host", "template"))
-        below = rows.where("segment is not null").groupBy("node", "segment").agg(F.count("*").alias("n"))
-        total = below.groupBy(F.col("node").alias("t")).agg(F.sum("n").alias("total"))
+    rows = rows.withColumn("ended", F.size("segments") == 0)
+    schema, parts = rows.schema, []
+
+    def kept(found: DataFrame) -> DataFrame:
+        parts.append(f"{path}/{len(parts)}")
+        found.write.option("compression", "zstd").parquet(parts[-1])
+        return spark.read.schema(schema).parquet(parts[-1])
+
+    going = kept(rows).where("not ended")
+    while not going.isEmpty():
+        level = len(parts) - 1
+        going = going.withColumn("segment", F.get("segments", F.lit(level))).withColumn("node", F.xxhash64("host", "template"))
+        below = going.groupBy("node", "segment").agg(F.count("*").alias("n"))
+        total = below.groupBy(F.col("node").alias("t")).agg(F.sum("n").alias("total")).where(F.col("total") >= support)
         # at most 1 / share of a node's children stay, whatever their number
         common = below.where((F.col("n") >= support) & ~F.col("segment").rlike("^[0-9]+$")).join(total, F.col("node") == F.col("t")).where(F.col("n") >= share * F.col("total"))
-        common = common.select(separate("node").alias("k"), F.col("segment").alias("s"))
-        rows = rows.join(common, (F.col("node") == F.col("k")) & (F.col("segment") == F.col("s")), "left")
-        rows = rows.withColumn("template", F.expr("case when segment is null then template else concat(template, '/', coalesce(s, '*')) end")).drop("k", "s", "node", "segment")
-        rows = store(rows)
-    if deepest > depth:
-        rows = rows.withColumn("template", F.expr(f"case when size(segments) > {depth} then concat(template, '/**') else template end"))
-    return rows.drop("segments")
+        common = common.groupBy(F.col("t").alias("c")).agg(F.collect_list("segment").alias("literals"))
+        nodes = total.join(common, F.col("t") == F.col("c"), "left").select(separate("t").alias("k"), "literals")
+        going = going.join(nodes, F.col("node") == F.col("k"), "left")
+        step = F.expr("case when k is null then '/**' when array_contains(literals, segment) then concat('/', segment) else '/*' end")
+        going = going.withColumn("template", F.concat("template", step)).withColumn("ended", F.col("k").isNull() | (F.size("segments") <= level + 1))
+        going = kept(going.select(*schema.names)).where("not ended")
+    return spark.read.schema(schema).parquet(*parts).where("ended").drop("segments", "ended")
 
 
 def purities(host_templates: pd.DataFrame, prior: float = PRIOR, weight: float = WEIGHT, least: float = LEAST, z: float = 1.96) -> pd.DataFrame:
@@ -122,7 +136,7 @@ def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", ru
     said = F.lit(None).cast("string")
     for rule, verdict in verdicts.items():
         said = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(said)
-    rows = templates(store(rows.withColumn("said", said)))
+    rows = templates(rows.withColumn("said", said))
     known = rows.groupBy("host", "template").agg(F.count_if(F.col("said") == "allow").alias("good"), F.count("said").alias("labelled"))
     # a host's templates are few: at each node at most 1 / SHARE literals and a wildcard
     judged = known.groupBy("host").applyInPandas(lambda group: purities(group), "host string, template string, purity double, rejected boolean")

@@ -274,6 +274,43 @@ def test_wildcards(spark):
     assert {r[0] for r in found.select("template").distinct().collect()} == {"/user/*/posts/*", "/user/*/likes/*"}
 
 
+def slow_templates(rows, support, share):
+    """Templates by a recursive walk over lists of rows."""
+    found = {}
+
+    def walk(here, level, template):
+        on = [(i, s) for i, s in here if len(s) > level]
+        found.update({i: template for i, s in here if len(s) <= level})
+        if len(on) < support:
+            found.update({i: template + "/**" for i, _ in on})
+            return
+        counts = Counter(s[level] for _, s in on)
+        groups = defaultdict(list)
+        for i, s in on:
+            common = counts[s[level]] >= support and counts[s[level]] >= share * len(on) and not s[level].isdigit()
+            groups[s[level] if common else "*"].append((i, s))
+        for name, group in groups.items():
+            walk(group, level + 1, f"{template}/{name}")
+
+    hosts = defaultdict(list)
+    for i, host, path in rows:
+        hosts[host].append((i, [x for x in path.split("/") if x]))
+    for group in hosts.values():
+        walk(group, 0, "")
+    return found
+
+
+def test_templates_equal_a_slow_tree(spark):
+    rng = random.Random(3)
+    words = ["a", "b", "c", "7", "é", "x y"]
+    rows = [(i, f"h{rng.randint(0, 2)}", "/" + "/".join(rng.choice(words[: 2 + k]) if rng.random() < 0.8 else f"r{i}" for k in range(rng.randint(0, 5)))) for i in range(300)]
+    rows += [(300 + i, "deep", "/d" * 14 + f"/{i}") for i in range(9)] + [(310, "deep", "/d" * 40)]
+    found = urls.templates(spark.createDataFrame(rows, "page_id long, host string, path string"), 5, 1 / 8)
+    slow = slow_templates(rows, 5, 1 / 8)
+    assert {r["page_id"]: r["template"] for r in found.collect()} == slow
+    assert slow[300] == "/d" * 14 + "/*" and slow[310] == "/d" * 14 + "/*/**"
+
+
 # ---- 6
 
 
