@@ -78,50 +78,51 @@ def templates(rows: DataFrame, support: int = SUPPORT, share: float = SHARE) ->
     return spark.read.schema(schema).parquet(*parts).where("ended").drop("segments", "ended")
 
 
-def purities(host_templates: pd.DataFrame, prior: float = PRIOR, weight: float = WEIGHT, least: float = LEAST, z: float = 1.96) -> pd.DataFrame:
-    """Purity and verdict of one host's templates.
+def merged(branches: pd.DataFrame, z: float = 1.96) -> pd.DataFrame:
+    """Numbers the groups of branches below one group of nodes, best to worst: a branch whose labelled purity does not differ significantly joins the group before it."""
+    rows = sorted(zip(branches["name"], branches["good"].tolist(), branches["labelled"].tolist(), strict=True), key=lambda x: (-x[1] / x[2], x[0]))
+    number, g0, n0, groups = -1, 0, 0, []
+    for _, g1, n1 in rows:
+        p = (g0 + g1) / (n0 + n1)
+        if number >= 0 and abs(g0 / n0 - g1 / n1) <= z * math.sqrt(max(p * (1 - p), 1e-9) * (1 / n0 + 1 / n1)):
+            g0, n0 = g0 + g1, n0 + n1
+        else:
+            number, g0, n0 = number + 1, g1, n1
+        groups.append(number)
+    return pd.DataFrame({"b": branches["b"].iloc[0], "name": [r[0] for r in rows], "number": groups})
+
+
+def purities(known: DataFrame, prior: float = PRIOR, weight: float = WEIGHT, least: float = LEAST) -> DataFrame:
+    """(host, template, purity, rejected) of (host, template, good, labelled), level by level from the hosts' roots.
 
     A node has the labels of all templates below it. Siblings whose labelled purities do not differ
     significantly are merged, best to worst, with all that is below them; a branch without labels has
     none that could be compared, so it stays alone. A group's purity is smoothed towards the mean of the
-    group above and the prior.
+    group above and the prior. One task of a level sees, of one group of nodes, the counts of its labelled
+    branches by name: at most 1 / SHARE literals a node.
     """
-    good: dict[str, float] = {}
-    labelled: dict[str, float] = {}
-    children: dict[str, set[str]] = {}
-    for template, g, n in zip(host_templates["template"], host_templates["good"], host_templates["labelled"], strict=True):
-        parts = template.split("/")
-        for k in range(len(parts)):
-            node = "/".join(parts[: k + 1])
-            good[node], labelled[node] = good.get(node, 0) + g, labelled.get(node, 0) + n
-            if k:
-                children.setdefault("/".join(parts[:k]), set()).add(node)
-    purity: dict[str, float] = {}
-    waiting = [([""], prior)]
-    while waiting:
-        merged, above = waiting.pop()
-        own = (sum(good.get(c, 0) for c in merged) + weight * above) / (sum(labelled.get(c, 0) for c in merged) + weight)
-        purity.update(dict.fromkeys(merged, own))
-        branches: dict[str, list[str]] = {}
-        for child in sorted(c for node in merged for c in children.get(node, ())):
-            branches.setdefault(child.rpartition("/")[2], []).append(child)
-        sums = {name: (sum(good[c] for c in nodes), sum(labelled[c] for c in nodes)) for name, nodes in branches.items()}
-        groups: list[list[str]] = []
-        for name in sorted((x for x in sums if sums[x][1]), key=lambda x: (-sums[x][0] / sums[x][1], x)):
-            g1, n1 = sums[name]
-            if groups:
-                g0, n0 = (sum(sums[x][k] for x in groups[-1]) for k in (0, 1))
-                p = (g0 + g1) / (n0 + n1)
-                if abs(g0 / n0 - g1 / n1) <= z * math.sqrt(max(p * (1 - p), 1e-9) * (1 / n0 + 1 / n1)):
-                    groups[-1].append(name)
-                    continue
-            groups.append([name])
-        groups += [[name] for name in sums if not sums[name][1]]
-        waiting += [([c for name in group for c in branches[name]], (own + prior) / 2) for group in groups]
-    out = host_templates[["host", "template"]].copy()
-    out["purity"] = [purity[t] for t in out["template"]]
-    out["rejected"] = out["purity"] < least
-    return out
+    # in a group's name, / parts what a host and a segment cannot hold
+    parts, up = F.split("template", "/"), F.col("level")
+    rows = known.select("host", "good", "labelled", parts.alias("parts"), F.explode(F.sequence(F.lit(0), F.size(parts) - 1)).alias("level"))
+    node, parent = (F.array_join(F.slice("parts", F.lit(1), n), "/") for n in (up + 1, up))
+    rows = rows.select("host", "level", node.alias("node"), F.when(up > 0, parent).alias("parent"), F.get("parts", up).alias("name"), "good", "labelled", (F.size("parts") == up + 1).alias("whole"))
+    tree = store(rows.groupBy("host", "level", "node", "parent", "name").agg(F.sum("good").alias("good"), F.sum("labelled").alias("labelled"), F.max("whole").alias("whole")))
+    here = tree.where("level = 0").select("host", "node", "good", "labelled", "whole", F.concat("host", F.lit("/")).alias("g"), F.lit(prior).alias("above"))
+    found, level = None, 0
+    while True:
+        own = here.groupBy(F.col("g").alias("k")).agg(((F.sum("good") + weight * F.first("above")) / (F.sum("labelled") + weight)).alias("purity"))
+        done = store(here.join(own, F.col("g") == F.col("k")).select("host", "node", "g", "purity", "whole"))
+        found = done if found is None else found.unionByName(done)
+        level += 1
+        above = done.select(F.col("host").alias("h"), F.col("node").alias("p"), "g", "purity")
+        below = store(tree.where(F.col("level") == level).join(above, (F.col("host") == F.col("h")) & (F.col("parent") == F.col("p"))).select("host", "node", "name", "good", "labelled", "whole", "g", "purity"))
+        if below.isEmpty():
+            break
+        branches = below.groupBy(F.col("g").alias("b"), "name").agg(F.sum("good").alias("good"), F.sum("labelled").alias("labelled")).where("labelled > 0")
+        numbered = branches.groupBy("b").applyInPandas(lambda group: merged(group), "b string, name string, number long").withColumnRenamed("name", "branch")
+        group = F.when(F.col("number").isNull(), F.concat("g", F.lit("/u/"), "name")).otherwise(F.concat("g", F.lit("/"), "number"))
+        here = store(below.join(numbered, (F.col("g") == F.col("b")) & (F.col("name") == F.col("branch")), "left").select("host", "node", "good", "labelled", "whole", group.alias("g"), ((F.col("purity") + prior) / 2).alias("above")))
+    return found.where("whole").select("host", F.col("node").alias("template"), "purity", (F.col("purity") < least).alias("rejected"))
 
 
 def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
@@ -138,9 +139,7 @@ def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", ru
         said = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(said)
     rows = templates(rows.withColumn("said", said))
     known = rows.groupBy("host", "template").agg(F.count_if(F.col("said") == "allow").alias("good"), F.count("said").alias("labelled"))
-    # a host's templates are few: at each node at most 1 / SHARE literals and a wildcard
-    judged = known.groupBy("host").applyInPandas(lambda group: purities(group), "host string, template string, purity double, rejected boolean")
-    judged = store(judged.withColumn("k", F.xxhash64("host", "template"))).select(separate("k").alias("k"), "purity", "rejected")
+    judged = store(purities(known).withColumn("k", F.xxhash64("host", "template"))).select(separate("k").alias("k"), "purity", "rejected")
     rows = rows.withColumn("node", F.xxhash64("host", "template")).join(judged, F.col("node") == F.col("k"))
     verdict = F.coalesce("said", F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow")))
     return rows.select(F.col("page_id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "template", "purity")

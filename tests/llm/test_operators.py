@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -261,11 +262,67 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
-def test_template_tree():
-    rows = pd.DataFrame([("h", "/ads/*", 0, 40), ("h", "/spam/*", 1, 60), ("h", "/news/*", 50, 50), ("h", "/blog/*", 48, 50), ("h", "/new/*", 0, 0), ("h", "", 0, 0)], columns=["host", "template", "good", "labelled"])
-    found = urls.purities(rows).set_index("template")
+def slow_purities(host_templates, prior=urls.PRIOR, weight=urls.WEIGHT, least=urls.LEAST, z=1.96):
+    """One host's templates by a walk over a tree in memory."""
+    good: dict[str, float] = {}
+    labelled: dict[str, float] = {}
+    children: dict[str, set[str]] = {}
+    for template, g, n in zip(host_templates["template"], host_templates["good"], host_templates["labelled"], strict=True):
+        parts = template.split("/")
+        for k in range(len(parts)):
+            node = "/".join(parts[: k + 1])
+            good[node], labelled[node] = good.get(node, 0) + g, labelled.get(node, 0) + n
+            if k:
+                children.setdefault("/".join(parts[:k]), set()).add(node)
+    purity: dict[str, float] = {}
+    waiting = [([""], prior)]
+    while waiting:
+        merged, above = waiting.pop()
+        own = (sum(good.get(c, 0) for c in merged) + weight * above) / (sum(labelled.get(c, 0) for c in merged) + weight)
+        purity.update(dict.fromkeys(merged, own))
+        branches: dict[str, list[str]] = {}
+        for child in sorted(c for node in merged for c in children.get(node, ())):
+            branches.setdefault(child.rpartition("/")[2], []).append(child)
+        sums = {name: (sum(good[c] for c in nodes), sum(labelled[c] for c in nodes)) for name, nodes in branches.items()}
+        groups: list[list[str]] = []
+        for name in sorted((x for x in sums if sums[x][1]), key=lambda x: (-sums[x][0] / sums[x][1], x)):
+            g1, n1 = sums[name]
+            if groups:
+                g0, n0 = (sum(sums[x][k] for x in groups[-1]) for k in (0, 1))
+                p = (g0 + g1) / (n0 + n1)
+                if abs(g0 / n0 - g1 / n1) <= z * math.sqrt(max(p * (1 - p), 1e-9) * (1 / n0 + 1 / n1)):
+                    groups[-1].append(name)
+                    continue
+            groups.append([name])
+        groups += [[name] for name in sums if not sums[name][1]]
+        waiting += [([c for name in group for c in branches[name]], (own + prior) / 2) for group in groups]
+    out = host_templates[["host", "template"]].copy()
+    out["purity"] = [purity[t] for t in out["template"]]
+    out["rejected"] = out["purity"] < least
+    return out
+
+
+def test_template_tree(spark):
+    rows = spark.createDataFrame([("h", "/ads/*", 0, 40), ("h", "/spam/*", 1, 60), ("h", "/news/*", 50, 50), ("h", "/blog/*", 48, 50), ("h", "/new/*", 0, 0), ("h", "", 0, 0)], "host string, template string, good long, labelled long")
+    found = urls.purities(rows).toPandas().set_index("template")
     assert found["rejected"].to_dict() == {"/ads/*": True, "/spam/*": True, "/news/*": False, "/blog/*": False, "/new/*": False, "": False}
     assert abs(found["purity"]["/news/*"] - found["purity"]["/blog/*"]) < 0.02  # merged, as their purities do not differ significantly
+    assert urls.purities(rows.limit(0)).count() == 0
+
+
+def test_purities_equal_a_slow_tree(spark):
+    rng = random.Random(12)
+    rows = {}
+    for _ in range(400):
+        labelled = rng.choice([0, 0, 3, 20, 60])
+        rows[rng.choice(["", "g", "h", "é.net"]), "".join("/" + rng.choice(["a", "b", "0", "u", "*", "**", "ü"]) for _ in range(rng.randint(0, 5)))] = (round(labelled * rng.choice([0, 0.1, 0.5, 0.9, 1])), labelled)
+    frame = pd.DataFrame([(*k, *v) for k, v in rows.items()], columns=["host", "template", "good", "labelled"])
+    slow = pd.concat([slow_purities(group) for _, group in frame.groupby("host")])
+    found = urls.purities(spark.createDataFrame(frame)).toPandas()
+    assert len(found) == len(slow) and 0 < slow["rejected"].sum() < len(slow)
+    expected = {(r.host, r.template): r for r in slow.itertuples()}
+    for r in found.itertuples():
+        assert r.rejected == expected[r.host, r.template].rejected and abs(r.purity - expected[r.host, r.template].purity) < 1e-12
 
 
 def test_wildcards(spark):
