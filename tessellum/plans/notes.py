@@ -585,4 +585,28 @@ def asked(spark, sf_dir):
     return verbs.ask({"parts": area}, ["small"]).select("path", "relevance")
 
 
+@query("SELECT event_id, event_type = 'error' AS urgent FROM events")
+def priority_stream(spark, sf_dir):
+    """Urgent changes to one sink, the others to a daily one."""
+    path, rows = folder(spark), table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{sf_dir}/events.parque[t]").select("event_id", F.when(F.col("event_type") == "error", "P0").otherwise("P2").alias("priority"))
+    sinks = [lambda batch, _, name=name: batch.select("event_id").write.mode("append").parquet(f"{path}-{name}") for name in ("urgent", "daily")]
+    T.by_priority(stream, *sinks, f"{path}-checkpoint").awaitTermination()
+    urgent, daily = (spark.read.schema("event_id long").parquet(f"{path}-{name}") for name in ("urgent", "daily"))
+    return urgent.withColumn("urgent", F.lit(True)).unionByName(daily.withColumn("urgent", F.lit(False)))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'O' AND CAST(o_orderdate AS DATE) <= DATE '2000-06-30'")
+def reviews_due(spark, sf_dir):
+    """F32: open decisions whose day has come."""
+    rows = orders(spark, sf_dir, "o_orderkey as id", "if(o_orderstatus = 'O', 'open', 'reviewed') as status", "to_date(o_orderdate) as review_date")
+    return FL.due(rows, day("2000-06-30")).select("id")
+
+
+@query("SELECT p_partkey AS report FROM part WHERE p_size >= 40 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+def findings_without_followup(spark, sf_dir):
+    """J13."""
+    return J.missing(part(spark, sf_dir, "p_partkey as report", "p_size").where("p_size >= 40"), table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").selectExpr("l_partkey as report"), "report").select("report")
+
+
 __all__ = ["QUERIES"]
