@@ -603,10 +603,10 @@ def reviews_due(spark, sf_dir):
     return FL.due(rows, day("2000-06-30")).select("id")
 
 
-@query("SELECT p_partkey AS report FROM part WHERE p_size >= 40 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+@query("SELECT p_partkey AS report FROM part WHERE p_size >= 40 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1)")
 def findings_without_followup(spark, sf_dir):
     """J13."""
-    return J.missing(part(spark, sf_dir, "p_partkey as report", "p_size").where("p_size >= 40"), table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").selectExpr("l_partkey as report"), "report").select("report")
+    return J.missing(part(spark, sf_dir, "p_partkey as report", "p_size").where("p_size >= 40"), table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_linenumber = 1").selectExpr("l_partkey as report"), "report").select("report")
 
 
 __all__ = ["QUERIES"]
