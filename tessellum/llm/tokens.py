@@ -41,18 +41,25 @@ class Encoder:
     piece met before needs no work. A byte-level vocabulary splits before a space, and on either side
     of a line end, that stands between two characters that are not white space; one that drops white
     space splits at every space. Anything else stays together in one piece. A word of letters alone
-    is a single pre-token, so it goes straight to the library's model. Strings of special tokens in a
-    text are ordinary text.
+    is a single pre-token, so it goes straight to the library's model. A special token's string in a text
+    gives its id, as in that call; with specials_as_text it is ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, *, specials_as_text: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = specials_as_text
+        added = self.tokenizer.get_added_tokens_decoder()
+        if specials_as_text:
+            added = {n: t for n, t in added.items() if not t.special}
+        self.specials = {t.content: array("I", [n]).tobytes() for n, t in added.items()}
+        #: Cuts a text at added tokens, which the library takes out first; None where they do more than that.
+        plain = not any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values())
+        self.cuts = re.compile(f"({'|'.join(map(re.escape, sorted(self.specials, key=len, reverse=True)))})") if plain and added else None
         self.model = self.tokenizer.model
         same = lambda a, b: self.tokenizer.encode(a, add_special_tokens=False).ids == self.tokenizer.encode(b, add_special_tokens=False).ids
         self.drops_space, self.lowers = same("a  a \n", "a a"), same("A", "a")
@@ -98,6 +105,10 @@ class Encoder:
         """Ids of a whole text as little-endian unsigned 32-bit integers; null: none."""
         if not text:
             return b""
+        if self.cuts is None and self.specials:
+            return self._ids(text)
+        if any(special in text for special in self.specials):
+            return b"".join(self.specials.get(part) or self.ids(part) for part in self.cuts.split(text))
         get = self.after_space.__getitem__
         if self.drops_space:
             return b"".join(map(get, text.replace("\n", " ").split(" ")))

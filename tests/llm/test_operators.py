@@ -23,7 +23,7 @@ from tests.conftest import DATA
 BYTE, WORD = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("word_bpe_49k.json")
 LONG = " ".join(f"word{i % 977}" for i in range(12000))
 #: id, text, source: nulls, empty and very long texts, ties and repeated rows.
-ODD = [(1, None, "a"), (2, "", "a"), (3, " \n\t ", None), (4, LONG, "b"), (4, LONG, "b"), (5, LONG + " tail", "b"), (None, "no id here", "a"), (None, None, None), (6, "one", "a"), (7, "a b\nc d\na b\n\na b", "ü"), (8, "İstanbul ΑΣ  x\u3000y\x1c.", "b")]
+ODD = [(1, None, "a"), (2, "", "a"), (3, " \n\t ", None), (4, LONG, "b"), (4, LONG, "b"), (5, LONG + " tail", "b"), (None, "no id here", "a"), (None, None, None), (6, "one", "a"), (7, "a b\nc d\na b\n\na b", "ü"), (8, "İstanbul ΑΣ  x\u3000y\x1c. <|endoftext|> z<|startoftext|>", "b")]
 
 
 def frame(spark, rows=ODD, extra=True):
@@ -59,13 +59,15 @@ def union_find(n, pairs):
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_encoder_equals_library(spark, path):
-    own, plain = Encoder(path), Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     rng = random.Random(1)
-    alphabet = ["a", "B", " ", "  ", "\n", ".", ",", "'s", "é", "é", "Σ", "İ", "1", "\u00a0", "\x1c", "\t", "$", "<|endoftext|>", "ß", "中", "\r\n"]
+    alphabet = ["a", "B", " ", "  ", "\n", ".", ",", "'s", "é", "é", "Σ", "İ", "1", "\u00a0", "\x1c", "\t", "$", "<|endoftext|>", "<|startoftext|>", "<|endof", "text|>", "ß", "中", "\r\n"]
     texts = [r[0] for r in documents(spark).select("text").limit(100).collect()] + ["".join(rng.choices(alphabet, k=rng.randint(0, 12))) for _ in range(3000)]
-    for text, ids in zip(texts, own.encode(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    for as_text in (False, True):
+        own, plain = Encoder(path, specials_as_text=as_text), Tokenizer.from_file(path)
+        if as_text:
+            plain.encode_special_tokens = True
+        for text, ids in zip(texts, own.encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_code_lengths():
