@@ -10,6 +10,10 @@ CUT_SUFFIX, MESSAGE_CAP = "\n\n[消息过长已截断]", 4096
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
 
 
+#: Characters of scripts written without spaces: kana and Han.
+UNSEGMENTED = r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"
+
+
 def slug(title: Column, words: int = 4) -> Column:
     """The first words of a title, lower case, without special characters, joined by hyphens."""
     clean = F.trim(F.regexp_replace(F.lower(title), "[^a-z0-9]+", " "))
@@ -175,6 +179,6 @@ def toggled(line: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """Words of two letters or more, lower case, without stop words."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
+    """Words of two letters or more, lower case, without stop words; unsegmented scripts have none here (aggregates.term_posts finds theirs)."""
+    words = F.split(F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), UNSEGMENTED, " "), r"[^\p{L}\p{N}]+", " ")), " ")
     return F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*STOP_WORDS))

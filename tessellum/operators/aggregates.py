@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellum.functions.scalar import progress_bar, terms
+from tessellum.operators.text import post_terms
 
 #: How strong the logic, how far priced in and how crowded, to one of five outcomes, fixed values; None takes any.
 PRICING = (("strong", "unpriced", "vacant", "opportunity"), ("strong", "partly", "fair", "trend"), ("strong", "fully", "crowded", "negative"), ("strong", "fully", "vacant", "anomaly"), ("weak", None, None, "drop"))
@@ -22,9 +23,12 @@ def crowded(rows: DataFrame, by: list[str], at_least: int = 3, existing: DataFra
     return found if existing is None else found.join(existing.select(*by).distinct(), by, "left_anti")
 
 
-def term_posts(posts: DataFrame, at_least: int = 2) -> DataFrame:
-    """Terms and the number of different posts that have them."""
-    return posts.select("post", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("posts")).where(F.col("posts") >= at_least)
+def term_posts(posts: DataFrame, at_least: int = 2, words: DataFrame | None = None) -> DataFrame:
+    """Terms and the number of different posts that have them; with words (term), as text.discovered() finds them, those of unsegmented text too."""
+    found = posts.select("post", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    if words is not None:
+        found = found.unionByName(post_terms(posts, words))
+    return found.distinct().groupBy("term").agg(F.count("*").alias("posts")).where(F.col("posts") >= at_least)
 
 
 def independent_sources(sightings: DataFrame, key: str = "candidate") -> DataFrame:
@@ -81,15 +85,15 @@ def net_direction(arguments: DataFrame) -> DataFrame:
 
 
 def within_budget(rows: DataFrame, cost: str, order: str, budget: int, width: int = 10_000) -> DataFrame:
-    """Rows, in order of a number, while their running sum stays within the budget.
+    """Rows, in order of a number, while their running sum stays within the budget; a null cost is 0.
 
     Each stretch of `width` numbers has its own running sum, to which the sums of the stretches before
     are added, so no task sees more than a stretch, or one row per stretch.
     """
-    parts = rows.withColumn("_p", F.floor(F.col(order) / width))
-    sums = parts.groupBy("_p").agg(F.sum(cost).alias("_s"))
+    parts, paid = rows.withColumn("_p", F.floor(F.col(order) / width)), F.coalesce(F.col(cost), F.lit(0))
+    sums = parts.groupBy("_p").agg(F.sum(paid).alias("_s"))
     before = sums.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = F.sum(cost).over(Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    own = F.sum(paid).over(Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return parts.withColumn("_own", own).join(before, "_p").withColumn("running", F.col("_own") + F.col("_before")).where(F.col("running") <= budget).drop("_p", "_own", "_before")
 
 

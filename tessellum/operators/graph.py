@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables that stored() wrote, dropped when the application ends.
+_STORED: list[tuple[SparkSession, str]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one of this machine only where executors run on it too."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -16,15 +23,40 @@ def shared_folder(spark: SparkSession) -> str:
     return named or "file://" + tempfile.mkdtemp(prefix="tessellum-")
 
 
+def ready(spark: SparkSession) -> None:
+    """See that checkpoint() has a folder."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: lineage ends, and with it the constraints that a checkpoint carries on, which joins of a table with itself double each time."""
+    spark = df.sparkSession
+    ready(spark)
+    if not _STORED:
+        atexit.register(_drop_stored)
+    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/stored-{uuid.uuid4().hex}"
+    _STORED.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop_stored() -> None:
+    for spark, path in _STORED:
+        try:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        except Exception:  # noqa: BLE001  the JVM may be gone; the folder is the cluster's to clean
+            return
+
+
 def hops(edges: DataFrame, anchors: DataFrame, hard: int = 10) -> DataFrame:
     """(node, hop): the fewest hops from any anchor, up to `hard`; cycles end by the visited set.
 
     edges: (src, dst); anchors: (node). Each round joins the frontier alone.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    plain = edges.select("src", "dst").distinct()
+    ready(edges.sparkSession)
+    plain = edges.select("src", "dst").distinct().repartition("src").checkpoint()  # each round reads it, none makes it again
     seen = frontier = anchors.select("node").distinct().withColumn("hop", F.lit(0)).checkpoint()
     for hop in range(1, hard + 1):
         reached = frontier.join(plain, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
@@ -66,14 +98,105 @@ def degrees(files: DataFrame, links: DataFrame) -> DataFrame:
     return files.select("path").join(out, "path", "left").join(into, "path", "left").join(broken, "path", "left").fillna(0).withColumn("orphan", (F.col("n_in") == 0) & (F.col("n_out") == 0))
 
 
-def acyclic(calls: DataFrame, hard: int = 10) -> DataFrame:
-    """Functions that reach themselves through calls (src, dst); a sound call graph has none."""
-    plain = calls.select("src", "dst").distinct()
-    reach = plain
-    for _ in range(hard):
-        more = reach.join(plain.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "dst").select("src", F.col("next").alias("dst"))
-        more = more.join(reach, ["src", "dst"], "left_anti").distinct().checkpoint() if calls.sparkSession.sparkContext.getCheckpointDir() else more.join(reach, ["src", "dst"], "left_anti").distinct()
-        if more.isEmpty():
+def spread(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, value): the largest value that reaches a node along edges (src, dst), its own included.
+
+    nodes: (node, value). After each step along all edges a node points at the neighbour that gave it
+    most, and pointers are followed to where they lead, twice as far with every join; so a value crosses a
+    cycle or a chain of n nodes in about log n joins. No table is larger than nodes and edges.
+    """
+    now, jumps = stored(nodes), 0
+    while True:
+        given = edges.join(now, F.col("src") == F.col("node")).groupBy("dst").agg(F.max(F.struct("value", "src")).alias("m"))
+        step = stored(now.join(given, F.col("node") == F.col("dst"), "left").select("node", F.col("value").alias("old"), F.greatest("value", "m.value").alias("value"), F.col("m.src").alias("to")))
+        if step.where("value > old").isEmpty():
+            return now
+        for _ in range(jumps):
+            there = step.select(F.col("node").alias("n"), F.col("value").alias("v"), F.col("to").alias("t"))
+            step = stored(step.join(there, F.col("to") == F.col("n"), "left").select("node", F.greatest("value", "v").alias("value"), F.col("t").alias("to")))
+        now, jumps = step.select("node", "value"), max(1, 2 * jumps)
+
+
+def _small_components(edges: pa.Table) -> pa.Table:
+    """(node, component) of nodes that reach each other, by depth-first search with low links; for a graph known to be small."""
+    nodes = sorted({*(pairs := edges.select(["src", "dst"]).to_pydict())["src"], *pairs["dst"]})
+    out = {n: [] for n in nodes}
+    for a, b in zip(pairs["src"], pairs["dst"]):
+        out[a].append(b)
+    number, low, stack, held, found = {}, {}, [], set(), []
+    for root in nodes:
+        path = [] if root in number else [(root, iter(out[root]))]
+        while path:
+            node, left = path[-1]
+            if node not in number:
+                number[node] = low[node] = len(number)
+                stack.append(node)
+                held.add(node)
+            for other in left:
+                if other not in number:
+                    path.append((other, iter(out[other])))
+                    break
+                if other in held:
+                    low[node] = min(low[node], number[other])
+            else:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[node])
+                if low[node] == number[node]:
+                    group = []
+                    while not group or group[-1] != node:
+                        group.append(stack.pop())
+                    held.difference_update(group)
+                    if len(group) > 1:
+                        found += [(n, min(group)) for n in group]
+    kind = edges.schema.field("src").type
+    return pa.table({"node": pa.array([n for n, _ in found], kind), "component": pa.array([c for _, c in found], kind)})
+
+
+def strongly_connected(edges: DataFrame, trims: int = 2, small: int = 100_000) -> DataFrame:
+    """(node, component) of every node on a cycle, of whatever length; component is the least node of those that reach each other.
+
+    Each round gives nodes a new random rank and colours each with the highest that reaches it. A colour's own
+    node and those of the colour that reach it back are a component; edges between colours lead nowhere and go,
+    as do, before, nodes without an edge in or out. Ranks being random, the rounds grow with the logarithm of
+    what is left, until no more than `small` edges are, by count; those are searched in one task. Null ends of edges
+    play no part; a loop is a cycle of one node.
+    """
+    ready(edges.sparkSession)
+    plain = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    loops = plain.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
+    live, done, seed = stored(plain.where("src <> dst")), [], 0
+    while not live.isEmpty():
+        for _ in range(trims):
+            live = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+            live = live.join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        live = stored(live)
+        if live.count() <= small:
+            kind = live.schema["src"].dataType.simpleString()
+            rest = live.groupBy(F.lit(0).alias("all")).applyInArrow(_small_components, f"node {kind}, component {kind}")
+            done.append(stored(rest.select("node", F.col("component").alias("colour"))))
             break
-        reach = reach.unionByName(more)
-    return reach.where("src = dst").select("src").distinct()
+        nodes = live.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        ranked = nodes.select("node", F.struct(F.xxhash64(F.lit(seed), "node").alias("rank"), F.col("node").alias("top")).alias("value"))
+        coloured = stored(spread(ranked, live).select("node", F.col("value.top").alias("colour")))
+        ends = [coloured.select(F.col("node").alias(end), F.col("colour").alias(f"{end}_colour")) for end in ("src", "dst")]
+        inside = stored(live.join(ends[0], "src").join(ends[1], "dst").where("src_colour = dst_colour").select("src", "dst"))
+        back = spread(coloured.select("node", F.expr("if(node = colour, 1, 0)").alias("value")), inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        whole = stored(back.where("value = 1").select("node").join(coloured, "node"))
+        done.append(whole)
+        gone = whole.select("node")
+        live = stored(inside.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+        seed += 1
+    if not done:
+        return loops
+    found = done[0]
+    for part in done[1:]:
+        found = found.unionByName(part)
+    least = found.groupBy("colour").agg(F.min("node").alias("component"), F.count("*").alias("n"))
+    several = found.join(least.where("n > 1"), "colour").select("node", "component")
+    return several.unionByName(loops.join(several.select("node"), "node", "left_anti"))
+
+
+def acyclic(calls: DataFrame) -> DataFrame:
+    """Functions that reach themselves through calls (src, dst), over cycles of any length; a sound call graph has none."""
+    return strongly_connected(calls).select(F.col("node").alias("src"))

@@ -1,11 +1,12 @@
-"""Joins (J01-J35). Strategies are left to the optimizer and adaptive execution; blocks bound fuzzy joins."""
+"""Joins (J01-J35). Strategies are left to the optimizer and adaptive execution; fuzzy ones meet by equal pieces."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellum.functions.scalar import similarity, terms
+from tessellum.operators.similar import near, nearest
+from tessellum.operators.text import occurrences
 
 
 def known_urls(items: DataFrame, cards: DataFrame) -> DataFrame:
@@ -15,18 +16,13 @@ def known_urls(items: DataFrame, cards: DataFrame) -> DataFrame:
 
 
 def near_titles(cards: DataFrame, *, block: str, most_edits: int = 5, least_length: int = 20) -> DataFrame:
-    """Pairs of titles few edits apart, within a block and a bucket of lengths.
+    """(block, t1, t2, i1, i2): pairs of titles of a block at most `most_edits` apart, with the least id of each.
 
-    Each title is met from its own length bucket and the one above, so lengths that differ by most_edits
-    always meet and a pair meets once; rows of one text are one representative with a count.
+    Rows of one title are one; titles meet by an equal piece (similar.met), never all with all.
     """
-    titles = cards.where(F.length("title") >= least_length).groupBy(block, "title").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    width = most_edits + 1
-    left = titles.select(F.col(block).alias("b"), F.col("title").alias("t1"), F.col("ids").alias("i1"), (F.length("title") / width).cast("int").alias("n"))
-    right = titles.select(F.col(block).alias("b"), F.col("title").alias("t2"), F.col("ids").alias("i2"), F.explode(F.array((F.length("title") / width).cast("int"), (F.length("title") / width).cast("int") - 1)).alias("n"))
-    same = (F.length("t1") / width).cast("int") == (F.length("t2") / width).cast("int")
-    close = (F.abs(F.length("t1") - F.length("t2")) <= most_edits) & (~same | (F.col("t1") < F.col("t2"))) & (F.levenshtein("t1", "t2", most_edits) >= 0)
-    return left.join(right, ["b", "n"]).where(close).select(F.col("b").alias(block), "t1", "t2", "i1", "i2")
+    titles = cards.where(F.length("title") >= least_length).groupBy(block, "title").agg(F.min("id").alias("i"))
+    found = near(titles.select(F.col(block).alias("b"), F.col("title").alias("t"), "i"), most_edits)
+    return found.select(F.col("b").alias(block), "t1", "t2", "i1", "i2")
 
 
 def unlinked(cards: DataFrame, topics: DataFrame, links: DataFrame) -> DataFrame:
@@ -41,12 +37,10 @@ def broken_links(links: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def repairs(broken: DataFrame, files: DataFrame, at_least: float = 0.7) -> DataFrame:
-    """For each broken target the most similar file that begins with the same letter, or null to unlink."""
-    block = lambda c: F.lower(F.substring(F.regexp_extract(c, "([^/]*)$", 1), 1, 1))
-    pairs = broken.select("target").distinct().withColumn("k", block(F.col("target"))).join(files.select("path", block(F.col("path")).alias("k")), "k", "left")
-    pairs = pairs.withColumn("s", similarity(F.col("target"), F.col("path")))
-    best = pairs.groupBy("target").agg(F.max_by("path", F.struct("s", "path")).alias("path"), F.max("s").alias("score"))
-    return best.select("target", F.when(F.col("score") >= at_least, F.col("path")).alias("repair"), "score")
+    """(target, repair, score): for each broken target the most similar file, of equal ones the last by name; both null, to unlink, where none is at_least as similar."""
+    found = nearest(broken, files, at_least).withColumnsRenamed({"target": "t", "path": "repair"})
+    targets = broken.select("target").where("target is not null").distinct()
+    return targets.join(found, F.col("target") == F.col("t"), "left").select("target", "repair", "score")
 
 
 def missing(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
@@ -66,14 +60,12 @@ def fan_out(changes: DataFrame, references: DataFrame, key: str = "variable_id")
 
 
 def mentions(articles: DataFrame, followups: DataFrame) -> DataFrame:
-    """Articles that share a tag with an active follow-up or name its metric.
-
-    Names are looked up as words of the text, so both ways are equi joins.
-    """
+    """Articles that share a tag with an active follow-up or name its metric, in one word or several, of any script (text.occurrences)."""
     live = followups.where("status = 'active'")
     by_tag = articles.select("article", F.explode("tags").alias("k")).join(live.select("followup", F.explode("tags").alias("k")), "k")
-    by_name = articles.select("article", F.explode(F.array_distinct(terms(F.col("text")))).alias("k")).join(live.select("followup", F.lower("metric").alias("k")), "k")
-    return by_tag.select("article", "followup").unionByName(by_name.select("article", "followup")).distinct()
+    named = occurrences(articles, live, id_col="article", name_col="metric")
+    by_name = named.join(live.select("followup", F.col("metric").alias("name")), "name").select(F.col("id").alias("article"), "followup")
+    return by_tag.select("article", "followup").unionByName(by_name).distinct()
 
 
 def audit(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -105,9 +97,10 @@ def with_neighbours(hits: DataFrame, related: DataFrame, strong: int = 2) -> Dat
 
 
 def matched_lenses(events: DataFrame, lenses: DataFrame) -> DataFrame:
-    """(event, lens, met): how many of a lens's signals an event's words hold."""
-    words = events.select("event", F.explode(F.array_distinct(terms(F.col("text")))).alias("w"))
-    return words.join(lenses.select("lens", F.explode("signals").alias("w")).distinct(), "w").groupBy("event", "lens").agg(F.count("*").alias("met"))
+    """(event, lens, met): how many of a lens's signals, of one word or several, an event's text names (text.occurrences)."""
+    signals = lenses.select("lens", F.explode("signals").alias("name")).distinct()
+    found = occurrences(events, signals, id_col="event")
+    return found.join(signals, "name").groupBy(F.col("id").alias("event"), "lens").agg(F.count("*").alias("met"))
 
 
 def orphans(cards: DataFrame, links: DataFrame, topic_members: DataFrame) -> DataFrame:

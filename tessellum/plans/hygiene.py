@@ -92,24 +92,6 @@ def draft_conformance(spark, sf_dir):
     return FL.draft_conforms(table(spark, sf_dir, "documents").withColumn("sources", F.array("source")), ["idiot"], openings=("in",), closings=("und ",)).select("doc_id", "conforms")
 
 
-@query("""WITH f AS (SELECT n_nationkey AS followup, lower(n_name) AS metric FROM nation), w AS (SELECT conv_id || '/' || turn AS article, unnest(string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ')) AS k FROM conversations),
-t AS (SELECT conv_id || '/' || turn AS article, conv_id % 25 AS followup FROM conversations WHERE role = 'user')
-SELECT DISTINCT article, followup FROM (SELECT article, followup FROM t UNION ALL SELECT article, followup FROM w JOIN f ON k = metric)""")
-def followup_mentions(spark, sf_dir):
-    """J10."""
-    articles = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("article"), F.when(F.col("role") == "user", F.array((F.col("conv_id") % 25).cast("string"))).otherwise(F.array().cast("array<string>")).alias("tags"), "text")
-    followups = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("followup"), F.lit("active").alias("status"), F.array(F.col("n_nationkey").cast("string")).alias("tags"), F.col("n_name").alias("metric"))
-    return J.mentions(articles, followups)
-
-
-@query("""WITH w AS (SELECT DISTINCT doc_id AS event, unnest(string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ')) AS k FROM documents)
-SELECT event, lens, met FROM (SELECT *, row_number() OVER (PARTITION BY event ORDER BY met DESC, lens) AS r FROM (SELECT event, lens, count(*) AS met FROM w JOIN (VALUES ('a', 'tion'), ('a', 'ing'), ('b', 'ed'), ('c', 'que'), ('c', 'er')) l(lens, word) ON k = word GROUP BY 1, 2)) WHERE r <= 5""")
-def lens_matches(spark, sf_dir):
-    """J18, O09, F25."""
-    lenses = spark.createDataFrame([("a", ["tion", "ing"]), ("b", ["ed"]), ("c", ["que", "er"])], "lens string, signals array<string>")
-    return verbs.lens(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event"), "text"), lenses).select("event", "lens", "met")
-
-
 @query("""SELECT c_custkey AS card FROM customer WHERE c_acctbal < 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
 def orphans(spark, sf_dir):
     """Urgent orders are links."""

@@ -349,16 +349,6 @@ def edges_in_order(spark, sf_dir):
     return FL.sound_edges(rows).select("src", "dst")
 
 
-@query("""WITH f AS (SELECT DISTINCT 'wiki/' || p_name AS path FROM part), b AS (SELECT DISTINCT 'wiki/' || substr(p_name, 1, length(p_name) - 1) || 'x' AS target FROM part UNION SELECT 'wiki/zzz'),
-p AS (SELECT target, path, 1 - levenshtein(target, path) / CAST(greatest(length(target), length(path)) AS DOUBLE) AS s FROM b LEFT JOIN f ON substr(target, 6, 1) = substr(path, 6, 1)), r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY s DESC NULLS LAST, path DESC) AS n FROM p)
-SELECT target, CASE WHEN s >= 0.7 THEN path END AS repair, s AS score FROM r WHERE n = 1""")
-def link_repairs(spark, sf_dir):
-    """J05, X08."""
-    files = part(spark, sf_dir, "concat('wiki/', p_name) as path").distinct()
-    broken = part(spark, sf_dir, "concat('wiki/', substring(p_name, 1, length(p_name) - 1), 'x') as target").unionByName(table(spark, sf_dir, "region").selectExpr("'wiki/zzz' as target"))
-    return J.repairs(broken, files)
-
-
 @query("SELECT o_orderkey AS id FROM orders WHERE o_totalprice > 200000 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def untracked_decisions(spark, sf_dir):
     """A quantified expectation without tracking."""

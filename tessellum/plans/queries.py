@@ -117,7 +117,7 @@ alike AS (SELECT * FROM u WHERE levenshtein(array_to_string(list_transform(l1, l
 def near_dup_title(spark, sf_dir):
     """The least ids of each two titles that are alike, in all languages."""
     found = J.near_titles(titles(spark, sf_dir), block="lang")
-    return found.select("lang", F.least(F.col("i1")[0], F.col("i2")[0]).alias("first_id"), F.greatest(F.col("i1")[0], F.col("i2")[0]).alias("second_id"))
+    return found.select("lang", F.least("i1", "i2").alias("first_id"), F.greatest("i1", "i2").alias("second_id"))
 
 
 @query(f"WITH {ALIKE} SELECT lang, first_title, second_title FROM alike")
