@@ -15,7 +15,7 @@ from tessellum.operators import sinks as K
 from tessellum.operators import windows as W
 from tessellum.operators.graph import shared_folder
 from tessellum.plans import verbs
-from tessellum.plans.queries import QUERIES, RETURNED, daily, day, decisions, query, shipped, table
+from tessellum.plans.queries import ORACLE, QUERIES, RETURNED, daily, day, decisions, query, shipped, table
 from tessellum.streaming import state as T
 
 
@@ -301,4 +301,48 @@ def streaming_streak(spark, sf_dir):
     return found.groupBy(F.col("variable").cast("long").alias("user_id")).agg(F.max("consecutive").cast("long").alias("longest")).where("longest >= 3")
 
 
+def _with_clock(rows, key, *columns):
+    """The rows of a stream and, for each, a row of a key named clock 60 days later, which moves the watermark past all of them."""
+    later = F.struct(F.lit("clock").alias(key), *(F.lit("clock").alias(c) for c in columns), (F.col("ts") + F.expr("interval 60 days")).alias("ts"))
+    return rows.select(F.explode(F.array(F.struct(key, *columns, "ts"), later)).alias("r")).select("r.*")
+
+
+def _with_timers(spark, rows, schema):
+    """_drained() with the state store that timers need, for this stream alone."""
+    name, held = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(name, T.ROCKSDB)
+    try:
+        return _drained(spark, rows, schema)
+    finally:
+        spark.conf.set(name, held)
+
+
+@query(ORACLE["streaming_streak"])
+def late_streaks(spark, sf_dir):
+    """The batch operator's streaks from runs that are held until the watermark has passed them."""
+    rows = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("variable"), F.when(F.col("event_type") == "view", "LIKELY_DEAD").otherwise("ALIVE").alias("verdict"), F.col("ts").cast("timestamp").alias("ts"))
+    found = _with_timers(spark, T.late_streak_stream(_with_clock(rows, "variable", "verdict").withColumnRenamed("ts", "run_ts"), late="0 seconds"), T.STREAK).where("variable <> 'clock'")
+    return found.groupBy(F.col("variable").cast("long").alias("user_id")).agg(F.max("consecutive").cast("long").alias("longest")).where("longest >= 3")
+
+
+@query("""SELECT user_id, epoch_us(min(ts)) AS first_seen, epoch_us(least(min(ts) + INTERVAL 14 DAY, min(ts) FILTER (event_type = 'purchase'))) AS promote_at FROM events GROUP BY 1""")
+def promoted_candidates(spark, sf_dir):
+    """Users as candidates, promoted by a timer two weeks after they were first seen, or with a purchase before."""
+    rows = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("candidate"), F.col("event_type").alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
+    found = _with_timers(spark, T.promotion_stream(_with_clock(rows, "candidate", "kind"), at_once=("purchase",), late="0 seconds"), "candidate string, first_seen timestamp, promote_at timestamp")
+    return found.where("candidate <> 'clock'").select(F.col("candidate").cast("long").alias("user_id"), F.unix_micros("first_seen").alias("first_seen"), F.unix_micros("promote_at").alias("promote_at"))
+
+
+@query("SELECT event_type, user_id, epoch_us(min(ts)) AS first_sent FROM events GROUP BY 1, 2")
+def reminders_once(spark, sf_dir):
+    """(user, kind) notified once for good, by a ledger of batches, the first of them replayed."""
+    ledger = _folder(spark)
+    sink = T.notify_once(f"{ledger}/ledger")
+    rows = _stream(spark, sf_dir).select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.concat_ws("/", "user_id", "event_type").alias("reminder"))
+    for turn in ("first", "again"):  # a new checkpoint brings the same rows as the same batch
+        rows.writeStream.foreachBatch(sink).option("checkpointLocation", f"{ledger}/{turn}").trigger(availableNow=True).start().awaitTermination()
+    sent = spark.read.schema("user_id long, event_type string, ts timestamp, reminder string, batch long").option("basePath", f"{ledger}/ledger").parquet(f"{ledger}/ledger")
+    return sent.select("event_type", "user_id", F.unix_micros("ts").alias("first_sent"))
+
+
 __all__ = ["QUERIES"]

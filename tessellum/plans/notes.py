@@ -580,9 +580,9 @@ def priority_stream(spark, sf_dir):
     """Urgent changes to one sink, the others to a daily one."""
     path, rows = folder(spark), table(spark, sf_dir, "events")
     stream = spark.readStream.schema(rows.schema).parquet(f"{sf_dir}/events.parque[t]").select("event_id", F.when(F.col("event_type") == "error", "P0").otherwise("P2").alias("priority"))
-    sinks = [lambda batch, _, name=name: batch.select("event_id").write.mode("append").parquet(f"{path}-{name}") for name in ("urgent", "daily")]
+    sinks = [T.append_batch(f"{path}-{name}") for name in ("urgent", "daily")]
     T.by_priority(stream, *sinks, f"{path}-checkpoint").awaitTermination()
-    urgent, daily = (spark.read.schema("event_id long").parquet(f"{path}-{name}") for name in ("urgent", "daily"))
+    urgent, daily = (spark.read.schema("event_id long").parquet(f"{path}-{name}").select("event_id") for name in ("urgent", "daily"))
     return urgent.withColumn("urgent", F.lit(True)).unionByName(daily.withColumn("urgent", F.lit(False)))
 
 
