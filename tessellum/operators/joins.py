@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessellum.operators.graph import stored
 from tessellum.operators.similar import near, nearest
 from tessellum.operators.text import occurrences
 
@@ -77,9 +78,22 @@ def audit(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def cross_pairs(membership: DataFrame, edges: DataFrame | None = None, at_least: int = 2) -> DataFrame:
-    """Pairs i < j that share enough items and are no edge yet; membership: (member, item)."""
-    rows = membership.select("member", "item").distinct()
-    pairs = rows.select("item", F.col("member").alias("i")).join(rows.select("item", F.col("member").alias("j")), "item").where("i < j").groupBy("i", "j").agg(F.count("*").alias("shared")).where(F.col("shared") >= at_least)
+    """(i, j, shared): pairs i < j that share at_least items and are no edge yet; membership: (member, item).
+
+    Members that share c items share one outside the c - 1 items of each that most members have, so only the others
+    meet in the join over items, and an item that all have makes no pairs. What the items left out add is looked up
+    for the pairs that met.
+    """
+    rows = membership.select("member", "item").where("member is not null and item is not null").distinct()
+    often = rows.groupBy(F.col("item").alias("o")).agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("member").orderBy(F.desc("n"), F.desc("item")))
+    ranked = stored(rows.join(often, F.col("item") == F.col("o")).select("member", "item", (place < at_least).alias("common")))
+    rare, common = ranked.where("not common").select("member", "item"), ranked.where("common").select("member", "item")
+    side = lambda of, name: of.select(F.col("member").alias(name), "item")
+    met = stored(side(rare, "i").join(side(rare, "j"), "item").where("i < j").groupBy("i", "j").agg(F.count("*").alias("shared")))
+    more = [met.select("i", "j").join(side(common, "i"), "i").join(side(ranked, "j"), ["j", "item"]), met.select("i", "j").join(side(common, "j"), "j").join(side(rare, "i"), ["i", "item"])]
+    each = [found.select("i", "j", F.lit(1).cast("long").alias("shared")) for found in more]
+    pairs = met.unionByName(each[0]).unionByName(each[1]).groupBy("i", "j").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= at_least)
     return pairs if edges is None else pairs.join(edges.select(F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j")).distinct(), ["i", "j"], "left_anti")
 
 

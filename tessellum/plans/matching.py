@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessellum.functions import scalar as X
 from tessellum.functions.scalar import UNSEGMENTED
 from tessellum.operators import aggregates as A
+from tessellum.operators import filters as FL
 from tessellum.operators import graph as G
 from tessellum.operators import joins as J
+from tessellum.operators import sinks as K
 from tessellum.operators import text as N
 from tessellum.plans import verbs
-from tessellum.plans.queries import query, table
+from tessellum.plans.queries import EDGES, nation_edges, query, shipped, table
 
 #: Turns name a Chinese and an English metric in running text.
 SPOKEN = "coalesce(text, '') || CASE turn % 4 WHEN 1 THEN '，长江水位上升。' WHEN 2 THEN ' (henry-hub prices)' ELSE '' END"
@@ -89,3 +92,56 @@ def follower_cycles(spark, sf_dir):
     pairs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst")).where("dst is not null")
     most = pairs.groupBy("src", "dst").agg(F.count("*").alias("n")).groupBy("src").agg(F.max_by("dst", F.struct("n", (-F.col("dst")).alias("least"))).alias("dst"))
     return G.strongly_connected(most)
+
+
+@query("""WITH m AS (SELECT DISTINCT l_suppkey AS member, l_partkey AS item FROM lineitem UNION SELECT s_suppkey, -1 FROM supplier)
+SELECT a.member AS i, b.member AS j, count(*) AS shared FROM m a JOIN m b ON a.item = b.item AND a.member < b.member WHERE b.member - a.member > 1 GROUP BY 1, 2 HAVING count(*) >= 3""")
+def unrecorded_pairs(spark, sf_dir):
+    """Suppliers that share three parts, one of which all have; neighbours by number are recorded already, in either direction."""
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("member"), F.lit(-1).cast("long").alias("item"))
+    edges = table(spark, sf_dir, "supplier").selectExpr("if(s_suppkey % 2 = 0, s_suppkey, s_suppkey + 1) as src", "if(s_suppkey % 2 = 0, s_suppkey + 1, s_suppkey) as dst")
+    return J.cross_pairs(shipped(spark, sf_dir).select("member", F.col("variable").alias("item")).unionByName(own), edges, 3)
+
+
+@query("SELECT doc_id, CASE WHEN length(trim(coalesce(text, ''))) = 0 THEN 'reject' WHEN length(text) > 4096 THEN 'truncate' WHEN length(trim(text)) <= 50 THEN 'send' ELSE 'confirm' END AS guard FROM documents")
+def pushes_guarded(spark, sf_dir):
+    """F27."""
+    return table(spark, sf_dir, "documents").select("doc_id", FL.push_guard(F.col("text")).alias("guard"))
+
+
+@query("SELECT n_nationkey AS selector, CASE count(s_suppkey) WHEN 0 THEN 'list_all' WHEN 1 THEN 'act' ELSE 'list_matches' END AS action FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
+def selected_suppliers(spark, sf_dir):
+    """a nation selects its suppliers."""
+    counts = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("selector")).agg(F.count("*").alias("matches"))
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("selector")).join(counts, "selector", "left").select("selector", FL.selection(F.coalesce("matches", F.lit(0))).alias("action"))
+
+
+@query("""WITH d AS (SELECT doc_id, lang, string_split(lower(text), ' ') AS w FROM documents)
+SELECT doc_id, CASE WHEN list_contains(w, 'the') AND list_contains(w, 'onth') THEN 3 WHEN list_contains(w, 'the') OR list_contains(w, 'onth') THEN 2 WHEN lang = 'fr' THEN 1 ELSE 0 END AS tier FROM d""")
+def lens_tiers(spark, sf_dir):
+    """F25, O09."""
+    signals = F.array(F.lit("the"), F.lit("onth"))
+    return table(spark, sf_dir, "documents").select("doc_id", FL.lens_tier(signals, F.split(F.lower("text"), " "), F.col("lang"), F.lit("fr")).alias("tier"))
+
+
+@query("SELECT o_orderkey AS id, CAST((2001 - year(o_orderdate)) * 12 + 1 - month(o_orderdate) - CASE WHEN day(o_orderdate) > 1 THEN 1 ELSE 0 END AS INTEGER) AS months FROM orders")
+def ages_in_months(spark, sf_dir):
+    """X13."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), X.age_months(F.to_date("o_orderdate"), F.lit("2001-01-01").cast("date")).alias("months"))
+
+
+@query(f"""WITH RECURSIVE e AS ({EDGES}), w AS (SELECT 0 AS node, 0 AS hop UNION SELECT e.dst, w.hop + 1 FROM w JOIN e ON e.src = w.node WHERE w.hop < 10)
+SELECT node, CASE WHEN min(hop) <= 1 THEN 'normal' ELSE 'needs_reason' END AS class FROM w GROUP BY 1""")
+def hop_classes(spark, sf_dir):
+    """Which nations a walk reaches only past its soft stop, here the first hop."""
+    return G.hops(nation_edges(spark, sf_dir), spark.createDataFrame([(0,)], "node int")).select("node", G.hop_class(1).alias("class"))
+
+
+@query("""WITH s AS (SELECT p_partkey AS variable, 'size ' || p_size AS state, DATE '2000-01-01' AS day FROM part), f AS (SELECT l_partkey AS variable, max(l_shipdate) AS ts, max_by(l_orderkey, {'t': l_shipdate, 'o': l_orderkey}) AS o FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+SELECT s.variable, coalesce('order ' || o, state) AS state, CAST(coalesce(CAST(ts AS DATE), day) AS VARCHAR) AS as_of, CASE WHEN o IS NOT NULL THEN '[auto: ' || strftime(ts, '%Y-%m-%d') || '] returned' END AS entry FROM s LEFT JOIN f USING (variable)""")
+def tracked_states(spark, sf_dir):
+    """A part's latest return replaces its state, and an entry is appended."""
+    held = table(spark, sf_dir, "part").selectExpr("p_partkey as variable", "'size ' || p_size as state", "date'2000-01-01' as as_of")
+    news = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("variable")).agg(F.max(F.struct("l_shipdate", "l_orderkey")).alias("x"))
+    state, entries = K.tracker_update(held, news.selectExpr("variable", "'order ' || x.l_orderkey as new", "to_date(x.l_shipdate) as day", "'returned' as text"))
+    return state.join(entries, "variable", "left").select("variable", "state", F.col("as_of").cast("string").alias("as_of"), "entry")

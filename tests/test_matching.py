@@ -141,3 +141,17 @@ def test_budget_of_null_costs(spark):
     rows = spark.createDataFrame([(i, None if i % 2 == 0 else 3) for i in range(10)], "id long, cost long")
     for width in (2, 3, 5, 100):
         assert sorted(r["id"] for r in A.within_budget(rows, "cost", "id", 9, width).collect()) == [0, 1, 2, 3, 4, 5, 6]
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_pairs_that_share(spark, least):
+    """One item is common to all members and makes no pair by itself."""
+    rng = random.Random(least)
+    rows = [(m, i) for m in range(150) for i in {0, *rng.sample(range(1, 200), rng.randint(0, 6))}]
+    held = defaultdict(set)
+    for m, i in rows:
+        held[m].add(i)
+    expected = {(a, b): len(held[a] & held[b]) for a in held for b in held if a < b and len(held[a] & held[b]) >= least and (a, b) not in ((0, 1), (2, 9))}
+    edges = spark.createDataFrame([(1, 0), (2, 9)], "src long, dst long")
+    found = J.cross_pairs(spark.createDataFrame([*rows, rows[0], (None, 0), (5, None)], "member long, item long"), edges, least)
+    assert {(r["i"], r["j"]): r["shared"] for r in found.collect()} == expected
