@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +24,17 @@ def suffixed(rows: DataFrame, base: str, order: str) -> DataFrame:
     return rows.withColumn("name", F.when(n == 1, F.col(base)).otherwise(F.concat_ws("-", base, n)))
 
 
-def archive_raw(rows: DataFrame, path: str, day: str = "fetched") -> None:
-    """Append originals by month; nothing is overwritten."""
+def archive_raw(rows: DataFrame, path: str, day: str = "fetched", key: str | None = None) -> None:
+    """Append originals by month; nothing is overwritten. With a key, those whose key the archive holds stay out, so a rerun adds nothing."""
+    if key is not None:
+        rows = rows.dropDuplicates([key])
+        try:
+            held = rows.sparkSession.read.parquet(path).select(F.col(key).alias("_held")).distinct()
+        except AnalysisException as error:  # the first run finds no archive
+            if "PATH_NOT_FOUND" not in str(error.getCondition()) and "UNABLE_TO_INFER_SCHEMA" not in str(error.getCondition()):
+                raise
+        else:
+            rows = rows.join(held, F.col(key) == F.col("_held"), "left_anti")
     rows.withColumn("month", month_of(F.col(day))).write.mode("append").partitionBy("month").parquet(path)
 
 
@@ -51,8 +61,10 @@ def new_issues(found: DataFrame, still_open: DataFrame) -> DataFrame:
     return found.join(still_open.select("issue").distinct(), "issue", "left_anti")
 
 
-def upserted(held: DataFrame, news: DataFrame, key: str) -> DataFrame:
-    """Rows of `held`, replaced by those of `news` with the same key, and the new ones."""
+def upserted(held: DataFrame, news: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Rows of `held`, replaced by those of `news` with the same key, and the new ones; with an order, of several news of a key the last."""
+    if order is not None:
+        news = news.groupBy(key).agg(F.max_by(F.struct(*news.columns), order).alias("_last")).select("_last.*")
     return held.join(news.select(key).distinct(), key, "left_anti").unionByName(news)
 
 

@@ -202,10 +202,10 @@ def inbox_files(spark, sf_dir):
 
 @query("SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m') AS month FROM orders")
 def raw_archive(spark, sf_dir):
-    """Originals by month, read back; a second run adds, and overwrites nothing."""
+    """Originals by month, read back; a second run adds, and overwrites nothing, a third, of all rows, adds none."""
     path, rows = folder(spark), orders(spark, sf_dir, "o_orderkey as id", "to_date(o_orderdate) as fetched")
-    for half in (0, 1):
-        K.archive_raw(rows.where(f"id % 2 = {half}").select("id", "fetched"), path)
+    for some in ("id % 2 = 0", "id % 2 = 1", "true"):
+        K.archive_raw(rows.where(some).select("id", "fetched"), path, key="id")
     return spark.read.schema("id long, month string").parquet(path)
 
 
