@@ -78,6 +78,8 @@ class Encoder:
         if piece[-1:] in self.stops:
             end, piece = self.stops[piece[-1]], piece[:-1]
         word = piece[1:] if piece[:1] == " " else piece
+        if end and word.isascii() and word.isalpha():  # most likely met without the stop
+            return (self.memo[piece] if word is piece else self.after_space[word]) + end
         if not word.isalpha():
             return self._ids(whole)
         if self.lowers:
