@@ -10,6 +10,12 @@ CUT_SUFFIX, MESSAGE_CAP = "\n\n[消息过长已截断]", 4096
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
 
 
+#: How halves of a day, near days and every day are said.
+WEEKDAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
+AFTER_NOON, BEFORE_NOON = r"下午|晚上|\d *p\.?m\b", r"上午|早上|凌晨|\d *a\.?m\b"
+NEAR_DAYS = (("明天|\\btomorrow\\b", 1), ("后天|\\bday after tomorrow\\b", 2), ("大后天", 3))
+EVERY_DAY = r"每天|\bevery day\b|\bdaily\b"
+
 #: Characters of scripts written without spaces: kana and Han.
 UNSEGMENTED = r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"
 
@@ -69,6 +75,31 @@ def resolve_day(word: Column, as_of: Column) -> Column:
     return found
 
 
+def reminder(said: Column, now: Column) -> Column:
+    """(spec, passed) of a time as people say it, from a given clock; null without a time of day.
+
+    spec is 'HH:MM' (each day), 'Ddd HH:MM' (each week) or 'M/D HH:MM' (once). passed tells that a time without a
+    day has gone by today, so the user is to be asked. 'next Wednesday' is the first one after today, 下周三 that of the next week.
+    """
+    text, day = F.lower(said), now.cast("date")
+    clock = r"(\d{1,2})(?::(\d{2})| *点 *(?:(\d{1,2}) *分|(半))?| *(?=[ap]\.?m\b))"
+    hour, minute = F.nullif(F.regexp_extract(text, clock, 1), F.lit("")).cast("int"), F.coalesce(*(F.nullif(F.regexp_extract(text, clock, i), F.lit("")) for i in (2, 3)))
+    minute = F.coalesce(minute.cast("int"), F.when(F.regexp_extract(text, clock, 4) != "", 30).otherwise(0))
+    hour = F.when(text.rlike(AFTER_NOON) & (hour < 12), hour + 12).when(text.rlike(BEFORE_NOON) & (hour == 12), 0).otherwise(hour)
+    at = F.when((hour < 24) & (minute < 60), F.format_string("%02d:%02d", hour, minute))
+    once, weekly = F.lit(None).cast("date"), F.lit(None).cast("string")
+    for i, (name, sign) in enumerate(zip(WEEKDAYS, "一二三四五六日", strict=True)):
+        sign = f"[{sign}天]" if sign == "日" else sign
+        once = F.when(text.rlike(f"下(周|星期){sign}"), F.date_add(week_start(day), 7 + i)).when(text.rlike(rf"\bnext {name.lower()}"), F.next_day(day, name)).otherwise(once)
+        weekly = F.when(text.rlike(rf"每(周|星期){sign}|\bevery {name.lower()}"), F.lit(name)).otherwise(weekly)
+    for pattern, days in NEAR_DAYS:  # the later pattern is asked first
+        once = F.when(text.rlike(pattern), F.date_add(day, days)).otherwise(once)
+    daily = text.rlike(EVERY_DAY)
+    spec = F.when(daily, at).when(weekly.isNotNull(), F.concat_ws(" ", weekly, at)).when(once.isNotNull(), F.concat_ws(" ", F.date_format(once, "M/d"), at)).otherwise(at)
+    passed = ~daily & weekly.isNull() & once.isNull() & (at < F.date_format(now, "HH:mm"))
+    return F.when(at.isNotNull(), F.struct(spec.alias("spec"), passed.alias("passed")))
+
+
 def iso_week(day: Column) -> Column:
     """X11: YYYY-Wnn by the ISO calendar, whose year may differ from the date's."""
     return F.format_string("%d-W%02d", F.extract(F.lit("yearofweek"), day), F.weekofyear(day))

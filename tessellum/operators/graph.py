@@ -200,3 +200,38 @@ def strongly_connected(edges: DataFrame, trims: int = 2, small: int = 100_000) -
 def acyclic(calls: DataFrame) -> DataFrame:
     """Functions that reach themselves through calls (src, dst), over cycles of any length; a sound call graph has none."""
     return strongly_connected(calls).select(F.col("node").alias("src"))
+
+
+def walk(edges: DataFrame, anchors: DataFrame, soft: int = 5, hard: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(states, clues) of a walk that knows which way it goes.
+
+    edges: (src, dst, way, reason), way being up, down or parallel and reason why such a step may find what a
+    shorter one does not; anchors: (node). A state is a node with the way of the step that led to it. states:
+    (node, way, hop, path); of the paths of the fewest hops the least is kept, from its anchor on. A step past
+    `soft` hops needs a reason, none goes past `hard`. clues: (node, way, hop, path, reason, stop), the states
+    that were left out, with the hop they would have had and the stop, soft or hard, that held them back.
+    Edges with a null end or way are none; of repeated ones the greatest reason counts. Edges are dealt by no key, so
+    a node with very many is no task of its own; each round joins the new states alone.
+    """
+    plain = stored(edges.where("src is not null and dst is not null and way is not null").groupBy("src", "dst", "way").agg(F.max("reason").alias("reason")))
+    way = F.lit("anchor")
+    seen = frontier = stored(anchors.where("node is not null").select("node", way.alias("way")).distinct().withColumn("hop", F.lit(0)).withColumn("path", F.array(F.struct("node", "way"))))
+    left = None
+    for hop in range(1, hard + 2):
+        to = frontier.select(F.col("node").alias("_from"), "path").join(plain, F.col("_from") == F.col("src"))
+        to = to.select(F.col("dst").alias("node"), "way", F.lit(hop).alias("hop"), F.concat("path", F.array(F.struct(F.col("dst").alias("node"), "way"))).alias("path"), "reason")
+        if hop > soft:
+            held = to if hop > hard else to.where("reason is null")
+            held = stored(held.groupBy("node", "way", "hop").agg(F.min(F.struct("path", "reason")).alias("x")).select("node", "way", "hop", "x.path", "x.reason").withColumn("stop", F.lit("hard" if hop > hard else "soft")))
+            left = held if left is None else left.unionByName(held)
+            to = to.where("reason is not null")
+        if hop > hard:
+            break
+        frontier = stored(to.groupBy("node", "way", "hop").agg(F.min("path").alias("path")).join(seen.select("node", "way"), ["node", "way"], "left_anti").select("node", "way", "hop", "path"))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    if left is None:
+        left = seen.where("false").select("*", F.lit(None).cast("string").alias("reason"), F.lit("soft").alias("stop"))
+    first = left.groupBy("node", "way").agg(F.min(F.struct("hop", "path", "reason", "stop")).alias("x")).select("node", "way", "x.*")
+    return seen, first.join(seen.select("node", "way"), ["node", "way"], "left_anti")

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from tessellum.functions.scalar import cut, iso_week, month_of, next_review, report_line, slug
 
 
+#: Fixed values, K05: the sections of a changelog by priority.
+SECTIONS = {"P0": "实时推送", "P1": "日报告", "P2": "仅 changelog"}
+
+
 def card_keys(cards: DataFrame, title: str = "title", day: str = "date", order: str = "id") -> DataFrame:
     """YYYY-MM-DD-slug names; of equal ones the second gets -2, and so on."""
     base = F.concat_ws("-", F.date_format(day, "yyyy-MM-dd"), slug(F.col(title)))
@@ -56,6 +60,30 @@ def changelog(changes: DataFrame) -> DataFrame:
     return rows.select("run_ts", F.concat_ws("\n", head, F.array_join("lines", "\n")).alias("text"))
 
 
+def changelog_lines(changes: DataFrame, waiting: DataFrame, title: str = "sweep") -> DataFrame:
+    """A run's paragraph as (run_ts, section, entity, line), in that order; no run is gathered in one row.
+
+    changes: (run_ts, priority, action, entity, old, new, impact); waiting: (run_ts, entity, streak), variables with one
+    verdict fewer than it takes. Section 0 is the heading and the summary, 1 to 3 are the priorities, 4 is what waits;
+    a section without entries has no heading. Changes of another priority count in the sum alone. A null old value is a dash.
+    """
+    counts = changes.groupBy("run_ts").agg(F.count("*").alias("n"), *(F.count_if(F.col("priority") == p).alias(p) for p in SECTIONS))
+    waits = waiting.groupBy("run_ts").agg(F.count("*").alias("waits"))
+    runs = counts.join(waits, "run_ts", "full").fillna(0, ["n", "waits", *SECTIONS])
+    total = F.format_string("**汇总**：变更 %d 条（P0 ×%d，P1 ×%d，P2 ×%d）", "n", *SECTIONS)
+    heads = [F.struct(F.lit(0).alias("section"), F.concat(F.lit("## "), "run_ts", F.lit(f" · {title}\n\n"), total).alias("line"))]
+    heads += [F.when(F.col(p) > 0, F.struct(F.lit(i).alias("section"), F.lit(f"#### {p} {name}").alias("line"))) for i, (p, name) in enumerate(SECTIONS.items(), 1)]
+    heads += [F.when(F.col("waits") > 0, F.struct(F.lit(4).alias("section"), F.lit("#### 待二次确认").alias("line")))]
+    head = runs.select("run_ts", F.explode(F.array_compact(F.array(*heads))).alias("x")).select("run_ts", "x.section", F.lit(None).cast("string").alias("entity"), "x.line")
+    old, new = (F.coalesce(c, F.lit("-")) for c in ("old", "new"))
+    named = F.concat(F.lit("- `"), F.coalesce("action", F.lit("-")), F.lit(" "), F.coalesce("entity", F.lit("-")), F.lit("`"))
+    urgent = F.concat(named, F.lit("\n  旧: "), old, F.lit(" / 新: "), new, F.coalesce(F.concat(F.lit("\n  影响: "), "impact"), F.lit("")))
+    section = F.when(F.col("priority") == "P0", 1).when(F.col("priority") == "P1", 2).when(F.col("priority") == "P2", 3)
+    body = changes.select("run_ts", section.alias("section"), "entity", F.when(F.col("priority") == "P0", urgent).otherwise(F.concat(named, F.lit(" "), old, F.lit(" → "), new)).alias("line")).where("section is not null")
+    rest = waiting.select("run_ts", F.lit(4).alias("section"), "entity", F.format_string("- %s（连续 %d 次判定失效，待第 %d 次确认）", "entity", "streak", F.col("streak") + 1).alias("line"))
+    return head.unionByName(body).unionByName(rest)
+
+
 def new_issues(found: DataFrame, still_open: DataFrame) -> DataFrame:
     """Issues not open already."""
     return found.join(still_open.select("issue").distinct(), "issue", "left_anti")

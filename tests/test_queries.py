@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from tests.conftest import DATA
-from tessellum.plans import hygiene, matching, notes, queries  # noqa: F401
+from tessellum.plans import hygiene, lookup, matching, notes, queries  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
