@@ -78,8 +78,8 @@ def templates(rows: DataFrame, support: int = SUPPORT, share: float = SHARE) ->
     return spark.read.schema(schema).parquet(*parts).where("ended").drop("segments", "ended")
 
 
-def merged(branches: pd.DataFrame, z: float = 1.96) -> pd.DataFrame:
-    """Numbers the groups of branches below one group of nodes, best to worst: a branch whose labelled purity does not differ significantly joins the group before it."""
+def merged(branches: pd.DataFrame, prior: float, weight: float, z: float = 1.96) -> pd.DataFrame:
+    """Numbers the groups of branches below one group of nodes, best to worst: a branch whose labelled purity does not differ significantly joins the group before it. `beside` is what they say of a branch without labels, each of them counting once."""
     rows = sorted(zip(branches["name"], branches["good"].tolist(), branches["labelled"].tolist(), strict=True), key=lambda x: (-x[1] / x[2], x[0]))
     number, g0, n0, groups = -1, 0, 0, []
     for _, g1, n1 in rows:
@@ -89,7 +89,8 @@ def merged(branches: pd.DataFrame, z: float = 1.96) -> pd.DataFrame:
         else:
             number, g0, n0 = number + 1, g1, n1
         groups.append(number)
-    return pd.DataFrame({"b": branches["b"].iloc[0], "name": [r[0] for r in rows], "number": groups})
+    beside = (math.fsum(g / n for _, g, n in rows) + weight * prior) / (len(rows) + weight)
+    return pd.DataFrame({"b": branches["b"].iloc[0], "name": [r[0] for r in rows], "number": groups, "beside": beside})
 
 
 def purities(known: DataFrame, prior: float = PRIOR, weight: float = WEIGHT, least: float = LEAST) -> DataFrame:
@@ -98,7 +99,8 @@ def purities(known: DataFrame, prior: float = PRIOR, weight: float = WEIGHT, lea
     A node has the labels of all templates below it. Siblings whose labelled purities do not differ
     significantly are merged, best to worst, with all that is below them; a branch without labels has
     none that could be compared, so it stays alone. A group's purity is smoothed towards the mean of the
-    group above and the prior. One task of a level sees, of one group of nodes, the counts of its labelled
+    group above and the prior. A branch without labels is judged by its labelled siblings, each branch being one
+    piece of evidence whatever its rows, with the prior; without such siblings it has the purity of the node above. One task of a level sees, of one group of nodes, the counts of its labelled
     branches by name: at most 1 / SHARE literals a node.
     """
     # in a group's name, / parts what a host and a segment cannot hold
@@ -119,9 +121,12 @@ def purities(known: DataFrame, prior: float = PRIOR, weight: float = WEIGHT, lea
         if below.isEmpty():
             break
         branches = below.groupBy(F.col("g").alias("b"), "name").agg(F.sum("good").alias("good"), F.sum("labelled").alias("labelled")).where("labelled > 0")
-        numbered = branches.groupBy("b").applyInPandas(lambda group: merged(group), "b string, name string, number long").withColumnRenamed("name", "branch")
+        numbered = store(branches.groupBy("b").applyInPandas(lambda group: merged(group, prior, weight), "b string, name string, number long, beside double").withColumnRenamed("name", "branch"))
+        siblings = numbered.groupBy(F.col("b").alias("s")).agg(F.max("beside").alias("told")).select("s", "told")
         group = F.when(F.col("number").isNull(), F.concat("g", F.lit("/u/"), "name")).otherwise(F.concat("g", F.lit("/"), "number"))
-        here = store(below.join(numbered, (F.col("g") == F.col("b")) & (F.col("name") == F.col("branch")), "left").select("host", "node", "good", "labelled", "whole", group.alias("g"), ((F.col("purity") + prior) / 2).alias("above")))
+        above = F.when(F.col("number").isNotNull(), (F.col("purity") + prior) / 2).otherwise(F.coalesce("told", "purity"))
+        below = below.join(numbered.drop("beside"), (F.col("g") == F.col("b")) & (F.col("name") == F.col("branch")), "left").join(siblings, F.col("g") == F.col("s"), "left")
+        here = store(below.select("host", "node", "good", "labelled", "whole", group.alias("g"), above.alias("above")))
     return found.where("whole").select("host", F.col("node").alias("template"), "purity", (F.col("purity") < least).alias("rejected"))
 
 

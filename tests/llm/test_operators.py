@@ -296,8 +296,10 @@ def slow_purities(host_templates, prior=urls.PRIOR, weight=urls.WEIGHT, least=ur
                     groups[-1].append(name)
                     continue
             groups.append([name])
-        groups += [[name] for name in sums if not sums[name][1]]
         waiting += [([c for name in group for c in branches[name]], (own + prior) / 2) for group in groups]
+        told = [sums[name][0] / sums[name][1] for name in sums if sums[name][1]]
+        beside = (math.fsum(told) + weight * prior) / (len(told) + weight) if told else own
+        waiting += [(branches[name], beside) for name in sums if not sums[name][1]]
     out = host_templates[["host", "template"]].copy()
     out["purity"] = [purity[t] for t in out["template"]]
     out["rejected"] = out["purity"] < least
@@ -312,6 +314,13 @@ def test_template_tree(spark):
     assert urls.purities(rows.limit(0)).count() == 0
 
 
+def test_unlabelled_branches(spark):
+    bad = [(f"h{k}", f"/b{i}/*", 0, 500) for k in (1, 2, 7) for i in range(k)]
+    rows = [(h, t, 0, 0) for h in ("h1", "h2", "h7") for t in ("/new", "/new/*/**")] + [("g", "/new/*", 0, 0)] + bad + [("m", f"/b{i}", 500 * (i % 2), 500) for i in range(8)] + [("m", "/new", 0, 0)]
+    found = urls.purities(spark.createDataFrame(rows, "host string, template string, good long, labelled long")).where("template like '/new%'").toPandas()
+    assert {(r.host, r.template): r.rejected for r in found.itertuples()} == {(h, t): h == "h7" for h, t in found[["host", "template"]].itertuples(index=False)} and len(found) == 8
+
+
 def test_purities_equal_a_slow_tree(spark):
     rng = random.Random(12)
     rows = {}
