@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellum.functions.scalar import cut, iso_week, month_of, next_review, report_line, slug
+from tessellum.functions.scalar import cut, deferred, iso_week, month_of, next_review, report_line, slug
 
 
 #: Fixed values, K05: the sections of a changelog by priority.
@@ -106,16 +106,26 @@ def retry(status: Column, attempt: Column) -> Column:
     return F.when(status.between(200, 299), "sent").when(status.isin(401, 403), "refused").when(attempt < 2, "retry_in_3s").otherwise("failed")
 
 
-def push(send: Callable[[str], int] | None = None, wait: float = 3.0) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that tries once more after `wait` seconds unless refused (retry()); without a sender, and by default, nothing leaves."""
+def push(send: Callable[[str], int] | None = None, wait: float = 3.0, log: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that tries once more after `wait` seconds unless refused (retry()); without a sender, and by default, nothing leaves.
 
-    def batch(rows: DataFrame, _: int) -> None:
-        if send is not None:
-            for row in rows.select("text").toLocalIterator():
-                status = send(row["text"])
-                if status not in range(200, 300) and status not in (401, 403):
-                    time.sleep(wait)
-                    send(row["text"])
+    Into `log` go (text, attempts, outcome) of each message, in a folder for each batch, which a batch that comes again writes over;
+    outcome is sent, refused or failed. Messages go out one by one, so a batch's outcomes are as few as its messages.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        if send is None:
+            return
+        outcomes = []
+        for row in rows.select("text").toLocalIterator():
+            status, attempts = send(row["text"]), 1
+            if status not in range(200, 300) and status not in (401, 403):
+                time.sleep(wait)
+                status, attempts = send(row["text"]), 2
+            outcomes.append((row["text"], attempts, status))
+        if log is not None:
+            told = rows.sparkSession.createDataFrame(outcomes, "text string, attempts int, status int")
+            told.select("text", "attempts", retry(F.col("status"), F.col("attempts")).alias("outcome")).write.mode("overwrite").parquet(f"{log}/batch={number}")
 
     return batch
 
@@ -165,6 +175,24 @@ def weekly_archive(todos: DataFrame, day: str = "completed") -> DataFrame:
     return done.withColumn("week", iso_week(F.col(day))).withColumn("iso_year", F.extract(F.lit("yearofweek"), F.col(day))).withColumn("iso_week", F.weekofyear(day))
 
 
+def closed_week(todos: DataFrame, taken: DataFrame, as_of: Column) -> DataFrame:
+    """Each item with its `place` when the week is closed, and the archive's `file`, null for what stays active.
+
+    todos: (done, long_term, created and others); taken: (name) of archive files. Finished items go to the archive as done; unfinished ones
+    that are not long-term go as deferred if created before this week's Monday; the rest stays active, as does everything where
+    nothing is finished. The file is the week's name, or with the first of -2, -3 and so on that is not taken. Null flags are false,
+    an item without a day of creation stays.
+    """
+    week, n = iso_week(as_of), F.nullif(F.regexp_extract("name", r"^\d{4}-W\d{2}-(\d{1,8})$", 1), F.lit("")).cast("int")
+    held = taken.where(F.col("name").rlike(r"^\d{4}-W\d{2}(-\d{1,8})?$") & (F.substring("name", 1, 8) == week)).select(F.coalesce(n, F.lit(1)).alias("n")).distinct()
+    free = held.selectExpr("n + 1 as n").unionByName(todos.sparkSession.range(1, 2).selectExpr("cast(id as int) as n")).join(held, "n", "left_anti").agg(F.min("n").alias("n"))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    one = free.select(F.when(F.col("n") == 1, week).otherwise(F.concat_ws("-", week, "n")).alias("_file")).crossJoin(todos.agg(F.coalesce(F.bool_or("done"), F.lit(False)).alias("_any")))
+    place = F.when(~F.col("_any"), "active").when(flag("done"), "done").when(~flag("long_term") & deferred(F.col("created"), as_of), "deferred").otherwise("active")
+    rows = todos.crossJoin(F.broadcast(one)).withColumn("place", place)  # one row
+    return rows.withColumn("file", F.when(F.col("place") != "active", F.col("_file"))).drop("_file", "_any")
+
+
 def delta(previous: DataFrame, current: DataFrame, key: str = "item") -> DataFrame:
     """Each item of two reports: added, gone, revised or still valid."""
     both = previous.select(key, F.col("value").alias("old")).join(current.select(key, F.col("value").alias("new")), key, "full")

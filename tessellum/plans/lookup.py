@@ -9,8 +9,10 @@ from tessellum.functions import scalar as X
 from tessellum.operators import graph as G
 from tessellum.operators import index as I
 from tessellum.operators import sinks as K
+from tessellum.plans import verbs
+from tessellum.plans.matching import spaced_sql
 from tessellum.plans.notes import folder
-from tessellum.plans.queries import HIT, query, table
+from tessellum.plans.queries import HIT, day, query, table
 
 SOUGHT = ("that", "src3", "tion the", "conversation about something")
 
@@ -84,3 +86,22 @@ def changelog_sections(spark, sf_dir):
     """The lines of a run's paragraph, section by section."""
     rows = table(spark, sf_dir, "orders").selectExpr("date_format(o_orderdate, 'yyyy-MM-dd') as run_ts", "concat('P', o_orderkey % 4) as priority", "'auto-state' as action", "concat('v', o_orderkey) as entity", "o_orderstatus as old", "nullif(o_orderpriority, '5-LOW') as new", "cast(o_custkey as string) as impact", "o_orderkey % 7 = 0 as waits")
     return K.changelog_lines(rows.drop("waits"), rows.where("waits").select("run_ts", "entity", F.lit(2).alias("streak"))).withColumn("section", F.col("section").cast("int"))
+
+
+@query(f"""WITH e AS (SELECT doc_id AS event, lang, {spaced_sql('text')} AS t FROM documents), l(lens, domain, word) AS (VALUES ('a', 'en', 'the'), ('a', 'en', 'of the'), ('b', 'en', 'tion'), ('c', 'en', 'ing'), ('d', 'fr', 'que'), ('d', 'fr', 'er'), ('e', 'de', 'ed')),
+m AS (SELECT event, lang, lens, domain, count(*) AS met FROM e JOIN l ON contains(t, ' ' || word || ' ') GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY event ORDER BY met DESC, lens) AS k FROM m),
+f AS (SELECT event, min(k) AS first FROM r WHERE domain IS DISTINCT FROM lang GROUP BY 1)
+SELECT event, lens, met FROM r LEFT JOIN f USING (event) WHERE k <= CASE WHEN coalesce(first <= 2, true) THEN 2 ELSE 1 END OR (first > 2 AND k = first)""")
+def lens_of_other_domain(spark, sf_dir):
+    """The verb's two best lenses of a document, one at least of another language than its own."""
+    lenses = spark.createDataFrame([("a", "en", ["the", "of the"]), ("b", "en", ["tion"]), ("c", "en", ["ing"]), ("d", "fr", ["que", "er"]), ("e", "de", ["ed"])], "lens string, domain string, signals array<string>")
+    return verbs.lens(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event"), "text", F.col("lang").alias("domain")), lenses, 2).select("event", "lens", "met")
+
+
+@query("""WITH t AS (SELECT o_orderkey AS id, o_orderstatus = 'F' AS done, o_orderkey % 5 = 0 AS long_term, CAST(o_orderdate AS DATE) AS created FROM orders)
+SELECT id, CASE WHEN done THEN 'done' WHEN NOT long_term AND created < DATE '1998-06-29' THEN 'deferred' ELSE 'active' END AS place, CASE WHEN done OR (NOT long_term AND created < DATE '1998-06-29') THEN '1998-W27-3' END AS file FROM t""")
+def week_closed(spark, sf_dir):
+    """Orders as todos; the week's first two names are taken, and a later one."""
+    todos = table(spark, sf_dir, "orders").selectExpr("o_orderkey as id", "o_orderstatus = 'F' as done", "o_orderkey % 5 = 0 as long_term", "to_date(o_orderdate) as created")
+    taken = spark.createDataFrame([("1998-W27",), ("1998-W27-2",), ("1998-W27-4",), ("1998-W26-3",), ("notes",)], "name string")
+    return K.closed_week(todos, taken, day("1998-07-01")).select("id", "place", "file")

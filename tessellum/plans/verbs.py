@@ -81,9 +81,13 @@ def learn(docs: DataFrame) -> DataFrame:
     return sinks.learning_plan(windows.stage_capped(ranking.staged(docs)))
 
 
-def lens(events: DataFrame, lenses: DataFrame) -> DataFrame:
-    """lens: lenses that an event's words call for, the best five."""
-    return windows.top_per_group(joins.matched_lenses(events, lenses), "event", F.col("met").desc(), F.col("lens"))
+def lens(events: DataFrame, lenses: DataFrame, most: int = 5) -> DataFrame:
+    """lens: lenses that an event's words call for, the best few; where both tables tell a `domain`, one at least is of another domain than the event's, if any fits."""
+    met = joins.matched_lenses(events, lenses)
+    if "domain" not in lenses.columns or "domain" not in events.columns:
+        return windows.top_per_group(met, "event", F.col("met").desc(), F.col("lens"), most=most)
+    met = met.join(lenses.groupBy("lens").agg(F.min("domain").alias("domain")), "lens").join(events.groupBy("event").agg(F.min("domain").alias("own")), "event")
+    return ranking.across_domains(met.withColumnRenamed("met", "tier"), most).withColumnRenamed("tier", "met")
 
 
 def mine(edges: DataFrame, anchors: DataFrame, mechanisms: list[DataFrame]) -> DataFrame:

@@ -98,3 +98,21 @@ def test_changelog_lines(spark):
     expected += [("r2", "## r2 · sweep\n\n**汇总**：变更 1 条（P0 ×0，P1 ×0，P2 ×0）"), ("r3", "## r3 · sweep\n\n**汇总**：变更 0 条（P0 ×0，P1 ×0，P2 ×0）"), ("r3", "#### 待二次确认"), ("r3", "- V302（连续 2 次判定失效，待第 3 次确认）")]
     assert [(r["run_ts"], r["line"]) for r in found] == expected
     assert K.changelog_lines(changes.limit(0), waiting.limit(0)).count() == 0
+
+
+def test_push_tells_outcomes(spark, tmp_path):
+    answers = {"a": [200], "b": [500, 201], "c": [500, 500], "d": [403]}
+    rows, log, left = spark.createDataFrame([(t,) for t in answers], "text string"), str(tmp_path / "log"), {}
+    for _ in range(2):  # a batch that comes again leaves one copy
+        left.update({k: list(v) for k, v in answers.items()})
+        K.push(lambda text: left[text].pop(0), 0.0, log)(rows, 7)
+    assert sorted((r["text"], r["attempts"], r["outcome"]) for r in spark.read.parquet(log).collect()) == [("a", 1, "sent"), ("b", 2, "sent"), ("c", 2, "failed"), ("d", 1, "refused")]
+
+
+def test_closed_week(spark):
+    todos = spark.createDataFrame([(1, True, False, "2026-05-01"), (2, False, False, "2026-05-17"), (3, False, False, "2026-05-18"), (4, False, True, "2026-01-01"), (5, None, None, None)], "id long, done boolean, long_term boolean, created string")
+    at, names = F.lit("2026-05-20").cast("date"), spark.createDataFrame([("2026-W21-2",), ("2026-W21-99999999999",), (None,)], "name string")
+    found = {r["id"]: (r["place"], r["file"]) for r in K.closed_week(todos, names, at).collect()}
+    assert found == {1: ("done", "2026-W21"), 2: ("deferred", "2026-W21"), 3: ("active", None), 4: ("active", None), 5: ("active", None)}
+    assert {r["place"] for r in K.closed_week(todos.where("id > 1"), names, at).collect()} == {"active"}
+    assert K.closed_week(todos.limit(0), names, at).count() == 0
