@@ -26,6 +26,8 @@ from tessellum.operators.windows import top_per_group
 TIGHT, WIDE = (8, 4), (32, 16)
 #: Buckets of terms, and files that the postings of a bucket are dealt to by document, as a frequent word fills one bucket.
 BUCKETS, SPREAD = 64, 4
+#: Bits that one column of a document's marks holds.
+BITS = 60
 PIECE = rf"{UNSEGMENTED}+|[^\s{UNSEGMENTED[1:-1]}]+"
 _PIECE = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), PIECE))
 _TIGHT = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), UNSEGMENTED))
@@ -82,12 +84,20 @@ def pieces_of(word: str) -> tuple[list[str], bool]:
 
 
 def looked_up(spark: SparkSession, folder: str, words: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """(term, bucket, word, part): the index's terms that hold a part of a word, numbers from 0; read from the terms alone."""
-    parts = [(w, p, piece) for w, word in enumerate(words) for p, piece in enumerate(pieces_of(word)[0])]
+    """(term, bucket, slot): the index's terms that hold a part of a word, parts of all words numbered from 0; read from the terms alone."""
+    parts = [piece for word in words for piece in pieces_of(word)[0]]
     terms = spark.read.schema("term string, day string").parquet(f"{folder}/terms").select("term").distinct()
-    held = F.array(*(F.when(F.col("term").contains(piece), F.struct(F.lit(w).alias("word"), F.lit(p).alias("part"))) for w, p, piece in parts))
-    rows = terms.where(reduce(lambda a, b: a | b, (F.col("term").contains(piece) for *_, piece in parts)))
-    return rows.select("term", bucket_of(F.col("term"), buckets).alias("bucket"), F.explode(F.array_compact(held)).alias("x")).select("term", "bucket", "x.*")
+    held = F.array(*(F.when(F.col("term").contains(piece), F.lit(slot)) for slot, piece in enumerate(parts)))
+    rows = terms.where(reduce(lambda a, b: a | b, (F.col("term").contains(piece) for piece in parts)))
+    return rows.select("term", bucket_of(F.col("term"), buckets).alias("bucket"), F.explode(F.array_compact(held)).alias("slot"))
+
+
+def marks(bits: list[int]) -> Column:
+    """Whether all of these bits are set; BITS of them are in each of the columns m0, m1 and so on."""
+    masks: dict[int, int] = {}
+    for bit in bits:
+        masks[bit // BITS] = masks.get(bit // BITS, 0) | 1 << bit % BITS
+    return reduce(lambda x, y: x & y, (F.col(f"m{j}").bitwiseAND(F.lit(mask)) == mask for j, mask in masks.items()))
 
 
 def find(spark: SparkSession, folder: str, words: list[str], most: int = 5, areas: dict[str, DataFrame] | None = None, buckets: int = BUCKETS) -> DataFrame:
@@ -107,18 +117,24 @@ def find(spark: SparkSession, folder: str, words: list[str], most: int = 5, area
     tagged = spark.createDataFrame(list(enumerate(words)), "word int, tag string").select("word", "tag", bucket_of(F.col("tag"), buckets).alias("bucket"))
     read = sorted({r["bucket"] for r in matched.select("bucket").union(tagged.select("bucket")).distinct().collect()})  # at most `buckets` numbers
     postings = spark.read.schema(POSTINGS).parquet(f"{folder}/postings").where(F.col("bucket").isin(read))
-    hits = postings.where("field <> 'tag'").join(matched, ["bucket", "term"]).select("area", "path", "day", "field", "word", "part")
-    by_tag = postings.where("field = 'tag'").join(tagged, (F.col("term") == F.col("tag"))).select("area", "path", "day", "field", "word", F.lit(0).alias("part"))
-    hits = current(spark, folder, hits.unionByName(by_tag)).distinct()
-    need = F.element_at(F.array(*(F.lit(len(parts)) for parts, _ in kinds)), F.col("word") + 1)
-    whole = hits.groupBy("area", "path", "field", "word").agg(F.count("*").alias("parts")).where((F.col("field") == "tag") | (F.col("parts") == need)).drop("parts")
+    # each part of a word has a bit for titles and one for bodies, each word one for tags; a document's bits are gathered in one exchange
+    first = [sum(len(parts) for parts, _ in kinds[:w]) for w in range(len(words) + 1)]
+    bit = F.col("slot") * 2 + F.when(F.col("field") == "body", 1).otherwise(0)
+    hits = postings.where("field <> 'tag'").join(matched, ["bucket", "term"]).select("area", "path", "day", bit.alias("bit"))
+    by_tag = postings.where("field = 'tag'").join(tagged, F.col("term") == F.col("tag")).select("area", "path", "day", (F.col("word") + 2 * first[-1]).alias("bit"))
+    set_ = [F.bit_or(F.expr(f"if(bit div {BITS} = {j}, shiftleft(1L, cast(bit % {BITS} as int)), 0L)")).alias(f"m{j}") for j in range((2 * first[-1] + len(words) - 1) // BITS + 1)]
+    docs = current(spark, folder, hits.unionByName(by_tag).groupBy("area", "path", "day").agg(*set_))
+    kept = [(w, field, weight, marks([2 * slot + (field == "body") for slot in range(first[w], first[w + 1])])) for w in range(len(words)) for field, weight in (("title", TITLE), ("body", BODY))]
+    sure = [F.when(marks([2 * first[-1] + w]), TAG).otherwise(0) for w in range(len(words))] + [F.when(found, weight).otherwise(0) for w, _, weight, found in kept if w not in unsure]
+    if unsure:
+        docs = stored(docs)
+    scored = docs.select("area", "path", reduce(lambda x, y: x + y, sure).alias("score"))
     if unsure:
-        open_ = F.col("word").isin(unsure) & (F.col("field") != "tag")
-        whole = stored(whole)
-        whole = whole.where(~open_).unionByName(verified(whole.where(open_), words, areas))
-    weight = F.when(F.col("field") == "tag", TAG).when(F.col("field") == "title", TITLE).otherwise(BODY)
-    scored = whole.groupBy("area", "path").agg(F.sum(weight).cast("int").alias("score"))
-    return top_per_group(scored, "area", F.col("score").desc(), F.col("path"), most=most)
+        open_ = [F.when(found, F.struct(F.lit(field).alias("field"), F.lit(w).alias("word"))) for w, field, _, found in kept if w in unsure]
+        candidates = docs.select("area", "path", F.explode(F.array_compact(F.array(*open_))).alias("x")).select("area", "path", "x.*")
+        more = verified(candidates, words, areas).select("area", "path", F.when(F.col("field") == "title", TITLE).otherwise(BODY).alias("score"))
+        scored = scored.where("score > 0").unionByName(more).groupBy("area", "path").agg(F.sum("score").cast("int").alias("score"))
+    return top_per_group(scored.where("score > 0"), "area", F.col("score").desc(), F.col("path"), most=most)
 
 
 def current(spark: SparkSession, folder: str, hits: DataFrame) -> DataFrame:
