@@ -150,16 +150,16 @@ def across(named: DataFrame, signed: DataFrame, texts: DataFrame, percent: int)
 def linked(signed: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the lines that are linked with others."""
     bands = signed.select(F.explode("keys").alias("key"), "n", "weight")
-    shared = store(bands.groupBy("key").agg(F.min("n").alias("low"), F.max("n").alias("high")).where("low < high").select(F.col("key").alias("k")))
-    met = in_map(shared.select(F.col("k").alias("key")), bands, "key")
-    members = store(met.join(shared.select(separate("k").alias("k")), F.col("key") == F.col("k"), "left_semi"))
+    ends = bands.groupBy("key").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max_by("n", "weight").alias("a"))
+    leads = store(ends.where("low < high").select(F.col("key").alias("k"), "a"))
+    met = in_map(leads.select(F.col("k").alias("key")), bands.select("key", "n"), "key")
+    members = store(met.join(leads.select(separate("k").alias("k"), "a"), F.col("key") == F.col("k")).select("key", "n", "a"))
     own = members.select(F.col("n").alias("m")).distinct()
     ids = store(signed.select("n", "c", "e", "place").join(own, F.col("n") == F.col("m"), "left_semi").select("n", F.col("c").alias("c2"), F.col("e").alias("e2"), F.col("place").alias("first")))
     near = in_map(ids.select(F.col("c2").alias("c")), lines.select("c", "e", "line", place().alias("place")), "c")
     near = near.join(ids, (F.col("c") == F.col("c2")) & (F.col("e") == F.col("e2")) & F.col("place").eqNullSafe(F.col("first")))
     texts = store(near.select("n", "line").dropDuplicates(["n"]))
-    leads = members.groupBy("key").agg(F.max(F.struct("weight", "n")).alias("x")).select(separate("key").alias("k"), F.col("x.n").alias("a"))
-    led = store(members.join(leads, F.col("key") == F.col("k")).where("n <> a").select("key", "n", "a"))
+    led = members.where("n <> a")
     pairs = store(led.select(F.least("a", "n").alias("a"), F.greatest("a", "n").alias("b")).distinct())
     links = store(confirmed(store(possible(pairs, mapped(texts), percent)), texts, percent))
     groups = store(components(links))
