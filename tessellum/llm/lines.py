@@ -34,9 +34,24 @@ def points(n: int) -> list[int]:
     return [(_ODD * (2 * k + 1)) % (1 << 64) - (1 << 63) for k in range(n)]
 
 
-def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, t, line_no, line, c, e), t being the whole text's hash and c, e two of the line's, of lines that hold more than white space."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
+def told_apart(docs: DataFrame, id_col: str, row: str) -> tuple[DataFrame, bool]:
+    """docs with a column `row`, and whether any has one: null where a row's id is its own, else a number.
+
+    Rows that share an id or have none are stored with their numbers, so that these hold for good.
+    """
+    key, own = fresh(docs, "key", "own")
+    ids = docs.select(F.col(id_col).cast("long").alias(own))
+    ids = store(ids.groupBy(own).agg(F.count("*").alias("rows")).where(F.col(own).isNull() | (F.col("rows") > 1)).select(F.col(own).alias(key)))
+    if ids.isEmpty():
+        return docs.withColumn(row, F.lit(None).cast("long")), False
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(key))
+    shared = store(docs.join(ids, same, "left_semi").withColumn(row, F.monotonically_increasing_id()))
+    return docs.join(ids, same, "left_anti").withColumn(row, F.lit(None).cast("long")).unionByName(shared), True
+
+
+def split_lines(docs: DataFrame, id_col: str, text_col: str, row: str) -> DataFrame:
+    """(doc_id, r, line_no, line, c, e), r being the row's number and c, e two hashes of the line, of lines that hold more than white space."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(row).alias("r"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
     rows = rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     return rows.withColumn("c", F.xxhash64("line")).withColumn("e", F.xxhash64(F.lit(7), "line"))
 
@@ -147,8 +162,8 @@ def across(named: DataFrame, signed: DataFrame, texts: DataFrame, percent: int)
     return rows.join(other, F.expr(meets)).selectExpr("n as a", "n_ as b")
 
 
-def linked(signed: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of the lines that are linked with others."""
+def linked(signed: DataFrame, lines: DataFrame, percent: int, shared: bool) -> DataFrame:
+    """(node, component) of the lines that are linked with others; shared: several lines may have one place."""
     bands = signed.select(F.explode("keys").alias("key"), "n", "weight")
     ends = bands.groupBy("key").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max_by("n", "weight").alias("a"))
     leads = store(ends.where("low < high").select(F.col("key").alias("k"), "a"))
@@ -158,7 +173,8 @@ def linked(signed: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     ids = store(signed.select("n", "c", "e", "place").join(own, F.col("n") == F.col("m"), "left_semi").select("n", F.col("c").alias("c2"), F.col("e").alias("e2"), F.col("place").alias("first")))
     near = in_map(ids.select(F.col("c2").alias("c")), lines.select("c", "e", "line", place().alias("place")), "c")
     near = near.join(ids, (F.col("c") == F.col("c2")) & (F.col("e") == F.col("e2")) & F.col("place").eqNullSafe(F.col("first")))
-    texts = store(near.select("n", "line").dropDuplicates(["n"]))
+    near = near.select("n", "line")
+    texts = store(near.dropDuplicates(["n"]) if shared else near)
     led = members.where("n <> a")
     pairs = store(led.select(F.least("a", "n").alias("a"), F.greatest("a", "n").alias("b")).distinct())
     links = store(confirmed(store(possible(pairs, mapped(texts), percent)), texts, percent))
@@ -179,43 +195,60 @@ def line_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     the component's least (doc_id, line_no), and kept marks that line. Lines are numbered from 0.
     Lines that share a band are first compared with the most frequent line of each of their bands, and then, in bands
     that still hold several components, all those of different components whose sketches do not rule a link out. Null texts and blank lines give no rows.
-    A line of a null id is never first unless all of its component are; rows that repeat a document
-    share its lines. An empty table gives no rows; very long lines count whole, and other columns of docs play no part.
+    A line of a null id is never first unless all of its component are; of rows that share an id or have none, and
+    of lines that share the first place through them, one line of one row is kept, never more. An empty table gives no
+    rows; very long lines count whole, and other columns of docs play no part.
     """
-    return grouped(docs, id_col, text_col, percent).drop("t")
+    row = fresh(docs, "row")[0]
+    told, shared = told_apart(docs.select(id_col, text_col), id_col, row)
+    return grouped(told, id_col, text_col, percent, row, shared).drop("r")
 
 
-def grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """line_components() with the hash t of each line's whole text."""
+def grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, row: str, shared: bool) -> DataFrame:
+    """line_components() of rows told apart, with each row's number r."""
     ready_to_checkpoint(docs.sparkSession)
-    lines = split_lines(docs, id_col, text_col)
+    lines = split_lines(docs, id_col, text_col, row)
     signed = signatures(lines)
-    groups = store(linked(signed, lines, percent))
+    groups = store(linked(signed, lines, percent, shared))
     owned = store(signed.select("n", "c", "e", "place").join(groups, F.col("n") == F.col("node")).select("component", "c", "e", "place"))
     first = owned.groupBy("component").agg(F.min("place").alias("first")).select(separate("component").alias("k"), "first")
-    moved = owned.join(first, F.col("component") == F.col("k")).select("c", "e", "first")
+    moved = owned.join(first, F.col("component") == F.col("k")).select("c", "e", "component", "first")
     # lines that occur once and are linked with none are their own first
-    rest = signed.where("weight > 1").select("n", "c", "e", "place").join(groups, F.col("n") == F.col("node"), "left_anti").select("c", "e", F.col("place").alias("first"))
-    named = moved.unionByName(rest).select(F.col("c").alias("c2"), F.col("e").alias("e2"), "first")
-    found = lines.select("c", "e", "doc_id", "t", "line_no", place().alias("place")).join(named, (F.col("c") == F.col("c2")) & (F.col("e") == F.col("e2")), "left")
-    found = found.withColumn("first", F.coalesce("first", "place"))
+    rest = signed.where("weight > 1").select("n", "c", "e", "place").join(groups, F.col("n") == F.col("node"), "left_anti").select("c", "e", F.col("n").alias("component"), F.col("place").alias("first"))
+    named = moved.unionByName(rest).select(F.col("c").alias("c2"), F.col("e").alias("e2"), "component", "first")
+    if shared:
+        named = store(named)
+    found = placed(lines, named)
+    kept = F.col("place").eqNullSafe(F.col("first"))
+    if shared:
+        # the rows that share an id or have none may hold several lines of one first place
+        turn = F.expr("cast(cast(r as decimal(20, 0)) * 10000000000BD + line_no as decimal(38, 0))")
+        best = placed(lines.where("r is not null"), named).where(kept & F.col("component").isNotNull()).groupBy(F.col("component").alias("k")).agg(F.min(turn).alias("turn"))
+        found = found.join(best, F.col("component") == F.col("k"), "left")
+        kept = kept & F.coalesce(turn == F.col("turn"), F.lit(True))
     ten = "10000000000BD"
-    return found.select("doc_id", "t", "line_no", F.expr(f"cast(floor(first / {ten}) as long)").alias("first_doc"), F.expr(f"cast(pmod(first, {ten}) as int)").alias("first_no"), F.expr("coalesce(place = first, first is null)").alias("kept"))
+    return found.select("doc_id", "r", "line_no", F.expr(f"cast(floor(first / {ten}) as long)").alias("first_doc"), F.expr(f"cast(pmod(first, {ten}) as int)").alias("first_no"), kept.alias("kept"))
+
+
+def placed(lines: DataFrame, named: DataFrame) -> DataFrame:
+    """Lines with their place, their component (null of a line that is alone) and its first place."""
+    found = lines.select("c", "e", "doc_id", "r", "line_no", place().alias("place")).join(named, (F.col("c") == F.col("c2")) & (F.col("e") == F.col("e2")), "left")
+    return found.withColumn("first", F.when(F.col("c2").isNull(), F.col("place")).otherwise(F.col("first")))
 
 
 def dedupe(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents with one line of each component left; columns as before, whatever their names.
 
     A document that had lines and keeps none goes; blank lines of others stay, as do documents without
-    lines (null or empty texts). A column `n_chars`, if there, is counted anew. Rows are told apart by id and text, null
-    ids included: rows that share an id or have none lose only lines of their own, and rows that repeat both lose the same.
-    An empty table stays empty.
+    lines (null or empty texts). A column `n_chars`, if there, is counted anew. Rows that share an id, have none or
+    repeat wholly are rows of their own: of each component one line of one row stays. An empty table stays empty.
     """
-    doc, t, gone_lines, own, parts, new = fresh(docs, "doc", "t", "gone", "own", "parts", "new")
-    gone = grouped(docs, id_col, text_col, percent).where("not kept")
-    gone = gone.groupBy(F.col("doc_id").alias(doc), F.col("t").alias(t)).agg(F.collect_set("line_no").alias(gone_lines))
-    rows = docs.withColumn(own, F.xxhash64(text_col)).withColumn(parts, F.split(text_col, "\n")).drop(text_col)
-    rows = rows.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(t)), "left")
+    doc, r, row, gone_lines, parts, new = fresh(docs, "doc", "r", "row", "gone", "parts", "new")
+    told, shared = told_apart(docs, id_col, row)
+    gone = grouped(told, id_col, text_col, percent, row, shared).where("not kept")
+    gone = gone.groupBy(F.col("doc_id").alias(doc), F.col("r").alias(r)).agg(F.collect_set("line_no").alias(gone_lines))
+    rows = told.withColumn(parts, F.split(text_col, "\n")).drop(text_col)
+    rows = rows.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(doc)) & F.col(row).eqNullSafe(F.col(r)), "left")
     whole = F.col(gone_lines).isNull()
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone_lines))
     rows = rows.withColumn(new, F.array_join(F.when(whole, F.col(parts)).otherwise(F.transform(stay, lambda i: F.get(parts, i))), "\n")).where(whole | F.col(new).rlike(r"[^\x20\x09-\x0D]"))

@@ -204,12 +204,27 @@ def test_lines_go_by_row(spark):
     line = ["".join(random.Random(k).choices("abcdefghijklmnopqrstuvwxyz", k=60)) for k in range(6)]
     rows = [(1, line[0], "s"), (None, line[0] + "\n" + line[1], "s"), (None, line[2] + "\n" + line[3], "s"), (None, line[4], "s"), (2, line[0], "s"), (2, line[5], "s")]
     left = sorted(((r["doc_id"], r["text"]) for r in lines.dedupe(frame(spark, rows)).collect()), key=str)
-    clashing = dict.fromkeys(("doc", "t", "gone", "own", "parts", "new", "line", "line_no", "c", "e", "place"), F.lit(1))
+    clashing = dict.fromkeys(("doc", "r", "row", "key", "gone", "own", "parts", "new", "line", "line_no", "c", "e", "place"), F.lit(1))
     wide = lines.dedupe(frame(spark, rows).withColumns(clashing))
     assert wide.count() == len(left) and set(clashing) < set(wide.columns)
     assert left == sorted([(1, line[0]), (None, line[1]), (None, line[2] + "\n" + line[3]), (None, line[4]), (2, line[5])], key=str)
 
 
+def test_one_line_of_a_component(spark):
+    """Rows that repeat, share an id or have none keep one line of each component among them."""
+    line = ["".join(random.Random(k).choices("abcdefghijklmnopqrstuvwxyz", k=60)) for k in range(6)]
+    near = "X" + line[2][1:]
+    rows = [(1, line[0], "s")] * 3 + [(None, line[1] + "\n" + line[1], "s")] * 3 + [(None, line[2], "s"), (None, near, "s"), (None, line[3], "s")]
+    rows += [(4, line[4], "s"), (4, "X" + line[4][1:], "s"), (4, line[5] + "\n" + line[4], "s"), (5, line[5], "s"), (None, "alone " + line[0][::-1], "s")]
+    found = lines.line_components(frame(spark, rows)).collect()
+    assert len(found) == sum(len(t.split("\n")) for _, t, _ in rows)
+    left = [(r["doc_id"], x) for r in lines.dedupe(frame(spark, rows)).collect() for x in r["text"].split("\n")]
+    assert len(left) == sum(r["kept"] for r in found) == 7
+    alike = lambda x: next((whole for whole in line if x[1:] == whole[1:]), x)
+    expected = [(1, line[0]), (None, line[1]), (None, line[2]), (None, line[3]), (4, line[4]), (4, line[5]), (None, "alone " + line[0][::-1])]
+    assert sorted(((i, alike(x)) for i, x in left), key=str) == sorted(expected, key=str)
+
+
 def test_lines_recall(spark):
     """Of pairs right at 0.8, of 10 to 80 shingles, nine in ten at least share a band."""
     rng = random.Random(6)
