@@ -13,6 +13,8 @@ from tessellum.plans import verbs
 from tessellum.plans.matching import spaced_sql
 from tessellum.plans.notes import folder
 from tessellum.plans.queries import HIT, day, query, table
+from tessellum.sources import responses as N
+from tessellum.streaming import state as T
 
 SOUGHT = ("that", "src3", "tion the", "conversation about something")
 
@@ -105,3 +107,22 @@ def week_closed(spark, sf_dir):
     todos = table(spark, sf_dir, "orders").selectExpr("o_orderkey as id", "o_orderstatus = 'F' as done", "o_orderkey % 5 = 0 as long_term", "to_date(o_orderdate) as created")
     taken = spark.createDataFrame([("1998-W27",), ("1998-W27-2",), ("1998-W27-4",), ("1998-W26-3",), ("notes",)], "name string")
     return K.closed_week(todos, taken, day("1998-07-01")).select("id", "place", "file")
+
+
+@query("""WITH a AS (SELECT url, html, CASE WHEN page_id % 3 = 0 THEN 1 WHEN page_id % 5 <> 0 THEN 2 WHEN page_id % 2 = 0 THEN 3 END AS rank FROM pages WHERE html IS NOT NULL),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY rank, html) AS k FROM a WHERE rank IS NOT NULL) WHERE k = 1)
+SELECT p.url, CASE rank WHEN 1 THEN 'primary' WHEN 2 THEN 'fallback' WHEN 3 THEN 'later fallback' ELSE 'waiting' END AS state, rank IS NULL AS retry, length(html) AS n_chars FROM (SELECT DISTINCT url FROM pages) p LEFT JOIN b USING (url)""")
+def fetched_by_tools(spark, sf_dir):
+    """Pages as the tools stored them in two runs; what both tools failed at in the first is asked for again in the second."""
+    pages, path = table(spark, sf_dir, "pages"), folder(spark)
+    answer = lambda tool, status, some: pages.where(some).selectExpr(f"'{tool}' as tool", "url", f"cast({status} as int) as status", "html as body")
+    first = answer("primary", "if(page_id % 3 = 0, 200, 503)", "page_id % 3 < 2").unionByName(answer("fallback", "if(page_id % 5 = 0, 404, 200)", "page_id % 3 > 0"))
+    first.write.partitionBy("tool").json(f"{path}/1")
+    answer("fallback", "200", "page_id % 3 > 0 and page_id % 5 = 0 and page_id % 2 = 0").write.partitionBy("tool").json(f"{path}/2")
+    one = N.chosen(pages, N.stored(spark, f"{path}/1"))
+    two = N.chosen(one.where("failed"), N.stored(spark, f"{path}/2"))
+    waiting = pages.select("url", F.lit("waiting").alias("state")).distinct()
+    states = T.carried(waiting, one.where("not failed").select("url", F.col("tool").alias("state")), "url")
+    again = T.carried(states.where("retry").drop("retry"), two.where("not failed").select("url", F.concat(F.lit("later "), "tool").alias("state")), "url")
+    sizes = one.unionByName(two).where("not failed").select("url", F.length("body").alias("n_chars"))
+    return states.where("not retry").unionByName(again).join(sizes, "url", "left").select("url", "state", "retry", "n_chars")
