@@ -33,12 +33,17 @@ def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: lineage ends, and with it the constraints that a checkpoint carries on, which joins of a table with itself double each time."""
     spark = df.sparkSession
     ready(spark)
+    path = dropped_at_end(spark, f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/stored-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped_at_end(spark: SparkSession, path: str) -> str:
+    """The path of a folder that goes when this application ends."""
     if not _STORED:
         atexit.register(_drop_stored)
-    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/stored-{uuid.uuid4().hex}"
     _STORED.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def _drop_stored() -> None:

@@ -13,7 +13,7 @@ from tessellum.operators import joins as J
 from tessellum.operators import ranking as R
 from tessellum.operators import sinks as K
 from tessellum.operators import windows as W
-from tessellum.operators.graph import shared_folder
+from tessellum.operators.graph import dropped_at_end, shared_folder
 from tessellum.plans import verbs
 from tessellum.plans.queries import ORACLE, QUERIES, RETURNED, daily, day, decisions, query, shipped, table
 from tessellum.streaming import state as T
@@ -271,7 +271,7 @@ def yearly_moves(spark, sf_dir):
 
 
 def _folder(spark) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return dropped_at_end(spark, f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}")
 
 
 def _stream(spark, sf_dir):

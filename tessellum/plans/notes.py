@@ -15,7 +15,7 @@ from tessellum.operators import joins as J
 from tessellum.operators import ranking as R
 from tessellum.operators import sinks as K
 from tessellum.operators import windows as W
-from tessellum.operators.graph import shared_folder
+from tessellum.operators.graph import dropped_at_end, shared_folder
 from tessellum.plans import verbs
 from tessellum.plans.queries import QUERIES, day, query, table
 from tessellum.sources import markdown as M
@@ -36,7 +36,7 @@ def number():
 
 
 def folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/notes-{uuid.uuid4().hex}"
+    return dropped_at_end(spark, f"{shared_folder(spark).rstrip('/')}/notes-{uuid.uuid4().hex}")
 
 
 def orders(spark, sf_dir, *columns: str) -> DataFrame:
