@@ -206,6 +206,12 @@ def stale_connections(connections: DataFrame, lens_sections: DataFrame, as_of: C
 
 
 def related_decisions(decisions: DataFrame) -> DataFrame:
-    """(id, other, shared tags) of decisions that share a tag."""
-    tags = decisions.select("id", F.explode("tags").alias("tag")).distinct()
-    return tags.join(tags.select(F.col("id").alias("other"), "tag"), "tag").where("id <> other").groupBy("id", "other").agg(F.count("*").alias("shared"))
+    """(id, other, shared tags) of decisions that share a tag.
+
+    Decisions of the same tags are one class; shared tags are counted for pairs of classes, and pairs of decisions are only put out, never counted.
+    """
+    tags = decisions.select("id", F.explode("tags").alias("tag")).where("id is not null and tag is not null")
+    of = tags.groupBy("id").agg(F.sort_array(F.collect_set("tag")).alias("own"))
+    each = of.select("own").distinct().select("own", F.explode("own").alias("tag"))
+    pairs = each.join(each.select(F.col("own").alias("others"), "tag"), "tag").groupBy("own", "others").agg(F.count("*").alias("shared"))
+    return dealt(of.join(pairs, "own").drop("own"), of.select(F.col("id").alias("other"), F.col("own").alias("others")), ["others"]).where("id <> other").select("id", "other", "shared")

@@ -25,3 +25,13 @@ def test_siblings_lack(spark):
     found = J.sibling_gap(spark.createDataFrame(has, "member long, item long"), spark.createDataFrame(groups, "member long, grp long"))
     key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or 0)
     assert sorted(map(tuple, found.collect()), key=key) == sorted(expected, key=key) and tasks_of(found) > 8
+
+
+def test_decisions_that_share_tags(spark):
+    rows = [(i, [f"t{i % 3}", "all"] if i % 5 else ["all", "all", None]) for i in range(120)] + [(7, ["late"]), (900, []), (901, None), (None, ["all"]), (902, ["late"])]
+    tags = defaultdict(set)
+    for i, own in rows:
+        tags[i] |= {t for t in own or [] if t is not None}
+    expected = {(a, b): len(tags[a] & tags[b]) for a in tags for b in tags if None not in (a, b) and a != b and tags[a] & tags[b]}
+    found = J.related_decisions(spark.createDataFrame(rows, "id long, tags array<string>"))
+    assert {(r["id"], r["other"]): r["shared"] for r in found.collect()} == expected and found.count() == len(expected) and tasks_of(found) > 8
