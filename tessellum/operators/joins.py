@@ -189,8 +189,8 @@ def over_domains(events: DataFrame, domains: list[str]) -> DataFrame:
 
 
 def deep_sections(lenses: DataFrame, sections: DataFrame) -> DataFrame:
-    """J31."""
-    return lenses.join(sections, ["book", "skill"])
+    """J31; what comes out of one book and skill is dealt to many tasks."""
+    return dealt(lenses, sections, ["book", "skill"])
 
 
 def settled(user: DataFrame, engine: DataFrame) -> DataFrame:

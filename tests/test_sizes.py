@@ -35,3 +35,10 @@ def test_decisions_that_share_tags(spark):
     expected = {(a, b): len(tags[a] & tags[b]) for a in tags for b in tags if None not in (a, b) and a != b and tags[a] & tags[b]}
     found = J.related_decisions(spark.createDataFrame(rows, "id long, tags array<string>"))
     assert {(r["id"], r["other"]): r["shared"] for r in found.collect()} == expected and found.count() == len(expected) and tasks_of(found) > 8
+
+
+def test_sections_of_one_book(spark):
+    lenses = spark.createDataFrame([("b", "s", i) for i in range(200)] + [(None, "s", 900), ("c", "s", 901)], "book string, skill string, lens long")
+    sections = spark.createDataFrame([("b", "s", i) for i in range(30)] + [(None, "s", 900)], "book string, skill string, section long")
+    found = J.deep_sections(lenses, sections)
+    assert sorted((r["lens"], r["section"]) for r in found.collect()) == [(i, j) for i in range(200) for j in range(30)] and tasks_of(found) > 8
