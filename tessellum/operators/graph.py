@@ -55,6 +55,20 @@ def _drop_stored() -> None:
             return
 
 
+#: Tasks that a join on few values is dealt to, and shares that the rows of one value are dealt to.
+TASKS, SHARES = 64, 32
+
+
+def dealt(rows: DataFrame, others: DataFrame, keys: list[str], shares: int = SHARES) -> DataFrame:
+    """The inner join of keys that few values fill: rows of a value are dealt to shares that each meet all its others, so no value is one task's.
+
+    The number of tasks is given, since sizes, which adaptive execution goes by, tell nothing of how many rows come out.
+    """
+    many = rows.withColumn("_share", F.pmod(F.xxhash64(*rows.columns), F.lit(shares)).cast("int")).repartition(TASKS, *keys, "_share")
+    few = others.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    return many.join(few.hint("merge"), [*keys, "_share"]).drop("_share")  # so many copies are not to be broadcast
+
+
 def hops(edges: DataFrame, anchors: DataFrame, hard: int = 10) -> DataFrame:
     """(node, hop): the fewest hops from any anchor, up to `hard`; cycles end by the visited set.
 

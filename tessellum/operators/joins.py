@@ -5,23 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellum.operators.graph import stored
+from tessellum.operators.graph import dealt, stored
 from tessellum.operators.similar import near, nearest
 from tessellum.operators.text import occurrences
 
 
-#: Tasks that a join on few values is dealt to, shares that the rows of one value are dealt to, and bunches of a group's members.
-TASKS, SHARES, BUNCHES = 64, 32, 64
-
-
-def dealt(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
-    """The inner join of keys that few values fill: rows of a value are dealt to SHARES shares that each meet all its others, so no value is one task's.
-
-    The number of tasks is given, since sizes, which adaptive execution goes by, tell nothing of how many rows come out.
-    """
-    many = rows.withColumn("_share", F.pmod(F.xxhash64(*rows.columns), F.lit(SHARES)).cast("int")).repartition(TASKS, *keys, "_share")
-    few = others.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-    return many.join(few.hint("merge"), [*keys, "_share"]).drop("_share")  # so many copies are not to be broadcast
+#: Bunches that a group's members are looked at in.
+BUNCHES = 64
 
 
 def known_urls(items: DataFrame, cards: DataFrame) -> DataFrame:
@@ -83,7 +73,7 @@ def fan_out(changes: DataFrame, references: DataFrame, key: str = "variable_id")
 
 def mentions(articles: DataFrame, followups: DataFrame) -> DataFrame:
     """Articles that share a tag with an active follow-up or name its metric, in one word or several, of any script (text.occurrences)."""
-    live = followups.where("status = 'active'")
+    live = stored(followups.where("status = 'active'"))  # few, which Spark can't tell of rows that a driver made
     by_tag = articles.select("article", F.explode("tags").alias("k")).join(live.select("followup", F.explode("tags").alias("k")), "k")
     named = occurrences(articles, live, id_col="article", name_col="metric")
     by_name = named.join(live.select("followup", F.col("metric").alias("name")), "name").select(F.col("id").alias("article"), "followup")
@@ -133,7 +123,7 @@ def with_neighbours(hits: DataFrame, related: DataFrame, strong: int = 2) -> Dat
 
 def matched_lenses(events: DataFrame, lenses: DataFrame) -> DataFrame:
     """(event, lens, met): how many of a lens's signals, of one word or several, an event's text names (text.occurrences)."""
-    signals = lenses.select("lens", F.explode("signals").alias("name")).distinct()
+    signals = stored(lenses.select("lens", F.explode("signals").alias("name")).distinct())
     found = occurrences(events, signals, id_col="event")
     return found.join(signals, "name").groupBy(F.col("id").alias("event"), "lens").agg(F.count("*").alias("met"))
 

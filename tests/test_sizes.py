@@ -7,6 +7,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from tessellum.operators import joins as J
+from tessellum.operators import text as N
 
 
 def tasks_of(df):
@@ -42,3 +43,20 @@ def test_sections_of_one_book(spark):
     sections = spark.createDataFrame([("b", "s", i) for i in range(30)] + [(None, "s", 900)], "book string, skill string, section long")
     found = J.deep_sections(lenses, sections)
     assert sorted((r["lens"], r["section"]) for r in found.collect()) == [(i, j) for i in range(200) for j in range(30)] and tasks_of(found) > 8
+
+
+def test_words_of_texts_stay_where_they_are(spark):
+    """Names made on the driver have no size for Spark, so texts, of a small file, were given to every task word by word."""
+    texts = spark.createDataFrame([(i, f"the price of w{i % 7} rose in place {i}") for i in range(300)], "id long, text string")
+    found = N.occurrences(texts, spark.createDataFrame([("w3",), ("price of w4",), ("place 5",), ("none of it",)], "name string"))
+    expected = {(i, "w3") for i in range(300) if i % 7 == 3} | {(i, "price of w4") for i in range(300) if i % 7 == 4} | {(5, "place 5")}
+    assert {tuple(r) for r in found.collect()} == expected
+    plan = found._jdf.queryExecution().toString()
+    assert "explode(array_distinct" not in plan  # words were met by a stored table's keys, before anything is shuffled or broadcast
+
+
+def test_many_names_meet_in_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(N, "FEW", 0)
+    texts = spark.createDataFrame([(i, f"a b c{i}") for i in range(40)], "id long, text string")
+    found = N.occurrences(texts, spark.createDataFrame([("c7",), ("b c8",), ("a b c9",)], "name string"))
+    assert sorted(map(tuple, found.collect())) == [(7, "c7"), (8, "b c8"), (9, "a b c9")]
