@@ -60,3 +60,10 @@ def test_many_names_meet_in_a_shuffle(spark, monkeypatch):
     texts = spark.createDataFrame([(i, f"a b c{i}") for i in range(40)], "id long, text string")
     found = N.occurrences(texts, spark.createDataFrame([("c7",), ("b c8",), ("a b c9",)], "name string"))
     assert sorted(map(tuple, found.collect())) == [(7, "c7"), (8, "b c8"), (9, "a b c9")]
+
+
+def test_topics_of_one_name_are_dealt(spark):
+    todos = spark.createDataFrame([(i, "work", "rain today") for i in range(30)], "todo long, section string, text string")
+    topics = spark.createDataFrame([(t, "rain") for t in range(40)] + [(t, "today") for t in range(20, 60)] + [(None, "today"), (99, None), (98, "snow")], "topic long, name string")
+    found = N.misfiled(todos, topics, ("work",))
+    assert {(r["todo"], r["topic"]) for r in found.collect()} == {(i, t) for i in range(30) for t in (*range(60), None)} and found.count() == 30 * 61 and tasks_of(found) > 8
