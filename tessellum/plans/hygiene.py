@@ -301,10 +301,13 @@ def streaming_streak(spark, sf_dir):
     return found.groupBy(F.col("variable").cast("long").alias("user_id")).agg(F.max("consecutive").cast("long").alias("longest")).where("longest >= 3")
 
 
-def _with_clock(rows, key, *columns):
-    """The rows of a stream and, for each, a row of a key named clock 60 days later, which moves the watermark past all of them."""
-    later = F.struct(F.lit("clock").alias(key), *(F.lit("clock").alias(c) for c in columns), (F.col("ts") + F.expr("interval 60 days")).alias("ts"))
-    return rows.select(F.explode(F.array(F.struct(key, *columns, "ts"), later)).alias("r")).select("r.*")
+def _with_clock(spark, sf_dir, rows, key, *columns):
+    """A stream of events and one row of a key named clock, 60 days after the last of them, which moves the watermark past all."""
+    folder = _folder(spark)
+    last = table(spark, sf_dir, "events").agg((F.max(F.col("ts").cast("timestamp")) + F.expr("interval 60 days")).alias("ts"))
+    last.select(F.lit("clock").alias(key), *(F.lit("clock").alias(c) for c in columns), "ts").write.parquet(f"{folder}/clock")
+    clock = spark.readStream.schema(f"{key} string, {''.join(f'{c} string, ' for c in columns)}ts timestamp").parquet(f"{folder}/clock")
+    return rows.select(key, *columns, "ts").unionByName(clock)
 
 
 def _with_timers(spark, rows, schema):
@@ -321,7 +324,7 @@ def _with_timers(spark, rows, schema):
 def late_streaks(spark, sf_dir):
     """The batch operator's streaks from runs that are held until the watermark has passed them."""
     rows = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("variable"), F.when(F.col("event_type") == "view", "LIKELY_DEAD").otherwise("ALIVE").alias("verdict"), F.col("ts").cast("timestamp").alias("ts"))
-    found = _with_timers(spark, T.late_streak_stream(_with_clock(rows, "variable", "verdict").withColumnRenamed("ts", "run_ts"), late="0 seconds"), T.STREAK).where("variable <> 'clock'")
+    found = _with_timers(spark, T.late_streak_stream(_with_clock(spark, sf_dir, rows, "variable", "verdict").withColumnRenamed("ts", "run_ts"), late="0 seconds"), T.STREAK).where("variable <> 'clock'")
     return found.groupBy(F.col("variable").cast("long").alias("user_id")).agg(F.max("consecutive").cast("long").alias("longest")).where("longest >= 3")
 
 
@@ -329,7 +332,7 @@ def late_streaks(spark, sf_dir):
 def promoted_candidates(spark, sf_dir):
     """Users as candidates, promoted by a timer two weeks after they were first seen, or with a purchase before."""
     rows = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("candidate"), F.col("event_type").alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
-    found = _with_timers(spark, T.promotion_stream(_with_clock(rows, "candidate", "kind"), at_once=("purchase",), late="0 seconds"), "candidate string, first_seen timestamp, promote_at timestamp")
+    found = _with_timers(spark, T.promotion_stream(_with_clock(spark, sf_dir, rows, "candidate", "kind"), at_once=("purchase",), late="0 seconds"), "candidate string, first_seen timestamp, promote_at timestamp")
     return found.where("candidate <> 'clock'").select(F.col("candidate").cast("long").alias("user_id"), F.unix_micros("first_seen").alias("first_seen"), F.unix_micros("promote_at").alias("promote_at"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -78,14 +79,16 @@ class _Streaks(StatefulProcessor):
             if len(told):
                 self.held.appendList([(ts.to_pydatetime(), verdict) for ts, verdict in zip(told["run_ts"], told["verdict"])])
                 self.handle.registerTimer(_millis(told["run_ts"].min()))
-        yield pd.DataFrame(columns=["variable", "run_ts", "consecutive", "close"])
+        yield from ()  # an empty frame for each key costs more than its rows
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, count = timerValues.getCurrentWatermarkInMs(), self.count.get()[0] if self.count.exists() else 0
-        held = list(self.held.get()) if self.held.exists() else []
-        due, out = sorted(r for r in held if _millis(r[0]) <= now), []
+        now, count = timerValues.getCurrentWatermarkInMs(), (self.count.get() or (0,))[0]
+        upto = dt.datetime(1970, 1, 1) + dt.timedelta(milliseconds=now)
+        passed = lambda ts: ts <= upto if ts.tzinfo is None else _millis(ts) <= now
+        held, out = list(self.held.get()), []
+        due = sorted(r for r in held if passed(r[0]))
         if due:
-            left = [r for r in held if _millis(r[0]) > now]
+            left = [r for r in held if not passed(r[0])]
             self.held.put(left) if left else self.held.clear()
             if left:
                 self.handle.registerTimer(min(_millis(r[0]) for r in left))
@@ -94,7 +97,8 @@ class _Streaks(StatefulProcessor):
                 if count:
                     out.append((key[0], ts, count, count >= self.needed))
             self.count.update((count,))
-        yield pd.DataFrame(out, columns=["variable", "run_ts", "consecutive", "close"])
+        if out:
+            yield pd.DataFrame(out, columns=["variable", "run_ts", "consecutive", "close"])
 
     def close(self) -> None:
         pass
@@ -170,7 +174,7 @@ class _Promotion(StatefulProcessor):
                     self.handle.deleteTimer(timer)
                 yield self._promoted(key, first, now)
             elif first is None or least < first:
-                for timer in list(self.handle.listTimers()):
+                for timer in list(self.handle.listTimers()) if first is not None else ():
                     self.handle.deleteTimer(timer)
                 first = least
                 self.seen.update((first, False))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessellum.operators import joins as J
 from tessellum.operators import text as N
+from tessellum.plans import hygiene
 
 
 def tasks_of(df):
@@ -67,3 +68,13 @@ def test_topics_of_one_name_are_dealt(spark):
     topics = spark.createDataFrame([(t, "rain") for t in range(40)] + [(t, "today") for t in range(20, 60)] + [(None, "today"), (99, None), (98, "snow")], "topic long, name string")
     found = N.misfiled(todos, topics, ("work",))
     assert {(r["todo"], r["topic"]) for r in found.collect()} == {(i, t) for i in range(30) for t in (*range(60), None)} and found.count() == 30 * 61 and tasks_of(found) > 8
+
+
+def test_one_row_moves_the_clock(spark, tmp_path):
+    """It was one row for each event, all of one key, so half of a stream was one task's."""
+    events = spark.createDataFrame([(i, i % 5) for i in range(50)], "event_id long, user_id long").selectExpr("event_id", "user_id", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, event_id) as ts")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    rows = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events.parque[t]")).select(F.col("user_id").cast("string").alias("candidate"), F.lit("view").alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
+    found = hygiene._drained(spark, hygiene._with_clock(spark, str(tmp_path), rows, "candidate", "kind"), "candidate string, kind string, ts timestamp")
+    clock = found.where("candidate = 'clock'").selectExpr("kind", "cast(ts as string)").collect()
+    assert found.count() == 51 and [tuple(r) for r in clock] == [("clock", "2024-03-03 01:00:00")]
