@@ -74,12 +74,11 @@ def hops(edges: DataFrame, anchors: DataFrame, hard: int = 10) -> DataFrame:
 
     edges: (src, dst); anchors: (node). Each round joins the frontier alone.
     """
-    ready(edges.sparkSession)
-    plain = edges.select("src", "dst").distinct().repartition("src").checkpoint()  # each round reads it, none makes it again
-    seen = frontier = anchors.select("node").distinct().withColumn("hop", F.lit(0)).checkpoint()
+    plain = stored(edges.select("src", "dst").distinct())  # each round reads it in splits, none makes it again or sorts it for a small frontier
+    seen = frontier = stored(anchors.select("node").distinct().withColumn("hop", F.lit(0)))
     for hop in range(1, hard + 1):
         reached = frontier.join(plain, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = reached.join(seen, "node", "left_anti").withColumn("hop", F.lit(hop)).checkpoint()
+        frontier = stored(reached.join(seen, "node", "left_anti").withColumn("hop", F.lit(hop)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -172,19 +171,40 @@ def _small_components(edges: pa.Table) -> pa.Table:
     return pa.table({"node": pa.array([n for n, _ in found], kind), "component": pa.array([c for _, c in found], kind)})
 
 
+def recurring(edges: DataFrame, small: int = 0) -> DataFrame:
+    """Of edges (src, dst) with one of each src, those of nodes that some long enough path ends in, every cycle's among them; at most `small`, or cycles alone.
+
+    Each round knows where twice as many steps lead and keeps the nodes that such a path reaches and that lead on. What is
+    not on a cycle halves about with every round; a round that keeps all has only cycles left.
+    """
+    jump = stored(edges.select("src", "dst"))
+    left = jump.count()
+    while left > small:
+        kept = jump.join(jump.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        jump = stored(kept.join(kept.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "dst").select("src", F.col("next").alias("dst")))
+        now = jump.count()
+        if now == left:
+            break
+        left = now
+    return edges.join(jump.select("src"), "src", "left_semi").select("src", "dst")
+
+
 def strongly_connected(edges: DataFrame, trims: int = 2, small: int = 100_000) -> DataFrame:
     """(node, component) of every node on a cycle, of whatever length; component is the least node of those that reach each other.
 
     Each round gives nodes a new random rank and colours each with the highest that reaches it. A colour's own
     node and those of the colour that reach it back are a component; edges between colours lead nowhere and go,
     as do, before, nodes without an edge in or out. Ranks being random, the rounds grow with the logarithm of
-    what is left, until no more than `small` edges are, by count; those are searched in one task. Null ends of edges
+    what is left, until no more than `small` edges are, by count; those are searched in one task. Where every node has one
+    edge out at most, what is on no cycle goes before by recurring(). Null ends of edges
     play no part; a loop is a cycle of one node.
     """
     ready(edges.sparkSession)
     plain = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
     loops = plain.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
     live, done, seed = stored(plain.where("src <> dst")), [], 0
+    if live.count() > small and live.agg(F.count("*") == F.count_distinct("src")).first()[0]:
+        live = stored(recurring(live, small))
     while not live.isEmpty():
         for _ in range(trims):
             live = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")

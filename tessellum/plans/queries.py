@@ -254,7 +254,7 @@ w AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS hop UNION SELECT e.dst, w.hop + 1 F
 SELECT node, min(hop) AS hop FROM w GROUP BY 1""")
 def bfs_hops(spark, sf_dir):
     """The fewest hops from the first supplier along suppliers and the parts (negative numbers) that they supply."""
-    supply = shipped(spark, sf_dir).select("member", (-F.col("variable")).alias("part")).distinct()
+    supply = shipped(spark, sf_dir).select("member", (-F.col("variable")).alias("part"))
     edges = supply.toDF("src", "dst").unionByName(supply.toDF("dst", "src"))
     return G.hops(edges, spark.createDataFrame([(1,)], "node long"))
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import random
 from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+from tessellum.operators import graph as G
 from tessellum.operators import joins as J
 from tessellum.operators import text as N
 from tessellum.plans import hygiene
+from tests.test_matching import slow_components
 
 
 def tasks_of(df):
@@ -78,3 +81,22 @@ def test_one_row_moves_the_clock(spark, tmp_path):
     found = hygiene._drained(spark, hygiene._with_clock(spark, str(tmp_path), rows, "candidate", "kind"), "candidate string, kind string, ts timestamp")
     clock = found.where("candidate = 'clock'").selectExpr("kind", "cast(ts as string)").collect()
     assert found.count() == 51 and [tuple(r) for r in clock] == [("clock", "2024-03-03 01:00:00")]
+
+
+def test_cycles_behind_long_tails(spark, monkeypatch):
+    """Each node has one edge out: tails go by doubled steps, without colours spread over all of them."""
+    rng = random.Random(5)
+    edges = [(i, rng.randrange(400)) for i in range(400)] + [(1000 + i, 1001 + i) for i in range(70)] + [(2000 + i, 2000 + (i + 1) % 30) for i in range(30)]
+    monkeypatch.setattr(G, "spread", lambda *_: 1 / 0)
+    found = G.strongly_connected(spark.createDataFrame(edges, "src long, dst long"), small=60)
+    assert {r["node"]: r["component"] for r in found.collect()} == slow_components(edges)
+    ring = spark.createDataFrame([(i, (i + 1) % 33) for i in range(33)] + [(50, 3), (51, 50), (60, 61)], "src long, dst long")
+    assert sorted(r["src"] for r in G.recurring(ring).collect()) == list(range(33))
+
+
+def test_hops_join_what_is_stored(spark):
+    """Edges were kept as rows without a size that Spark can go by, so each round sorted all of them."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(3, 40), (3, 40), (7, 7)], "src long, dst long")
+    found = G.hops(edges, spark.createDataFrame([(0,)], "node long"), 6)
+    assert {r["node"]: r["hop"] for r in found.collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 40: 4, 5: 5, 41: 5, 6: 6, 42: 6}
+    assert "ExistingRDD" not in found._jdf.queryExecution().executedPlan().toString()
