@@ -87,7 +87,8 @@ def _runs(posts: DataFrame) -> DataFrame:
 
 def _counted_grams(runs: DataFrame, longest: int) -> DataFrame:
     """(gram, n): how often each run of up to `longest` characters occurs. Places are counted by the longest run that begins there, and shorter ones are its beginnings."""
-    places = runs.select("run", F.explode(F.expr("sequence(1, length(run))")).alias("at")).groupBy(F.expr(f"substring(run, at, {longest})").alias("longest")).agg(F.count("*").alias("n"))
+    # a look ahead at each place is one pass, where substring() counts a run's characters from its beginning for every place
+    places = runs.select(F.explode(F.regexp_extract_all("run", F.lit(f"(?s)(?=(.{{1,{longest}}}))"))).alias("longest")).groupBy("longest").agg(F.count("*").alias("n"))
     begins = places.select("n", F.explode(F.expr("transform(sequence(1, length(longest)), m -> substring(longest, 1, m))")).alias("gram"))
     return begins.groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -121,9 +122,9 @@ def discovered(posts: DataFrame, *, longest: int = 4, at_least: int = 5, cohesio
 
 def post_terms(posts: DataFrame, words: DataFrame) -> DataFrame:
     """(post, term), each once: which discovered words occur in which posts. words: (term)."""
-    known = words.select("term").distinct()
-    longest = known.agg(F.max(F.length("term")).alias("most"))
-    of_run = "flatten(transform(sequence(2, most), m -> if(length(run) >= m, transform(sequence(1, length(run) - m + 1), i -> substring(run, i, m)), array())))"
-    rows = posts.select("post", F.regexp_extract_all("text", F.lit(f"({UNSEGMENTED}+)")).alias("runs")).crossJoin(F.broadcast(longest)).where("most >= 2 and size(runs) > 0")  # one row
-    grams = rows.select("post", F.explode(F.expr(f"array_distinct(flatten(transform(runs, run -> {of_run})))")).alias("term"))
+    known = stored(words.select("term").where("length(term) >= 2").distinct())  # of known size: where it is small, what runs of characters it has not are never shuffled
+    lengths = known.select(F.length("term").alias("m")).distinct().groupBy().agg(F.collect_list("m").alias("lengths"))  # one row, at most as many as the longest term
+    rows = posts.select("post", "text").where(F.col("text").rlike(UNSEGMENTED)).crossJoin(F.broadcast(lengths)).select("post", "text", F.explode("lengths").alias("m"))
+    pattern = F.concat(F.lit(f"(?=({UNSEGMENTED}{{"), F.col("m").cast("string"), F.lit("}))"))
+    grams = rows.select("post", F.explode(F.array_distinct(F.regexp_extract_all("text", pattern))).alias("term"))
     return grams.join(known, "term").select("post", "term").distinct()

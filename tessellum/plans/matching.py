@@ -13,6 +13,7 @@ from tessellum.operators import graph as G
 from tessellum.operators import joins as J
 from tessellum.operators import sinks as K
 from tessellum.operators import text as N
+from tessellum.operators.graph import stored
 from tessellum.plans import verbs
 from tessellum.plans.queries import EDGES, nation_edges, query, shipped, table
 
@@ -68,8 +69,8 @@ SELECT term, n, (SELECT count(DISTINCT post) FROM d WHERE contains(text, term))
 def discovered_terms(spark, sf_dir):
     """The words of documents written without spaces, and in how many different ones each occurs."""
     posts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("post"), F.expr(UNCUT).alias("text")).repartition("post")  # the given table is one split, and its runs of characters are many
-    found = N.discovered(posts, at_least=50, cohesion=3.0, freedom=2.0)
-    return A.term_posts(posts, 1, found).join(found.select("term", "n"), "term").select("term", "n", "posts")
+    found = stored(N.discovered(posts, at_least=50, cohesion=3.0, freedom=2.0).select("term", "n"))
+    return A.term_posts(posts, 1, found).join(found, "term").select("term", "n", "posts")
 
 
 @query("""WITH f AS MATERIALIZED (SELECT DISTINCT 'wiki/' || p_name AS path FROM part), b AS (SELECT DISTINCT 'wiki/' || CASE p_partkey % 3 WHEN 0 THEN substr(p_name, 1, length(p_name) - 1) || 'x' WHEN 1 THEN 'X' || substr(p_name, 2) ELSE p_name || ' ' || p_type END AS target FROM part UNION SELECT 'wiki/zzz'),

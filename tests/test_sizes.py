@@ -100,3 +100,13 @@ def test_hops_join_what_is_stored(spark):
     found = G.hops(edges, spark.createDataFrame([(0,)], "node long"), 6)
     assert {r["node"]: r["hop"] for r in found.collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 40: 4, 5: 5, 41: 5, 6: 6, 42: 6}
     assert "ExistingRDD" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_of_a_long_run(spark):
+    """Each place of a run was cut by counting from the run's beginning, and all runs of characters were shuffled."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("水位天气铁矿", k=3000)), "水位", "天x气", "", None]
+    words = ["水位", "天气", "铁矿水", "水水水水", "气"]
+    found = N.post_terms(spark.createDataFrame(list(enumerate(texts)), "post long, text string"), spark.createDataFrame([(w,) for w in words], "term string"))
+    assert {tuple(r) for r in found.collect()} == {(i, w) for i, t in enumerate(texts) for w in words if len(w) > 1 and w in (t or "")} and found.count() == len(found.collect())
+    assert "sequence(1" not in found._jdf.queryExecution().toString()
