@@ -12,6 +12,8 @@ from tessellum.operators.text import occurrences
 
 #: Bunches that a group's members are looked at in.
 BUNCHES = 64
+#: Pairs by shared items: how many members make an item hot, how many meetings are a block's (pairs that one task holds), the fewest blocks, and into how many chunks the members that a block meets are cut.
+HOT, MEETINGS, LEAST_BLOCKS, CHUNKS = 256, 1 << 22, 8, 8
 
 
 def known_urls(items: DataFrame, cards: DataFrame) -> DataFrame:
@@ -91,21 +93,47 @@ def audit(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def cross_pairs(membership: DataFrame, edges: DataFrame | None = None, at_least: int = 2) -> DataFrame:
     """(i, j, shared): pairs i < j that share at_least items and are no edge yet; membership: (member, item).
 
-    Members that share c items share one outside the c - 1 items of each that most members have, so only the others
-    meet in the join over items, and an item that all have makes no pairs. What the items left out add is looked up
-    for the pairs that met.
+    Members that share c items share one outside the c - 1 items of each that most members have, so of items that
+    more than HOT have, a member meets others by those outside alone: an item that all have makes no pairs. What is
+    shared besides is added to the pairs that met.
+
+    Members are cut by range into blocks of about MEETINGS meetings. An item's members of one block go, as one row, to
+    the task that counts the block's pairs with a chunk of blocks, so pairs are made where they are counted and never shuffled.
     """
-    rows = membership.select("member", "item").where("member is not null and item is not null").distinct()
-    often = rows.groupBy(F.col("item").alias("o")).agg(F.count("*").alias("n"))
+    rows = stored(membership.select("member", "item").where("member is not null and item is not null").distinct())
+    often = stored(rows.groupBy(F.col("item").alias("o")).agg(F.count("*").alias("n")))
     place = F.row_number().over(Window.partitionBy("member").orderBy(F.desc("n"), F.desc("item")))
-    ranked = stored(rows.join(often, F.col("item") == F.col("o")).select("member", "item", (place < at_least).alias("common")))
-    rare, common = ranked.where("not common").select("member", "item"), ranked.where("common").select("member", "item")
-    side = lambda of, name: of.select(F.col("member").alias(name), "item")
-    met = stored(side(rare, "i").join(side(rare, "j"), "item").where("i < j").groupBy("i", "j").agg(F.count("*").alias("shared")))
-    more = [met.select("i", "j").join(side(common, "i"), "i").join(side(ranked, "j"), ["j", "item"]), met.select("i", "j").join(side(common, "j"), "j").join(side(rare, "i"), ["i", "item"])]
-    each = [found.select("i", "j", F.lit(1).cast("long").alias("shared")) for found in more]
-    pairs = met.unionByName(each[0]).unionByName(each[1]).groupBy("i", "j").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= at_least)
-    return pairs if edges is None else pairs.join(edges.select(F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j")).distinct(), ["i", "j"], "left_anti")
+    hot = stored(rows.join(often.where(F.col("n") > HOT), F.col("item") == F.col("o")).select("member", "item", (place < at_least).alias("common")))
+    common = hot.where("common").select("member", "item")
+    left = common.groupBy("member").agg(F.collect_set("item").alias("left"))
+    total, meetings = often.agg(F.sum("n"), F.sum(F.col("n") * F.least("n", F.lit(HOT)))).first()
+    blocks = max(LEAST_BLOCKS, (meetings or 0) // MEETINGS)
+    ranged = rows.groupBy("member").agg(F.count("*").alias("n")).join(left, "member", "left").repartitionByRange(min(blocks, BUNCHES), "member")
+    ranged = stored(ranged.select("member", "n", F.coalesce("left", F.array().cast(left.schema["left"].dataType)).alias("left"), F.spark_partition_id().alias("range")))
+    before = F.sum("n").over(Window.partitionBy("range").orderBy("member")) - F.col("n")
+    turn = F.dense_rank().over(Window.partitionBy("range").orderBy("left")) - 1  # a block's members leave out the same items
+    block = F.shiftleft(F.col("range").cast("long"), 48) + F.shiftleft(F.floor(before * blocks / max(total or 0, 1)), 24) + turn
+    members = stored(ranged.select("member", "left", block.alias("block"), F.expr(f"range div {BUNCHES // CHUNKS}").alias("chunk")))
+    parts = stored(members.select(F.col("block").alias("b"), "left", "chunk").distinct())
+    # all rows of an item are in one task from here to the rows that meet
+    held = rows.join(members, "member").where("not array_contains(left, item)").select("member", "item", "block").repartition("item")
+    own = held.groupBy("item", "block").agg(F.collect_list("member").alias("own")).join(parts, F.col("block") == F.col("b"))
+    others = own.groupBy("item", F.col("left").alias("left_"), F.col("chunk").alias("chunk_")).agg(F.flatten(F.collect_list("own")).alias("others"))
+    cell = (F.col("block") * CHUNKS + F.col("chunk_")).alias("cell")
+    meet = own.join(others, "item").where("chunk <= chunk_").select(cell, "own", "others", F.size(F.array_intersect("left", "left_")).alias("besides"), F.lit(False).alias("known"))
+    if edges is not None:
+        ends = edges.select(F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j")).join(members.select(F.col("member").alias("i"), "block"), "i").join(members.select(F.col("member").alias("j"), F.col("chunk").alias("chunk_")), "j")
+        meet = meet.unionByName(ends.select(cell, F.array("i").alias("own"), F.array("j").alias("others"), F.lit(0).alias("besides"), F.lit(True).alias("known")))
+    met = meet.repartition(2 * blocks, "cell").select("cell", F.explode("own").alias("i"), "others", "besides", "known").select("cell", "i", F.explode("others").alias("j"), "besides", "known").where("i < j")
+    counted = [(F.count("*") + F.max("besides")).alias("shared")] + ([] if edges is None else [F.max("known").alias("known")])
+    pairs = met.groupBy("cell", "i", "j").agg(*counted).where("true" if edges is None else "not known").select("i", "j", "shared")
+    mixed = stored(hot.where("not common").join(common.select(F.col("item").alias("o")).distinct(), F.col("item") == F.col("o"), "left_semi").select("member", "item"))
+    if not mixed.isEmpty():  # items by which some meet and others do not
+        pairs = stored(pairs)
+        side = lambda of, name: of.select(F.col("member").alias(name), "item")
+        more = [pairs.select("i", "j").join(side(common, a), a).join(side(mixed, b), [b, "item"]).select("i", "j", F.lit(1).cast("long").alias("shared")) for a, b in ("ij", "ji")]
+        pairs = pairs.unionByName(more[0]).unionByName(more[1]).groupBy("i", "j").agg(F.sum("shared").alias("shared"))
+    return pairs.where(F.col("shared") >= at_least)
 
 
 def two_hops(edges: DataFrame) -> DataFrame:

@@ -110,3 +110,24 @@ def test_terms_of_a_long_run(spark):
     found = N.post_terms(spark.createDataFrame(list(enumerate(texts)), "post long, text string"), spark.createDataFrame([(w,) for w in words], "term string"))
     assert {tuple(r) for r in found.collect()} == {(i, w) for i, t in enumerate(texts) for w in words if len(w) > 1 and w in (t or "")} and found.count() == len(found.collect())
     assert "sequence(1" not in found._jdf.queryExecution().toString()
+
+
+def test_pairs_are_counted_where_they_are_made(spark, monkeypatch):
+    """Each pair that met was a row of a shuffle, as often as it met; now an item's members are shuffled, not their pairs."""
+    monkeypatch.setattr(J, "HOT", 6)
+    monkeypatch.setattr(J, "MEETINGS", 400)
+    rng = random.Random(3)
+    rows = [(m, i) for m in range(90) for i in range(40) if rng.random() < 0.12] + [(m, 100) for m in range(90)] + [(m, 101) for m in range(0, 90, 2)] + [(m, 102) for m in range(0, 90, 3)] + [(200, 1), (None, 1), (3, None), (4, 100)]
+    edges = [(5, 6), (9, 2), (7, 7), (1, 500), (None, 3)]
+    held = defaultdict(set)
+    for m, i in rows:
+        if m is not None and i is not None:
+            held[m].add(i)
+    for least in (1, 3):
+        expected = {(f"{a:03}", f"{b:03}"): n for a in held for b in held if a < b and (a, b) not in ((5, 6), (2, 9)) and (n := len(held[a] & held[b])) >= least}
+        name = lambda df, *columns: df.select(*(F.lpad(F.col(c).cast("string"), 3, "0").alias(c) if c in columns else c for c in df.columns))
+        found = J.cross_pairs(name(spark.createDataFrame(rows, "member long, item long"), "member"), name(spark.createDataFrame(edges, "src long, dst long"), "src", "dst"), least)
+        assert {(r["i"], r["j"]): r["shared"] for r in found.collect()} == expected and found.count() == len(expected)
+    found = J.cross_pairs(spark.createDataFrame([(m, i) for m in range(60) for i in range(5)], "member long, item long"), at_least=1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 60 * 59 // 2 and "hashpartitioning(i#" not in plan
