@@ -5,7 +5,7 @@ windows, so a word of at most the overlap and one character more is a part of so
 the text: the index gives the hits of a scan of all texts. Words that are longer, or that hold several pieces,
 find candidates by their pieces and are verified in the texts of these alone.
 
-Layout below one folder: `postings/day=/bucket=` (area, path, term, field), sorted by term; `terms/day=` the
+Layout below one folder: `postings/day=/bucket=` (area, path, term, field), sorted by term in each file; `terms/day=` the
 different terms; `docs/day=` which documents a day brought. A later day's version of a document replaces earlier ones.
 """
 
@@ -24,8 +24,8 @@ from tessellum.operators.windows import top_per_group
 
 #: Width and step of windows, of pieces in scripts without spaces and of others.
 TIGHT, WIDE = (8, 4), (32, 16)
-#: Buckets of terms, and files that the postings of a bucket are dealt to by document, as a frequent word fills one bucket.
-BUCKETS, SPREAD = 64, 4
+#: Buckets of terms.
+BUCKETS = 64
 #: Bits that one column of a document's marks holds.
 BITS = 60
 PIECE = rf"{UNSEGMENTED}+|[^\s{UNSEGMENTED[1:-1]}]+"
@@ -41,7 +41,8 @@ def windows_of(text: Column) -> Column:
         tight = piece.rlike(UNSEGMENTED)
         width, step = (F.when(tight, F.lit(a)).otherwise(F.lit(b)) for a, b in zip(TIGHT, WIDE, strict=True))
         last = F.greatest(F.ceil((F.length(piece) - width) / step), F.lit(0)).cast("int")
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(piece, i * step + 1, width))
+        windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(piece, i * step + 1, width))
+        return F.when(F.length(piece) <= TIGHT[0], F.array(piece)).otherwise(windows)  # most are short, of any script their own window
 
     pieces = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(PIECE), F.lit(0)))
     return F.coalesce(F.array_distinct(F.flatten(F.transform(pieces, cut))), F.array().cast("array<string>"))
@@ -67,9 +68,9 @@ def build(areas: dict[str, DataFrame], folder: str, day: str, buckets: int = BUC
     found = F.concat(marked(tags, "tag"), marked(windows_of(F.col("title")), "title"), marked(windows_of(F.col("body")), "body"))
     spark = rows.sparkSession
     rows.select("area", "path").distinct().write.mode("overwrite").parquet(f"{folder}/docs/day={day}")
-    postings = rows.select("area", "path", F.explode(found).alias("x")).select("area", "path", "x.*").withColumn("bucket", bucket_of(F.col("term"), buckets))
-    postings = postings.repartition("bucket", F.pmod(F.xxhash64("path"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term")
-    postings.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings/day={day}")
+    # texts are dealt by document, not their postings, which are several times as large; a task writes a file of each bucket
+    postings = rows.repartition("path").select("area", "path", F.explode(found).alias("x")).select("area", "path", "x.*").withColumn("bucket", bucket_of(F.col("term"), buckets))
+    postings.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings/day={day}")
     spark.read.schema(POSTINGS).parquet(f"{folder}/postings").where((F.col("day") == day) & (F.col("field") != "tag")).select("term").distinct().write.mode("overwrite").parquet(f"{folder}/terms/day={day}")
 
 

@@ -116,3 +116,18 @@ def test_closed_week(spark):
     assert found == {1: ("done", "2026-W21"), 2: ("deferred", "2026-W21"), 3: ("active", None), 4: ("active", None), 5: ("active", None)}
     assert {r["place"] for r in K.closed_week(todos.where("id > 1"), names, at).collect()} == {"active"}
     assert K.closed_week(todos.limit(0), names, at).count() == 0
+
+
+def test_texts_are_dealt_not_postings(spark, tmp_path):
+    """Every word of every document was shuffled to its bucket, several times the texts."""
+    docs = spark.createDataFrame([(f"p{i}", ["t"], "alpha", " ".join(f"w{i % 7}x{k}" for k in range(100))) for i in range(200)] + [(None, ["t"], "alpha", "beta")], AREA)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        I.build({"a": docs}, str(tmp_path), "2026-01-01")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = spark.read.schema(I.POSTINGS).parquet(f"{tmp_path}/postings")
+    assert found.count() == 200 * 102
+    # a document's postings are written by one task, whatever their buckets
+    tasks = found.select("path", F.regexp_extract(F.input_file_name(), "part-([0-9]+)-", 1).alias("task")).distinct()
+    assert tasks.count() == 200 and tasks.select("task").distinct().count() > 1
