@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessellum.operators import graph as G
@@ -131,3 +132,39 @@ def test_pairs_are_counted_where_they_are_made(spark, monkeypatch):
     found = J.cross_pairs(spark.createDataFrame([(m, i) for m in range(60) for i in range(5)], "member long, item long"), at_least=1)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == 60 * 59 // 2 and "hashpartitioning(i#" not in plan
+
+
+def shuffled_rows(plan):
+    """The most rows that one exchange of an executed plan wrote."""
+    name = plan.nodeName()
+    inner = [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if name.endswith("QueryStage") else [plan.children().apply(i) for i in range(plan.children().size())]
+    written = plan.metrics().get("shuffleRecordsWritten")
+    return max([written.get().value() if written.isDefined() else 0, *map(shuffled_rows, inner)])
+
+
+def test_a_member_goes_once_for_each_of_its_items(spark, monkeypatch):
+    """It went once for each chunk of blocks besides, so that more rows were shuffled than an item's pairs need."""
+    monkeypatch.setattr(J, "MEETINGS", 1000)  # many blocks, so that each holds few members
+    rng = random.Random(5)
+    rows = [(10 * m - 400, i) for m in range(120) for i in rng.sample(range(60), 12)]
+    held = defaultdict(set)
+    for m, i in rows:
+        held[m].add(i)
+    found = J.cross_pairs(spark.createDataFrame(rows, "member long, item long"))
+    assert {(r["i"], r["j"]): r["shared"] for r in found.collect()} == {(a, b): n for a in held for b in held if a < b and (n := len(held[a] & held[b])) >= 2}
+    assert 0 < shuffled_rows(found._jdf.queryExecution().executedPlan()) <= len(rows)
+
+
+def test_pairs_are_counted_in_parts(monkeypatch):
+    monkeypatch.setattr(J, "HELD", 7)  # so that rows are cut and counts put together
+    rng = random.Random(6)
+    rows = [(f"i{i}", m, m // 5) for m in range(40) for i in rng.sample(range(12), 5)]
+    rng.shuffle(rows)
+    runs = list(J._runs(iter([pa.record_batch(list(map(pa.array, zip(*part, strict=True))), ["item", "m", "block"]) for part in (rows[:90], rows[90:])])))
+    known = pa.record_batch([pa.array([0]), pa.array([0]), pa.array([[3, 17]])], ["block", "own", "others"])
+    held = defaultdict(set)
+    for i, m, _ in rows:
+        held[m].add(i)
+    expected = {(a, b): n for a in held for b in held if a < b and (a, b) != (3, 17) and (n := len(held[a] & held[b])) >= 2}
+    assert len(runs) > 2 and {(r["a"], r["b"]): r["n"] for part in J._counted(iter([*runs, known]), 40, 2) for r in part.to_pylist()} == expected
+    assert list(J._runs(iter([]))) == list(J._counted(iter([]), 1, 2)) == []
