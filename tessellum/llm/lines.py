@@ -18,8 +18,8 @@ TURNS = (0, 21, 42)
 #: The 9 minhashes as points (x, y) of the affine plane of order 3, and its 12 lines as bands of 3: whichever 5 of
 #: the 9 two lines share, 3 of them make a band. A pair with a similarity of 0.8 shares a band with probability 0.99.
 BANDS = [[3 * x + (m * x + b) % 3 for x in range(3)] for m in range(3) for b in range(3)] + [[3 * x + y for y in range(3)] for x in range(3)]
-#: Shingles hashed in one exploded row.
-STEP = 4
+#: Shingles hashed in one exploded row: for maps, and for minhashes.
+STEP, SIGNED = 4, 8
 #: Bits of the map by which lines that are no candidates leave before a shuffle: a few MB at most.
 MAP = 1 << 24
 #: Bits of a sketch, 64 in a number. With many more the join's condition gets too long for the JVM to compile.
@@ -61,17 +61,21 @@ def place():
     return F.expr("cast(cast(doc_id as decimal(20, 0)) * 10000000000BD + line_no as decimal(38, 0))")
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """(n, c, e, place, weight, keys) of each different line: a number of its own, its two hashes, first place, how often it occurs, and a key for each band."""
+def signatures(lines: DataFrame, marks: DataFrame) -> DataFrame:
+    """(n, c, e, place, weight, keys) of each different line: a number of its own, its two hashes, first place, how often it occurs, and a key for each band.
+
+    Places come from marks, a line once: among the rows of shingles a place of 38 digits costs a third of the minhashes.
+    """
     last = F.expr(f"greatest(1, octet_length(u) - {2 * WIDTH - 1})")
-    rows = lines.select("c", "e", place().alias("place"), F.encode("line", "UTF-16BE").alias("u")).withColumn("last", last)
-    rows = rows.select("c", "e", "place", "u", "last", F.expr(f"explode(sequence(1, last, {2 * STEP}))").alias("at"))
-    hashes = [F.expr(f"xxhash64(substring(u, least(at + {2 * j}, last), {2 * WIDTH}))").alias(f"h{j}") for j in range(STEP)]
-    rows = rows.select("c", "e", F.expr("if(at = 1, place, null)").alias("place"), F.expr("if(at = 1, 1, null)").alias("once"), *hashes)
-    turned = [(F.expr(f"shiftleft(h{j}, {r}) | shiftrightunsigned(h{j}, {64 - r})") if r else F.col(f"h{j}")).alias(f"r{r}_{j}") for r in TURNS for j in range(STEP)]
-    rows = rows.select("c", "e", "place", "once", *turned)
-    nearest = [F.min(F.expr(f"least({', '.join(f'r{r}_{j} ^ {p}L' for j in range(STEP))})")) for r in TURNS for p in points(3)]
-    whole = rows.groupBy("c", "e").agg(F.min("place").alias("place"), F.count("once").alias("weight"), *(m.alias(f"m{k}") for k, m in enumerate(nearest)))
+    rows = lines.select("c", "e", F.encode("line", "UTF-16BE").alias("u")).withColumn("last", last)
+    rows = rows.select("c", "e", "u", "last", F.expr(f"explode(sequence(1, last, {2 * SIGNED}))").alias("at"))
+    hashes = [F.expr(f"xxhash64(substring(u, least(at + {2 * j}, last), {2 * WIDTH}))").alias(f"h{j}") for j in range(SIGNED)]
+    rows = rows.select("c", "e", *hashes)
+    turned = [(F.expr(f"shiftleft(h{j}, {r}) | shiftrightunsigned(h{j}, {64 - r})") if r else F.col(f"h{j}")).alias(f"r{r}_{j}") for r in TURNS for j in range(SIGNED)]
+    rows = rows.select("c", "e", *turned)
+    nearest = [F.min(F.expr(f"least({', '.join(f'r{r}_{j} ^ {p}L' for j in range(SIGNED))})")) for r in TURNS for p in points(3)]
+    hashed = rows.groupBy("c", "e").agg(*(m.alias(f"m{k}") for k, m in enumerate(nearest)))
+    whole = hashed.join(marks.groupBy("c", "e").agg(F.min(place()).alias("place"), F.count("*").alias("weight")).hint("merge"), ["c", "e"])
     keys = F.array(*(F.xxhash64(F.lit(b), *(f"m{k}" for k in band)) for b, band in enumerate(BANDS)))
     return store(whole.select(F.monotonically_increasing_id().alias("n"), "c", "e", "place", "weight", keys.alias("keys")))
 
@@ -171,7 +175,7 @@ def linked(signed: DataFrame, lines: DataFrame, percent: int, shared: bool) -> D
     members = store(met.join(leads.select(separate("k").alias("k"), "a"), F.col("key") == F.col("k")).select("key", "n", "a"))
     own = members.select(F.col("n").alias("m")).distinct()
     ids = store(signed.select("n", "c", "e", "place").join(own, F.col("n") == F.col("m"), "left_semi").select("n", F.col("c").alias("c2"), F.col("e").alias("e2"), F.col("place").alias("first")))
-    near = in_map(ids.select(F.col("c2").alias("c")), lines.select("c", "e", "line", place().alias("place")), "c")
+    near = in_map(ids.select(F.col("c2").alias("c")), lines.select("c", "e", "line", "doc_id", "line_no"), "c").withColumn("place", place())
     near = near.join(ids, (F.col("c") == F.col("c2")) & (F.col("e") == F.col("e2")) & F.col("place").eqNullSafe(F.col("first")))
     near = near.select("n", "line")
     texts = store(near.dropDuplicates(["n"]) if shared else near)
@@ -208,32 +212,34 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, row: str,
     """line_components() of rows told apart, with each row's number r."""
     ready_to_checkpoint(docs.sparkSession)
     lines = split_lines(docs, id_col, text_col, row)
-    signed = signatures(lines)
+    marks = store(lines.select("doc_id", "r", "line_no", "c", "e"))
+    signed = signatures(lines, marks)
     groups = store(linked(signed, lines, percent, shared))
     owned = store(signed.select("n", "c", "e", "place").join(groups, F.col("n") == F.col("node")).select("component", "c", "e", "place"))
     first = owned.groupBy("component").agg(F.min("place").alias("first")).select(separate("component").alias("k"), "first")
     moved = owned.join(first, F.col("component") == F.col("k")).select("c", "e", "component", "first")
     # lines that occur once and are linked with none are their own first
     rest = signed.where("weight > 1").select("n", "c", "e", "place").join(groups, F.col("n") == F.col("node"), "left_anti").select("c", "e", F.col("n").alias("component"), F.col("place").alias("first"))
-    named = moved.unionByName(rest).select(F.col("c").alias("c2"), F.col("e").alias("e2"), "component", "first")
+    ten = "10000000000BD"
+    named = moved.unionByName(rest).select(F.col("c").alias("c2"), F.col("e").alias("e2"), "component", F.expr(f"cast(floor(first / {ten}) as long)").alias("doc2"), F.expr(f"cast(pmod(first, {ten}) as int)").alias("no2"))
     if shared:
         named = store(named)
-    found = placed(lines, named)
-    kept = F.col("place").eqNullSafe(F.col("first"))
+    found = placed(marks, named)
+    kept = F.expr("doc_id <=> first_doc and (doc_id is null or line_no = first_no)")
     if shared:
         # the rows that share an id or have none may hold several lines of one first place
         turn = F.expr("cast(cast(r as decimal(20, 0)) * 10000000000BD + line_no as decimal(38, 0))")
-        best = placed(lines.where("r is not null"), named).where(kept & F.col("component").isNotNull()).groupBy(F.col("component").alias("k")).agg(F.min(turn).alias("turn"))
+        best = placed(marks.where("r is not null"), named).where(kept & F.col("component").isNotNull()).groupBy(F.col("component").alias("k")).agg(F.min(turn).alias("turn"))
         found = found.join(best, F.col("component") == F.col("k"), "left")
         kept = kept & F.coalesce(turn == F.col("turn"), F.lit(True))
-    ten = "10000000000BD"
-    return found.select("doc_id", "r", "line_no", F.expr(f"cast(floor(first / {ten}) as long)").alias("first_doc"), F.expr(f"cast(pmod(first, {ten}) as int)").alias("first_no"), kept.alias("kept"))
+    return found.select("doc_id", "r", "line_no", "first_doc", "first_no", kept.alias("kept"))
 
 
-def placed(lines: DataFrame, named: DataFrame) -> DataFrame:
-    """Lines with their place, their component (null of a line that is alone) and its first place."""
-    found = lines.select("c", "e", "doc_id", "r", "line_no", place().alias("place")).join(named, (F.col("c") == F.col("c2")) & (F.col("e") == F.col("e2")), "left")
-    return found.withColumn("first", F.when(F.col("c2").isNull(), F.col("place")).otherwise(F.col("first")))
+def placed(marks: DataFrame, named: DataFrame) -> DataFrame:
+    """Marks of lines with their component (null of a line that is alone) and its first place; a line that is alone is its own, without arithmetic on places."""
+    found = marks.select("c", "e", "doc_id", "r", "line_no").join(named, (F.col("c") == F.col("c2")) & (F.col("e") == F.col("e2")), "left")
+    alone = F.col("c2").isNull()
+    return found.withColumn("first_doc", F.when(alone, F.col("doc_id")).otherwise(F.col("doc2"))).withColumn("first_no", F.when(alone, F.when(F.col("doc_id").isNotNull(), F.col("line_no"))).otherwise(F.col("no2")))
 
 
 def dedupe(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:

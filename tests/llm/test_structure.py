@@ -232,3 +232,15 @@ def test_license_order(spark):
     df = spark.createDataFrame([(1, "big tree house"), (2, "tree big tree house"), (3, "house tree")], "doc_id long, text string")
     found = {r[0]: r["labels"] for r in licenses.scan(df, rules=rules).collect()}
     assert found == {1: "long,strong", 2: "long,short,strong", 3: "short,strong"}
+
+
+def test_minhashes_carry_no_places(spark, monkeypatch):
+    """A place is a decimal of 38 digits, which took part in every row of shingles."""
+    from tessellum.llm import lines
+
+    monkeypatch.setattr(lines, "store", lambda df, codec="zstd": df)
+    docs = spark.createDataFrame([(1, "a line of one text\nand one more")], "doc_id long, text string").withColumn("row", F.lit(None).cast("long"))
+    cut = lines.split_lines(docs, "doc_id", "text", "row")
+    plan = lines.signatures(cut, cut.select("doc_id", "r", "line_no", "c", "e"))._jdf.queryExecution().optimizedPlan().toString()
+    hashed = [row for row in plan.split("\n") if "Aggregate" in row and "AS m0" in row]
+    assert hashed and all("place" not in row for row in hashed)
