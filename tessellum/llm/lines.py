@@ -18,8 +18,8 @@ TURNS = (0, 21, 42)
 #: The 9 minhashes as points (x, y) of the affine plane of order 3, and its 12 lines as bands of 3: whichever 5 of
 #: the 9 two lines share, 3 of them make a band. A pair with a similarity of 0.8 shares a band with probability 0.99.
 BANDS = [[3 * x + (m * x + b) % 3 for x in range(3)] for m in range(3) for b in range(3)] + [[3 * x + y for y in range(3)] for x in range(3)]
-#: Shingles hashed in one exploded row: for maps, and for minhashes.
-STEP, SIGNED = 4, 8
+#: Shingles hashed in one exploded row: for maps, and for minhashes (a power of two).
+STEP, SIGNED = 4, 4
 #: Bits of the map by which lines that are no candidates leave before a shuffle: a few MB at most.
 MAP = 1 << 24
 #: Bits of a sketch, 64 in a number. With many more the join's condition gets too long for the JVM to compile.
@@ -69,11 +69,16 @@ def signatures(lines: DataFrame, marks: DataFrame) -> DataFrame:
     last = F.expr(f"greatest(1, octet_length(u) - {2 * WIDTH - 1})")
     rows = lines.select("c", "e", F.encode("line", "UTF-16BE").alias("u")).withColumn("last", last)
     rows = rows.select("c", "e", "u", "last", F.expr(f"explode(sequence(1, last, {2 * SIGNED}))").alias("at"))
-    hashes = [F.expr(f"xxhash64(substring(u, least(at + {2 * j}, last), {2 * WIDTH}))").alias(f"h{j}") for j in range(SIGNED)]
+    hashes = [F.expr(f"xxhash64(substring(u, if(at + {2 * j} < last, at + {2 * j}, last), {2 * WIDTH}))").alias(f"h{j}") for j in range(SIGNED)]
     rows = rows.select("c", "e", *hashes)
     turned = [(F.expr(f"shiftleft(h{j}, {r}) | shiftrightunsigned(h{j}, {64 - r})") if r else F.col(f"h{j}")).alias(f"r{r}_{j}") for r in TURNS for j in range(SIGNED)]
     rows = rows.select("c", "e", *turned)
-    nearest = [F.min(F.expr(f"least({', '.join(f'r{r}_{j} ^ {p}L' for j in range(SIGNED))})")) for r in TURNS for p in points(3)]
+    rows = rows.select("c", "e", *(F.expr(f"r{r}_{j} ^ {p}L").alias(f"m{k}_{j}") for k, (r, p) in enumerate((r, p) for r in TURNS for p in points(3)) for j in range(SIGNED)))
+    left = SIGNED
+    while left > 1:  # two at a time: columns that cannot be null compare faster than least() does
+        left //= 2
+        rows = rows.select("c", "e", *(F.expr(f"if(m{k}_{j} < m{k}_{j + left}, m{k}_{j}, m{k}_{j + left})").alias(f"m{k}_{j}") for k in range(3 * len(TURNS)) for j in range(left)))
+    nearest = [F.min(f"m{k}_0") for k in range(3 * len(TURNS))]
     hashed = rows.groupBy("c", "e").agg(*(m.alias(f"m{k}") for k, m in enumerate(nearest)))
     whole = hashed.join(marks.groupBy("c", "e").agg(F.min(place()).alias("place"), F.count("*").alias("weight")).hint("merge"), ["c", "e"])
     keys = F.array(*(F.xxhash64(F.lit(b), *(f"m{k}" for k in band)) for b, band in enumerate(BANDS)))
@@ -142,9 +147,11 @@ def sketched(texts: DataFrame) -> DataFrame:
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(parts, min(16 * parts, -(-texts.count() // PAIRS)))
     each = texts.repartition(parts, "n").select("n", F.encode("line", "UTF-16BE").alias("u")).select("n", "u", shingle_hashes("u").alias("at")).select("n", shingle_hash("u").alias("h")).distinct()
+    # a number of 64 bits at a time, then a line's numbers side by side: a shingle costs one update instead of one for each number
     each = each.select("n", F.expr(f"pmod(shiftright(h, 6), {SKETCH // 64})").alias("place"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
-    words = [F.bit_xor(F.expr(f"if(place = {k}, bit, 0L)")).alias(f"s{k}") for k in range(SKETCH // 64)]
-    return store(each.groupBy(F.col("n").alias("o")).agg(F.count("*").alias("size"), *words))
+    each = each.groupBy("n", "place").agg(F.count("*").alias("held"), F.bit_xor("bit").alias("bits"))
+    words = [F.bit_xor(F.expr(f"if(place = {k}, bits, 0L)")).alias(f"s{k}") for k in range(SKETCH // 64)]
+    return store(each.groupBy(F.col("n").alias("o")).agg(F.sum("held").alias("size"), *words))
 
 
 def across(named: DataFrame, signed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -169,10 +176,11 @@ def across(named: DataFrame, signed: DataFrame, texts: DataFrame, percent: int)
 def linked(signed: DataFrame, lines: DataFrame, percent: int, shared: bool) -> DataFrame:
     """(node, component) of the lines that are linked with others; shared: several lines may have one place."""
     bands = signed.select(F.explode("keys").alias("key"), "n", "weight")
-    ends = bands.groupBy("key").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max_by("n", "weight").alias("a"))
-    leads = store(ends.where("low < high").select(F.col("key").alias("k"), "a"))
-    met = in_map(leads.select(F.col("k").alias("key")), bands.select("key", "n"), "key")
-    members = store(met.join(leads.select(separate("k").alias("k"), "a"), F.col("key") == F.col("k")).select("key", "n", "a"))
+    # a line has each of its keys once, so a key that occurs once is of one line; nothing but counts is dealt for those
+    held = store(bands.groupBy("key").agg(F.count("*").alias("lines")).where("lines > 1").select("key"))
+    met = store(in_map(held, bands, "key").join(held.select(separate("key").alias("k")), F.col("key") == F.col("k"), "left_semi"))
+    leads = met.groupBy("key").agg(F.max_by("n", "weight").alias("a")).select(separate("key").alias("k"), "a")
+    members = store(met.join(leads, F.col("key") == F.col("k")).select("key", "n", "a"))
     own = members.select(F.col("n").alias("m")).distinct()
     ids = store(signed.select("n", "c", "e", "place").join(own, F.col("n") == F.col("m"), "left_semi").select("n", F.col("c").alias("c2"), F.col("e").alias("e2"), F.col("place").alias("first")))
     near = in_map(ids.select(F.col("c2").alias("c")), lines.select("c", "e", "line", "doc_id", "line_no"), "c").withColumn("place", place())

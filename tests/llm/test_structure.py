@@ -244,3 +244,22 @@ def test_minhashes_carry_no_places(spark, monkeypatch):
     plan = lines.signatures(cut, cut.select("doc_id", "r", "line_no", "c", "e"))._jdf.queryExecution().optimizedPlan().toString()
     hashed = [row for row in plan.split("\n") if "Aggregate" in row and "AS m0" in row]
     assert hashed and all("place" not in row for row in hashed)
+
+
+def test_a_shingle_is_one_update_of_a_sketch(spark, monkeypatch):
+    """Every shingle updated all numbers of its line's sketch."""
+    from tessellum.llm import lines
+
+    monkeypatch.setattr(lines, "store", lambda df, codec="zstd": df)
+    texts = spark.createDataFrame([(1, "a line that says so, a line that says so"), (2, "short"), (3, "another line of some length")], "n long, line string")
+    sketch = lines.sketched(texts)
+    updates = [row.count("bit_xor(") for row in sketch._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in row and "bit_xor(" in row]
+    assert len(updates) == 2 and updates[1] == 1  # a line's numbers, and below them one number of 64 bits
+    grams = [(n, g) for n, x in texts.collect() for g in {x[k : k + lines.WIDTH] for k in range(max(1, len(x) - lines.WIDTH + 1))}]
+    hashed = spark.createDataFrame(grams, "n long, g string").selectExpr("n", "xxhash64(encode(g, 'UTF-16BE')) as h").collect()
+    for row in sketch.collect():
+        own, bits = [r["h"] for r in hashed if r["n"] == row["o"]], {}
+        for h in own:
+            k = (h >> 6) % (lines.SKETCH // 64)
+            bits[k] = bits.get(k, 0) ^ (1 << (h & 63))
+        assert row["size"] == len(own) and all(row[f"s{k}"] % (1 << 64) == bits.get(k, 0) for k in range(lines.SKETCH // 64))
