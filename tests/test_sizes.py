@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -33,6 +33,26 @@ def test_siblings_lack(spark):
     assert sorted(map(tuple, found.collect()), key=key) == sorted(expected, key=key) and tasks_of(found) > 8
 
 
+def test_siblings_come_out_in_runs(spark, monkeypatch):
+    """An item met all bunches before the next item did, and a task's items were too many for a file's dictionary, so what was written grew to 0.7 bytes a row."""
+    groups = [(m, "g") for m in range(600)] + [(None, "g"), (700, None)]
+    has = [(i % 600, i) for i in range(500)] + [(m, 900) for m in range(300)] + [(9, 3), (700, 5)]
+    held = set(has)
+    expected = Counter(m for m, g in groups if g for i in {i for m, i in has if m != 700} if (m, i) not in held)
+    a, b = spark.createDataFrame(has, "member long, item long"), spark.createDataFrame(groups, "member long, grp string")
+    found = J.sibling_gap(a, b).select("member", "item", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"))
+    spans = found.groupBy("p", "member").agg(F.min("i").alias("a"), F.max("i").alias("b"), F.count("*").alias("n"), F.count_distinct("item").alias("d")).collect()
+    counts, stretches = Counter(), defaultdict(list)
+    for r in sorted(spans, key=lambda r: r["a"]):
+        counts[r["member"]] += r["n"]
+        assert r["n"] == r["d"]
+        own = stretches[r["p"]]  # members whose rows lie between each other's
+        own.append(r["b"]) if not own or r["a"] > own[-1] else own.append(max(own.pop(), r["b"]))
+    assert counts == expected and max(map(len, stretches.values())) >= 4
+    monkeypatch.setattr(J, "ITEMS", 8, raising=False)
+    assert J.sibling_gap(a, b).rdd.getNumPartitions() >= 100
+
+
 def test_decisions_that_share_tags(spark):
     rows = [(i, [f"t{i % 3}", "all"] if i % 5 else ["all", "all", None]) for i in range(120)] + [(7, ["late"]), (900, []), (901, None), (None, ["all"]), (902, ["late"])]
     tags = defaultdict(set)
