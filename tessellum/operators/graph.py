@@ -72,6 +72,17 @@ def dealt(rows: DataFrame, others: DataFrame, keys: list[str], shares: int = SHA
     return many.join(few.hint("merge"), [*keys, "_share"]).drop("_share")  # so many copies are not to be broadcast
 
 
+#: About how many values of a key are a bunch.
+BUNCH = 128
+
+
+def bunched(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, values, unknown): about BUNCH of a key's values a row, `unknown` with a null, which no list holds; rows: (key, value), each once."""
+    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / BUNCH).alias("_n"))
+    lists = rows.join(sizes, key).groupBy(key, F.pmod(F.xxhash64(value), "_n").alias("_bunch"))
+    return lists.agg(F.collect_list(value).alias("values"), F.max(F.col(value).isNull()).alias("unknown")).drop("_bunch")
+
+
 def hops(edges: DataFrame, anchors: DataFrame, hard: int = 10) -> DataFrame:
     """(node, hop): the fewest hops from any anchor, up to `hard`; cycles end by the visited set.
 

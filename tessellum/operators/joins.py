@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellum.operators.graph import SHARES, TASKS, dealt, stored
+from tessellum.operators.graph import SHARES, TASKS, bunched, dealt, stored
 from tessellum.operators.similar import near, nearest
 from tessellum.operators.text import occurrences
 
 
-#: About how many members of a group are a bunch, how many rows of (member, item) are a task's at most, and how many holders of an item are looked through one by one.
-BUNCH, ITEMS, FEW_HOLDERS = 128, 1 << 15, 16
+#: How many rows of (member, item) are a task's at most, and how many holders of an item are looked through one by one.
+ITEMS, FEW_HOLDERS = 1 << 15, 16
 #: Ranges of members that pairs by shared items are split into at most.
 BUNCHES = 64
 #: Pairs by shared items: how many members make an item hot, how many meetings are a block's (pairs that one task holds), the fewest blocks, and how many rows or pairs a task makes at once.
@@ -72,15 +72,13 @@ def sibling_gap(has: DataFrame, groups: DataFrame) -> DataFrame:
     kind = has.schema["member"].dataType.simpleString()
     none = F.array().cast(f"array<{kind}>")
     held = has.join(groups, "member").groupBy("grp", "item").agg(F.when(F.col("item").isNotNull(), F.collect_set("member")).otherwise(none).alias("holders"))
-    members = groups.select("member", "grp").where("grp is not null").distinct()
-    sizes = members.groupBy("grp").agg(F.ceil(F.count("*") / BUNCH).alias("n"))
-    bunches = members.join(sizes, "grp").groupBy("grp", F.pmod(F.xxhash64("member"), "n").alias("bunch")).agg(F.collect_list("member").alias("members"), F.max(F.col("member").isNull()).alias("unknown"))
+    bunches = bunched(groups.select("grp", "member").where("grp is not null").distinct(), "grp", "member")
     tasks = max(TASKS, -(-has.count() // ITEMS))
-    largest, all_ = (n or 1 for n in sizes.agg(F.max("n"), F.sum("n")).first())
+    largest, all_ = (n or 1 for n in bunches.groupBy("grp").agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first())
     shares = max(SHARES, 2 * tasks * largest // all_)  # what is held again for each bunch is about half a task's items
-    met = dealt(held, bunches.drop("bunch"), ["grp"], shares, tasks, again=True)
+    met = dealt(held, bunches, ["grp"], shares, tasks, again=True)
     few = F.size("holders") <= FEW_HOLDERS  # is looked through for each member, more are taken out at once
-    lacking = F.when(few, F.col("members")).otherwise(F.array_except("members", "holders"))
+    lacking = F.when(few, F.col("values")).otherwise(F.array_except("values", "holders"))
     rows = met.select("item", F.when(few, F.col("holders")).otherwise(none).alias("holders"), F.explode(F.when(F.col("unknown"), F.concat(lacking, F.array(F.lit(None)))).otherwise(lacking)).alias("member"))
     return rows.where(~F.coalesce(F.array_contains("holders", F.col("member")), F.lit(False))).select("member", "item")
 

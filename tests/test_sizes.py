@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -94,6 +95,19 @@ def test_topics_of_one_name_are_dealt(spark):
     assert {(r["todo"], r["topic"]) for r in found.collect()} == {(i, t) for i in range(30) for t in (*range(60), None)} and found.count() == 30 * 61 and tasks_of(found) > 8
 
 
+def test_todos_meet_a_name_once(spark, monkeypatch):
+    """Each topic had a longer name of its own beside a common one, so each was a class, and all pairs of todos and classes were shuffled to be told apart."""
+    dealt, seen = N.dealt, []
+    monkeypatch.setattr(N, "dealt", lambda rows, *a, **b: seen.append(rows.count()) or dealt(rows, *a, **b))
+    texts = [(i, "work", f"Rain w{i}, fog today") for i in range(30)] + [(30, "work", None), (31, "work", "fog"), (None, "work", "x1 snow"), (32, "life", "rain")]
+    names = [(t, n) for t in range(200) for n in ("rain", f"rain w{t}", f"big rain w{t}")] + [(None, "rain"), (None, "fog"), (None, "today"), (None, "fog today"), (300, "--"), (300, "w3"), (301, None), (302, "snow"), (302, "fog")]
+    names += [(303, f"x{i}") for i in range(90)] + [(303, f"x{i} snow") for i in range(90)] + [(304, "snow"), (304, "fog")]
+    found = N.misfiled(spark.createDataFrame(texts, "todo long, section string, text string"), spark.createDataFrame(names, "topic long, name string"), ("work",))
+    form = lambda t: f" {' '.join(re.findall(r'[^\W_]+', t.lower()))} "
+    expected = {(i, s, t) for i, s, x in texts if s == "work" and x for t, n in names if n and form(n).strip() and form(n) in form(x)}
+    assert {tuple(r) for r in found.collect()} == expected and found.count() == len(expected) and seen[0] < 200
+
+
 def test_one_row_moves_the_clock(spark, tmp_path):
     """It was one row for each event, all of one key, so half of a stream was one task's."""
     events = spark.createDataFrame([(i, i % 5) for i in range(50)], "event_id long, user_id long").selectExpr("event_id", "user_id", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, event_id) as ts")
